@@ -17,6 +17,21 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def base64_text(c: Column) -> Column:
+    """Base64 on one line (Spark's own breaks lines every 76 characters)."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
+def evaluated_once(c: Column) -> Column:
+    """Keep filters on this column above the projection that computes it.
+
+    Predicate pushdown copies a column's whole expression into the filter, and a JSON
+    parse below it into every place it is used. It never passes a projection holding a
+    non-deterministic expression, so a seeded ``rand`` (always true here) pins it.
+    """
+    return F.when(F.rand(0) + 1 > 0, c)
+
+
 def is_blank(c: Column | str) -> Column:
     """NULL or only (Unicode) white space."""
     return ~F.coalesce(_col(c).rlike(r"(?U)\S"), F.lit(False))
@@ -65,11 +80,13 @@ def exact_json(text: Column | str) -> Column:
     element of an array with an end marker exposes anything that follows it.
     """
     boxed = F.try_parse_json(F.concat(F.lit("["), _col(text), F.lit(f',"{_END}"]')))
-    ends = F.try_variant_get(boxed, "$[1]", "string") == _END
-    return F.when(
-        F.coalesce(ends, F.lit(False)) & F.try_variant_get(boxed, "$[2]", "variant").isNull(),
-        F.try_variant_get(boxed, "$[0]", "variant"),
-    )
+
+    def complete(doc: Column) -> Column:
+        third = F.try_variant_get(doc, "$[2]", "variant").isNull()
+        return F.coalesce(F.try_variant_get(doc, "$[1]", "string") == _END, F.lit(False)) & third
+
+    # the one-element array binds the parsed value, so the text is parsed once
+    return F.try_variant_get(F.get(F.filter(F.array(boxed), complete), F.lit(0)), "$[0]", "variant")
 
 
 def display_number(c: Column | str, digits: int = 0) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import exact_json, trim_space
+from tidemark.functions.text import evaluated_once, exact_json, trim_space
 from tidemark.operators.decode import DECODE_FAILED, VALIDATION_FAILED, classify
 
 MAX_BATCH_EVENTS = 500
@@ -70,8 +70,10 @@ def _parsed(requests: DataFrame, col: str) -> DataFrame:
     size = F.size("__elements")
     return requests.withColumn("__elements", elements).withColumn(
         "__shape",
-        F.when(F.col("__elements").isNull(), DECODE_FAILED)
-        .when((size == 0) | (size > MAX_BATCH_EVENTS), VALIDATION_FAILED),
+        evaluated_once(
+            F.when(F.col("__elements").isNull(), DECODE_FAILED)
+            .when((size == 0) | (size > MAX_BATCH_EVENTS), VALIDATION_FAILED)
+        ),
     )
 
 

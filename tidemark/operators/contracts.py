@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import exact_json
+from tidemark.functions.text import evaluated_once, exact_json
 from tidemark.operators.decode import RFC3339, SCHEMA_VERSION, STATUSES
 from tidemark.schemas import EVENT_FIELDS
 
@@ -71,7 +71,7 @@ def contract_violations(df: DataFrame, col: str = "value") -> DataFrame:
     extra = F.array_except(doc.keys(), F.array(*[F.lit(n) for n in EVENT_FIELDS]))
     rules.append((F.size(extra) > 0, "additionalProperties"))
     found = F.when(F.coalesce(is_object, F.lit(False)), _violations(*rules)).otherwise(F.array(F.lit("type: object")))
-    return parsed.withColumn("violations", found).drop("__doc")
+    return parsed.withColumn("violations", evaluated_once(found)).drop("__doc")
 
 
 def dead_letter_violations(df: DataFrame, col: str = "value") -> DataFrame:
@@ -106,7 +106,7 @@ def dead_letter_violations(df: DataFrame, col: str = "value") -> DataFrame:
          "additionalProperties"),
     ]
     found = F.when(F.coalesce(is_object, F.lit(False)), _violations(*rules)).otherwise(F.array(F.lit("type: object")))
-    return parsed.withColumn("violations", found).drop("__doc")
+    return parsed.withColumn("violations", evaluated_once(found)).drop("__doc")
 
 
 # Evidence report: required fields by part (fixed values)
@@ -187,4 +187,4 @@ def report_violations(df: DataFrame, col: str = "value") -> DataFrame:
     ]
     is_object = F.schema_of_variant("__doc").startswith("OBJECT<")
     found = F.when(F.coalesce(is_object, F.lit(False)), _violations(*rules)).otherwise(F.array(F.lit("type: object")))
-    return parsed.withColumn("violations", found).drop("__doc")
+    return parsed.withColumn("violations", evaluated_once(found)).drop("__doc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import is_blank, null_to_empty, trim_space
+from tidemark.functions.text import base64_text, is_blank, null_to_empty, trim_space
 from tidemark.schemas import DEAD_LETTER
 
 DEFAULT_REASON = "invalid_message"
@@ -20,7 +20,7 @@ def to_dead_letters(failed: DataFrame, consumer_group: str, failed_at: Column |
     """Build records from classified log rows (``reason`` set, Kafka-shaped columns kept)."""
     headers = F.transform(
         F.coalesce("headers", F.expr("array()").cast(failed.schema["headers"].dataType)),
-        lambda h: F.struct(h["key"].alias("key"), F.base64(h["value"]).alias("value_base64")),
+        lambda h: F.struct(h["key"].alias("key"), base64_text(h["value"]).alias("value_base64")),
     )
     return failed.select(
         (failed_at if failed_at is not None else F.current_timestamp()).alias("failed_at"),
@@ -34,7 +34,7 @@ def to_dead_letters(failed: DataFrame, consumer_group: str, failed_at: Column |
         _trimmed("event.event_id").alias("event_id"),
         _trimmed("event.tenant_id").alias("tenant_id"),
         _trimmed("event.source_id").alias("source_id"),
-        F.base64(F.col("value").cast("binary")).alias("payload_base64"),
+        base64_text(F.col("value").cast("binary")).alias("payload_base64"),
         headers.alias("headers"),
     )
 

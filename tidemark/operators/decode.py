@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import exact_json, is_blank
+from tidemark.functions.text import evaluated_once, exact_json, is_blank
 from tidemark.functions.timeparts import is_zero_time
 from tidemark.schemas import EVENT
 
@@ -133,7 +133,9 @@ def classify(df: DataFrame, col: str = "value", variant: bool = False, recover:
     checked = (F.col("__lenient") | strict) if recover else strict
     return (
         decoded
-        .withColumn("reason", F.when(checked & invalid, VALIDATION_FAILED).when(~strict, DECODE_FAILED))
+        .withColumn(
+            "reason", evaluated_once(F.when(checked & invalid, VALIDATION_FAILED).when(~strict, DECODE_FAILED))
+        )
         .withColumn("error", F.when(checked & invalid, F.col("__invalid")).otherwise(F.col("decode_error")))
         .drop("__root", "__lenient", "__invalid", "decode_error")
     )

@@ -235,7 +235,7 @@ def dead_letter_contract(spark, d):
 
 @query
 def admitted_batches(spark, d):
-    return admit_batches(fx.batch_requests(spark, d), ADMINISTRATOR)
+    return admit_batches(fx.batch_requests(spark, d), ADMINISTRATOR).drop("payload")
 
 
 @query
@@ -265,7 +265,7 @@ def _rejections(spark, d) -> DataFrame:
 
 @query
 def rejections(spark, d):
-    return _rejections(spark, d)
+    return _rejections(spark, d).drop("payload")
 
 
 @query
