@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import encode_event, event_struct, exact_json, path_segment
+from tidemark.functions.text import TIME_FORMAT, encode_event, event_struct, exact_json, path_segment
 from tidemark.functions.timeparts import hour_label, is_zero_time, utc_day
 from tidemark.schemas import ARCHIVE_LINE
 
@@ -31,19 +31,28 @@ def archive_rows(events: DataFrame, raw_payload: Column, archived_at: Column) ->
     )
 
 
+def _line() -> Column:
+    """One NDJSON line with the raw payload embedded as it came; only a payload that
+    spans several text lines is re-printed compactly."""
+    raw = F.col("raw_payload")
+    flat = F.when(raw.rlike(r"[\r\n]"), F.to_json(F.try_parse_json(raw))).otherwise(raw)
+    return F.concat(
+        F.lit('{"archived_at":"'), F.date_format("archived_at", TIME_FORMAT), F.lit('","event":'),
+        encode_event(F.col("event")), F.lit(',"raw_payload":'), flat, F.lit("}"),
+    )
+
+
 def write_archive(rows: DataFrame, root: str) -> None:
     """Append to the archive.
 
     The rebalance hint lets AQE gather small (day, tenant, hour) groups into few files
     and split one that holds a large share of the data over many tasks.
     """
-    lines = rows.select("archived_at", "event", F.col("raw_payload"), *PARTITIONS)
+    lines = rows.select(_line().alias("value"), *PARTITIONS)
     (
         lines.hint("rebalance", *PARTITIONS)
         .write.mode("append").partitionBy(*PARTITIONS)
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-        .json(root)
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).text(root)
     )
 
 

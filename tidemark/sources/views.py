@@ -11,7 +11,7 @@ row. There is one writer at a time per root.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,17 @@ class HotViews:
 
     spark: SparkSession
     root: str
+    # the writer's own view of the commit log; readers start empty and load it once
+    _log: dict = field(default_factory=dict, repr=False)
+
+    def on(self, spark: SparkSession) -> HotViews:
+        """The same views through another session (streaming batches run in a clone)."""
+        return HotViews(spark, self.root, self._log)
+
+    def refresh(self) -> HotViews:
+        """Forget the loaded commit log, to see what another writer committed since."""
+        self._log.clear()
+        return self
 
     # -- commits ---------------------------------------------------------------
     def _exists(self, path: str) -> bool:
@@ -59,6 +70,11 @@ class HotViews:
 
         Reads one row per run and one per compaction, never data.
         """
+        if "state" not in self._log:
+            self._log["state"] = self._load_commits()
+        return self._log["state"]
+
+    def _load_commits(self) -> tuple[str | None, dict[str, int], dict[str, int], int]:
         path = f"{self.root}/_commits"
         if not self._exists(path):
             return None, {}, {}, 0
@@ -81,6 +97,7 @@ class HotViews:
         self.spark.createDataFrame([(seq, run_id, batch_id, folded)], _COMMIT).coalesce(1).write.mode("append").parquet(
             f"{self.root}/_commits"
         )
+        self.refresh()
 
     # -- deltas ----------------------------------------------------------------
     def write(self, view: str, df: DataFrame, run_id: str, batch_id: int) -> None:

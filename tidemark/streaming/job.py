@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.text import encode_event, event_struct
 from tidemark.operators.admission import Principal, admit_batches, admitted_events
 from tidemark.operators.deadletters import dead_letter_log
 from tidemark.operators.rejections import to_rejections
@@ -18,7 +19,6 @@ from tidemark.session import prepare
 from tidemark.sources.archive import archive_rows, write_archive
 from tidemark.sources.events import to_log_rows, write_log
 from tidemark.sources.views import HotViews
-from tidemark.functions.text import encode_event, event_struct
 
 FLUSH_INTERVAL = "100 milliseconds"
 
@@ -53,7 +53,7 @@ def start_processor(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         apply_messages(
-            HotViews(batch.sparkSession, views.root), batch, run_id, batch_id, options, publish_dead_letters, fault)
+            views.on(batch.sparkSession), batch, run_id, batch_id, options, publish_dead_letters, fault)
 
     return _start(messages, handle, checkpoint, interval, f"{run_id}-processor")
 
@@ -67,6 +67,7 @@ def ingest_requests(
     Archive and publish may repeat after a failure; dedup by event id makes that safe.
     """
     kept = requests.persist(StorageLevel.MEMORY_AND_DISK)
+    views = views.on(requests.sparkSession)
     try:
         verdicts = admit_batches(kept, principal, key)
         now = F.current_timestamp()
