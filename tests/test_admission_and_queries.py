@@ -106,7 +106,7 @@ def test_tenant_scope(spark):
     with pytest.raises(Forbidden):
         q.partitions(state, F.lit(NOW), OWNER)
     with pytest.raises(ValueError):
-        q.top_sources(shards, limit=0)
+        q.top_sources(spark.createDataFrame([], VIEWS["source_metrics"]), limit=0)
 
 
 def test_windows_of_unknown_size_are_empty(spark):

@@ -6,6 +6,8 @@ Stream batches, replays and rebuilds all go through :func:`apply_batch`.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -30,7 +32,8 @@ class BatchOptions:
     lateness_seconds: float = ALLOWED_LATENESS_SECONDS
     block: int = OFFSETS_PER_BLOCK
     ties: tuple[str, ...] = ()
-    snapshot: bool = True
+    # seconds between service-state snapshots; None writes none
+    snapshot_seconds: float | None = 5.0
 
 
 @dataclass(frozen=True)
@@ -44,19 +47,26 @@ class BatchResult:
 
 class _Clock:
     def __init__(self) -> None:
-        self.started = self.last = time.monotonic()
+        self.started = time.monotonic()
         self.ms: dict[str, float] = {}
 
-    def mark(self, stage: str) -> None:
-        now = time.monotonic()
-        self.ms[stage] = (now - self.last) * 1000
-        self.last = now
+    def timed(self, stage: str, job: Callable[[], None]) -> None:
+        start = time.monotonic()
+        job()
+        self.ms[stage] = (time.monotonic() - start) * 1000
 
     @property
     def total(self) -> float:
         return (time.monotonic() - self.started) * 1000
 
 
+def _together(*jobs: Callable[[], None]) -> None:
+    """Run independent writes as concurrent Spark jobs; the first failure is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 def apply_messages(
     views: HotViews, messages: DataFrame, run_id: str, batch_id: int, options: BatchOptions = BatchOptions(),
     publish_dead_letters=None, fault=None,
@@ -104,31 +114,33 @@ def apply_batch(
             options.lateness_seconds, options.block, options.ties,
         )
         winners = cache(processed.winners)
-        now = F.current_timestamp()
         claims = winners.select(
-            "event_id", "tenant_id", now.alias("processed_at"), views.claim_bucket().alias("bucket"))
-        hit("claims")
-        views.write("processed_events", claims, run_id, batch_id)
-        clock.mark("dedup_claim_ms")
-
+            "event_id", "tenant_id", F.current_timestamp().alias("processed_at"), views.claim_bucket().alias("bucket"))
         grain = cache(processed.grain)
+        progress = cache(processed.progress)
         deltas = view_deltas(grain)
-        for view, stage in (("tenant_metric_shards", "tenant_aggregate_ms"), ("source_metrics", "source_aggregate_ms"),
-                            ("event_windows", "window_aggregate_ms")):
-            hit(view)
-            views.write(view, deltas[view], run_id, batch_id)
-            clock.mark(stage)
 
-        views.write("partition_marks", partition_marks(log), run_id, batch_id)
-        progress = cache(processed.progress)
-        views.write("partition_progress", progress, run_id, batch_id)
+        def write(view: str, df: DataFrame, stage: str) -> Callable[[], None]:
+            def job() -> None:
+                hit(view)
+                views.write(view, df, run_id, batch_id)
+            return lambda: clock.timed(stage, job)
+
+        # the claims write fills the cache every other write reads
+        write("processed_events", claims, "dedup_claim_ms")()
+        _together(
+            write("tenant_metric_shards", deltas["tenant_metric_shards"], "tenant_aggregate_ms"),
+            write("source_metrics", deltas["source_metrics"], "source_aggregate_ms"),
+            write("event_windows", deltas["event_windows"], "window_aggregate_ms"),
+            write("partition_marks", partition_marks(log), "marks_ms"),
+            write("partition_progress", progress, "commit_ms"),
+        )
         totals = progress.agg(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("processed_total", "duplicate_total", "late_event_total")]
         ).first()
         result = BatchResult(totals["processed_total"], totals["duplicate_total"], totals["late_event_total"], dead_letters)
-        clock.mark("commit_ms")
         _write_stats(views, run_id, batch_id, options, result, clock)
-        if options.snapshot:
+        if views.snapshot_due(options.snapshot_seconds):
             views.write("service_state", _snapshot(views, run_id, batch_id, options.instance_id), run_id, batch_id)
         hit("commit")
         views.commit(run_id, batch_id)
@@ -143,7 +155,8 @@ def _write_stats(views: HotViews, run_id: str, batch_id: int, options: BatchOpti
     row = {
         "instance_id": options.instance_id, "batch_size": size, "recorded_count": r.recorded,
         "duplicate_count": r.duplicate, "late_count": r.late, "dead_letter_count": r.dead_letters, "flush_ms": flush,
-        "per_recorded_ms": flush / r.recorded if r.recorded else None, **clock.ms,
+        "per_recorded_ms": flush / r.recorded if r.recorded else None,
+        **{k: v for k, v in clock.ms.items() if k != "marks_ms"},
     }
     names = ", ".join(f"{k} {'string' if k == 'instance_id' else 'bigint' if k.endswith(('count', 'size')) else 'double'}" for k in row)
     stats = views.spark.createDataFrame([tuple(row.values())], names).withColumn("flushed_at", F.current_timestamp())

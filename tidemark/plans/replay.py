@@ -52,15 +52,16 @@ def replay_summary(lines: DataFrame, tenant: str | None = None, limit: int = 0)
     )
 
 
-def as_log(replayed: DataFrame, partitions: int, partition: Column | None = None) -> DataFrame:
+def as_log(replayed: DataFrame, partitions: int, partition: Column | None = None, run_id: str = "") -> DataFrame:
     """Replayed events as log rows in their original arrival order.
 
+    Each run is a log of its own, so marks left by another replay make nothing late.
     ``partition`` must send a source where the live log sent it for lateness to come out
     the same; by default the key hash decides.
     """
     keyed = partition if partition is not None else log_partition(partition_key("event.tenant_id", "event.source_id"), partitions)
     return replayed.select(
-        "event.*", F.lit(REPLAY_TOPIC).alias("topic"), keyed.cast("int").alias("partition"),
+        "event.*", F.lit(f"{REPLAY_TOPIC}.{run_id}").alias("topic"), keyed.cast("int").alias("partition"),
         F.unix_micros("archived_at").alias("offset"), F.col("archived_at").alias("log_time"),
     )
 
@@ -69,14 +70,17 @@ def rebuild(
     views: HotViews, archive_root: str, start: str, end: str | None, tenants: Sequence[str], run_id: str,
     partitions: int, partition: Column | None = None, lateness_seconds: float = ALLOWED_LATENESS_SECONDS,
 ) -> BatchResult:
-    """Reset the tenants, then process their archived events through the normal batch path."""
-    for tenant in tenants:
-        views.reset_tenant(tenant)
+    """Reset the tenants, then process their archived events through the normal batch path.
+
+    Lateness is judged among the replayed rows, so it comes out as it was only when all
+    tenants that share a log partition are rebuilt together.
+    """
+    views.reset_tenants(tenants)
     lines = read_archive(views.spark, archive_root, start, end, tenants[0] if len(tenants) == 1 else None)
     wanted = lines.where(F.col("event.tenant_id").isin(list(tenants)))
-    log = as_log(wanted.select("archived_at", "event"), partitions, partition)
+    log = as_log(wanted.select("archived_at", "event"), partitions, partition, run_id)
     options = BatchOptions(
-        lateness_seconds=lateness_seconds, block=REPLAY_BLOCK_US, ties=("event_id",), instance_id=run_id, snapshot=False)
+        lateness_seconds=lateness_seconds, block=REPLAY_BLOCK_US, ties=("event_id",), instance_id=run_id, snapshot_seconds=None)
     return apply_batch(views, log, run_id, 0, options)
 
 

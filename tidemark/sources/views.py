@@ -10,7 +10,8 @@ row. There is one writer at a time per root.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from tidemark.operators.aggregates import rollup
 from tidemark.schemas import VIEWS
 
 CLAIM_BUCKETS = 256
+BUCKETED = "processed_events_by_bucket"
 _COMMIT = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("run_id", T.StringType()),
     T.StructField("batch_id", T.LongType()),
@@ -48,18 +50,27 @@ class HotViews:
 
     spark: SparkSession
     root: str
+    claim_buckets: int = CLAIM_BUCKETS
     # the writer's own view of the commit log; readers start empty and load it once
     _log: dict = field(default_factory=dict, repr=False)
 
     def on(self, spark: SparkSession) -> HotViews:
         """The same views through another session (streaming batches run in a clone)."""
-        return HotViews(spark, self.root, self._log)
+        return HotViews(spark, self.root, self.claim_buckets, self._log)
 
     def refresh(self) -> HotViews:
         """Forget the loaded commit log, to see what another writer committed since."""
-        self._log.clear()
+        self._log.pop("state", None)
         return self
 
+    def snapshot_due(self, every_seconds: float | None) -> bool:
+        """Whether the writer should record its state again."""
+        now = time.monotonic()
+        if every_seconds is None or now - self._log.get("snapshot", float("-inf")) < every_seconds:
+            return False
+        self._log["snapshot"] = now
+        return True
+
     # -- commits ---------------------------------------------------------------
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -103,11 +114,14 @@ class HotViews:
     def write(self, view: str, df: DataFrame, run_id: str, batch_id: int) -> None:
         """(Re)write one batch's rows of a view; invisible until committed."""
         target = f"{self.root}/{view}/run_id={run_id}/batch_id={batch_id}"
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in VIEWS[view].fields])
-        writer = rows.write.mode("overwrite")
-        if view == "processed_events":
-            writer = rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
-        writer.parquet(target)
+        df.select(*[F.col(f.name).cast(f.dataType) for f in VIEWS[view].fields]).write.mode("overwrite").parquet(target)
+
+    def _write_snapshot(self, view: str, df: DataFrame, run: str) -> None:
+        """Snapshots of claims are foldered by bucket; batches stay a few files each."""
+        if view != "processed_events":
+            return self.write(view, df, run, 0)
+        df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{BUCKETED}/run_id={run}")
+        return None
 
     def deltas(self, view: str) -> DataFrame:
         """Visible rows before merging, with ``run_id`` and ``batch_id``."""
@@ -121,7 +135,14 @@ class HotViews:
         for name, head in committed.items():
             visible = visible | ((run == name) & (batch > folded.get(name, -1)) & (batch <= head))
         # run_id and batch_id are folder names, so this prunes whole folders
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{view}").where(visible)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{view}").where(visible)
+        if view == "processed_events" and snapshot:
+            rows = rows.unionByName(self._claims_snapshot(snapshot).withColumns(
+                {"run_id": F.lit(snapshot), "batch_id": F.lit(0).cast("bigint")}))
+        return rows
+
+    def _claims_snapshot(self, run: str) -> DataFrame:
+        return self.spark.read.schema(VIEWS["processed_events"]).parquet(f"{self.root}/{BUCKETED}/run_id={run}")
 
     def read(self, view: str) -> DataFrame:
         """The view as of the last commit, deltas merged."""
@@ -132,22 +153,25 @@ class HotViews:
         return rows
 
     # -- claims ----------------------------------------------------------------
-    @staticmethod
-    def claim_bucket(event_id: str = "event_id", buckets: int = CLAIM_BUCKETS) -> Column:
-        return F.pmod(F.xxhash64(event_id), F.lit(buckets)).cast("int")
+    def claim_bucket(self, event_id: str = "event_id") -> Column:
+        return F.pmod(F.xxhash64(event_id), F.lit(self.claim_buckets)).cast("int")
 
     def claimed_among(self, ids: DataFrame) -> DataFrame:
         """Which of these ids are claimed already.
 
         ``ids`` should be cached: Spark then knows its size and, when small, broadcasts
-        it so the claim table streams past without a shuffle, and reads only the buckets
-        that occur (the filter on ``bucket`` enables that pruning). A large batch falls
-        back to a shuffled semi join by itself.
+        it so the claim table streams past without a shuffle, and of the snapshot reads
+        only the buckets that occur (the filter on ``bucket`` enables that pruning). A
+        large batch becomes a shuffled semi join by itself.
         """
         wanted = ids.select("event_id", self.claim_bucket().alias("bucket")).where("bucket >= 0")
-        return self.deltas("processed_events").select("event_id", "bucket").join(
-            wanted, ["bucket", "event_id"], "left_semi"
-        ).select("event_id")
+        snapshot = self._commits()[0]
+        recent = self.deltas("processed_events")
+        if snapshot:
+            recent = recent.where(F.col("run_id") != snapshot)
+        parts = [recent] + ([self._claims_snapshot(snapshot)] if snapshot else [])
+        hits = [p.select("event_id", "bucket").join(wanted, ["bucket", "event_id"], "left_semi").select("event_id") for p in parts]
+        return hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
 
     # -- maintenance -----------------------------------------------------------
     def compact(self, keep: Callable[[str], Column] | None = None) -> str:
@@ -160,15 +184,15 @@ class HotViews:
             rows = self.read(view)
             if keep is not None:
                 rows = rows.where(keep(view))
-            self.write(view, rows, run, 0)
+            self._write_snapshot(view, rows, run)
         self.commit(run, 0, {**folded, **committed})
         return run
 
-    def reset_tenant(self, tenant_id: str) -> str:
-        """Forget one tenant's hot rows, claims, shards and windows."""
+    def reset_tenants(self, tenant_ids: Sequence[str]) -> str:
+        """Forget the tenants' hot rows, claims, shards and windows."""
         def keep(view: str) -> Column:
             if "tenant_id" in VIEWS[view].fieldNames() and view not in ("rejection_events", "dead_letters"):
-                return ~F.col("tenant_id").eqNullSafe(tenant_id)
+                return ~F.coalesce(F.col("tenant_id").isin(list(tenant_ids)), F.lit(False))
             return F.lit(True)
 
         return self.compact(keep)
