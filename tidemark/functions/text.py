@@ -33,8 +33,9 @@ def evaluated_once(c: Column) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """NULL or only (Unicode) white space."""
-    return ~F.coalesce(_col(c).rlike(r"(?U)\S"), F.lit(False))
+    """NULL or only (Unicode) white space; a printable ASCII start spares the pattern."""
+    printable = F.ascii(F.ltrim(_col(c))).between(33, 126)
+    return ~F.coalesce(printable | _col(c).rlike(r"(?U)\S"), F.lit(False))
 
 
 def trim_space(c: Column | str) -> Column:

@@ -30,17 +30,25 @@ def _get(root: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(root, f"$.{name}", kind)
 
 
-def _time(root: Column) -> Column:
-    text = _get(root, "timestamp", "string")
-    return F.when(text.rlike(RFC3339), F.try_to_timestamp(text))
+def _fields(root: Column, time: Column, number: Column, has_type) -> Column:
+    """The event struct; ``has_type(name)`` tells whether a field may be read."""
+    fields = []
+    for f in EVENT.fields:
+        kind = f.dataType.typeName()
+        if kind == "timestamp":
+            value = time
+        elif kind == "double":
+            value = F.coalesce(F.when(has_type(f.name) & _finite(number), number), F.lit(0.0))
+        elif kind == "long":
+            value = F.coalesce(F.when(has_type(f.name), _get(root, f.name, "bigint")), F.lit(0).cast("bigint"))
+        else:
+            value = F.when(has_type(f.name), _get(root, f.name, "string"))
+        fields.append(value.alias(f.name))
+    return F.struct(*fields)
 
 
-def _fields_fit(root: Column) -> Column:
-    """The parts the type pattern cannot see: RFC 3339 time text and a finite number."""
-    time_text, value = _get(root, "timestamp", "string"), _get(root, "value", "double")
-    return (time_text.isNull() | _time(root).isNotNull()) & (
-        value.isNull() | (F.abs(value) < F.lit(float("inf")))
-    )
+def _finite(number: Column) -> Column:
+    return F.abs(number) < F.lit(float("inf"))
 
 
 def decode(df: DataFrame, col: str = "value", variant: bool = False) -> DataFrame:
@@ -48,48 +56,49 @@ def decode(df: DataFrame, col: str = "value", variant: bool = False) -> DataFram
 
     ``decode_error`` is NULL for a strictly valid payload. Text after the first JSON
     value is ignored, as a stream decoder does; a bare ``null`` is an empty event.
+    The type pattern settles all fields of a good payload at once; only a failed one is
+    looked at field by field.
     """
     text = F.col(col).cast("string") if not variant else None
-    parsed = df.withColumn("__root", F.col(col) if variant else F.try_parse_json(text))
-    parsed = parsed.withColumn("__schema", F.schema_of_variant("__root"))
-    root, schema = F.col("__root"), F.col("__schema")
+    root, schema, time, number = (F.col(c) for c in ("__root", "__schema", "__time", "__number"))
+    time_text = F.col("__time_text")
+    parsed = (
+        df.withColumn("__root", F.col(col) if variant else F.try_parse_json(text))
+        .withColumns({
+            "__schema": F.schema_of_variant("__root"), "__time_text": _get(root, "timestamp", "string"),
+            "__number": _get(root, "value", "double"),
+        })
+        .withColumn("__time", F.when(time_text.rlike(RFC3339), F.try_to_timestamp(time_text)))
+    )
+    # what the type pattern cannot see: RFC 3339 time text and a finite number
+    fits = (time_text.isNull() | time.isNotNull()) & (number.isNull() | _finite(number))
+    strict = F.coalesce((schema == "VOID") | (schema.rlike(_STRICT) & fits), F.lit(False))
+    parsed = parsed.withColumn("__strict", strict)
     is_object = F.coalesce(schema.startswith("OBJECT<"), F.lit(False))
 
-    def field(name: str, kind: str) -> Column:
-        typed = schema.rlike(rf"[<\s]{name}: (?:{_FIELD_TYPES[name]})[,>]")
-        return F.when(is_object & typed, _get(root, name, kind))
+    def typed(name: str) -> Column:
+        return schema.rlike(rf"[<\s]{name}: (?:{_FIELD_TYPES[name]})[,>]")
 
-    fields = []
-    for f in EVENT.fields:
-        kind = {"string": "string", "long": "bigint", "double": "double"}.get(f.dataType.typeName())
-        value = F.when(is_object, _time(root)) if kind is None else field(f.name, kind)
-        if f.name == "value":
-            value = F.coalesce(F.when(F.abs(value) < F.lit(float("inf")), value), F.lit(0.0))
-        if f.name in ("schema_version", "sequence"):
-            value = F.coalesce(value, F.lit(0).cast("bigint"))
-        fields.append(value.alias(f.name))
-
-    strict = (schema == "VOID") | (schema.rlike(_STRICT) & _fields_fit(root))
+    event = F.when(F.col("__strict"), _fields(root, time, number, lambda name: F.lit(True))).otherwise(
+        _fields(root, F.when(is_object, time), number, lambda name: is_object & typed(name))
+    )
     known = F.array(*[F.lit(n) for n in EVENT.fieldNames()])
     keys = F.map_keys(F.try_variant_get(root, "$", "map<string,variant>"))
     unknown = F.try_element_at(F.array_except(keys, known), F.lit(1))
     error = (
-        F.when(root.isNull(), "decode event: invalid JSON")
-        .when(F.coalesce(strict, F.lit(False)), F.lit(None).cast("string"))
+        F.when(F.col("__strict"), F.lit(None).cast("string"))
+        .when(root.isNull(), "decode event: invalid JSON")
         .when(~is_object, "decode event: JSON object expected")
         .when(unknown.isNotNull(), F.format_string('decode event: unknown field "%s"', unknown))
         .otherwise("decode event: field has the wrong type")
     )
-    # Lenient reading allows unknown fields but no mistyped known one and no trailing
-    # text. Only failed rows pay for it.
+    # Lenient reading allows unknown fields but no mistyped known one and no trailing text.
     whole = F.lit(True) if variant else exact_json(text).isNotNull()
     lenient = F.when(
-        F.col("decode_error").isNotNull() & is_object,
-        _known_fields_typed(schema) & F.coalesce(_fields_fit(root), F.lit(False)) & whole,
-    ).otherwise(F.lit(False))
-    return (
-        parsed.withColumn("event", F.struct(*fields)).withColumn("decode_error", error)
-        .withColumn("__lenient", lenient).drop("__schema")
+        F.col("__strict") | ~is_object, F.lit(False)
+    ).otherwise(_known_fields_typed(schema) & F.coalesce(fits, F.lit(False)) & whole)
+    return parsed.withColumns({"event": event, "decode_error": error, "__lenient": lenient}).drop(
+        "__schema", "__time_text", "__number", "__time", "__strict"
     )
 
 

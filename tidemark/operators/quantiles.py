@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTION = 256
+SLICES = 4096
 
 
 def _bucket(value: Column) -> Column:
@@ -16,42 +17,55 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size).cast("bigint")
 
 
+def _slice(value: Column) -> Column:
+    """Position inside the bucket's own value range, in ``SLICES`` equal steps."""
+    share = F.try_divide(value - F.col("__lo"), F.col("__top") - F.col("__lo"))
+    return F.coalesce(F.floor(share * SLICES), F.lit(0)).cast("bigint")
+
+
+def _running(cells: DataFrame, group: list[str], order: str) -> DataFrame:
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cells.withColumn("__hi", F.sum("__c").over(upto))
+
+
+def _holding(counted: DataFrame, rank: str) -> DataFrame:
+    """Cells that hold the rank; the rank becomes relative to the cell's first row."""
+    first = F.col("__hi") - F.col("__c")
+    held = counted.where((F.col(rank) < F.col("__hi")) & (F.col(rank) >= first))
+    return held.withColumn(rank, F.col(rank) - first)
+
+
 def _pick(df: DataFrame, keys: list[str], value: str, targets: list[Column]) -> DataFrame:
     """Values at zero-based ranks given as expressions over the row count ``n``.
 
-    Pass 1 counts rows per (key, bucket), finds each rank's bucket from running counts;
-    pass 2 looks only at rows of those buckets, already folded to distinct values.
+    Counting narrows down where each rank lies: first among buckets of the whole range,
+    then among slices of that bucket, last among the distinct values of that slice. Each
+    step sees map-side folded counts, so no task holds the rows of a key.
     """
-    rows = df.where(F.col(value).isNotNull()).withColumn("__b", _bucket(F.col(value)))
-    cells = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    within = Window.partitionBy(*keys)
-    upto = within.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = cells.select(
-        *keys, "__b", "__c", F.sum("__c").over(upto).alias("__hi"), F.sum("__c").over(within).alias("n"),
-    )
+    v = F.col(value)
+    rows = df.where(v.isNotNull()).withColumn("__b", _bucket(v))
+    buckets = rows.groupBy(*keys, "__b").agg(
+        F.count(F.lit(1)).alias("__c"), F.min(v).alias("__lo"), F.max(v).alias("__top"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), t.cast("bigint").alias("rank")) for i, t in enumerate(targets)])
-    hits = (
-        counted.withColumn("t", F.explode(wanted)).select("*", "t.*")
-        .where((F.col("rank") < F.col("__hi")) & (F.col("rank") >= F.col("__hi") - F.col("__c")))
-        .select(*keys, "__b", "i", "n", (F.col("rank") - (F.col("__hi") - F.col("__c"))).alias("__k"))
-    )
-    distinct = (
-        rows.join(hits.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi")
-        .groupBy(*keys, "__b", value).agg(F.count(F.lit(1)).alias("__c"))
-    )
-    order = (
-        Window.partitionBy(*keys, "__b").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        distinct.withColumn("__hi", F.sum("__c").over(order))
-        .join(hits, [*keys, "__b"])
-        .where((F.col("__k") < F.col("__hi")) & (F.col("__k") >= F.col("__hi") - F.col("__c")))
-        .groupBy(*keys)
-        .agg(F.max("n").alias("n"), *[
-            F.max(F.when(F.col("i") == i, F.col(value))).alias(f"q{i}") for i in range(len(targets))
-        ])
-    )
+    in_bucket = _holding(
+        _running(buckets, keys, "__b").withColumn("n", F.sum("__c").over(Window.partitionBy(*keys)))
+        .withColumn("t", F.explode(wanted)).select("*", "t.*"), "rank",
+    ).select(*keys, "__b", "i", "n", "rank", "__lo", "__top")
+
+    group = [*keys, "__b"]
+    sliced = rows.join(in_bucket.select(*group, "__lo", "__top").distinct(), group).withColumn("__s", _slice(v))
+    slices = sliced.groupBy(*group, "__s").agg(F.count(F.lit(1)).alias("__c"))
+    in_slice = _holding(
+        _running(slices, group, "__s").join(in_bucket.select(*group, "i", "n", "rank"), group), "rank"
+    ).select(*group, "__s", "i", "n", "rank")
+
+    group = [*group, "__s"]
+    distinct = sliced.join(in_slice.select(*group).distinct(), group, "left_semi").groupBy(*group, value).agg(
+        F.count(F.lit(1)).alias("__c"))
+    found = _holding(_running(distinct, group, value).join(in_slice, group), "rank")
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("i") == i, v)).alias(f"q{i}") for i in range(len(targets))
+    ])
 
 
 def _named(picked: DataFrame, keys: list[str], names: Sequence[str]) -> DataFrame:

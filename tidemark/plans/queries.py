@@ -1,4 +1,8 @@
-"""The read queries. ``as_of`` stands for "now" and is always explicit."""
+"""The read queries. ``as_of`` stands for "now" and is always explicit.
+
+Queries that add up their input (rates, totals, series, tenant windows) give the same
+answer over merged views and over unmerged deltas; the latter saves a shuffle.
+"""
 
 from __future__ import annotations
 
