@@ -108,3 +108,27 @@ def test_windows_equal_direct_aggregation(spark, sf):
 def test_repeated_id_is_cut_before_the_shuffle(spark):
     plan = process_batch(log(spark, [(0, "a", 0)])).winners._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_hot_id_and_hot_source(spark):
+    """A third of all rows repeat one id and half come from one source; nothing is lost."""
+    rng = random.Random(2)
+    data, at = [], {}
+    for i in range(6000):
+        eid = "hot" if rng.random() < 0.34 else f"e{rng.randrange(3000)}"
+        part = rng.randrange(2)
+        at[part] = at.get(part, -1) + 1
+        t = T0 + dt.timedelta(seconds=i + rng.choice([0, 0, 0, -200, 50]))
+        data.append(("t", part, at[part], T0 + dt.timedelta(seconds=i), eid, "tenant_1", "s" if rng.random() < 0.5 else f"s{i % 7}", t, 0.1, "ok"))
+    got = process_batch(spark.createDataFrame(data, SCHEMA), block=100)
+    seen, marks, counts, sources = set(), {}, {"recorded": 0, "duplicate": 0, "late": 0}, {}
+    for row in data:
+        marks[row[1]] = max(marks.get(row[1], row[7]), row[7])
+        late = row[7] < marks[row[1]] - dt.timedelta(seconds=120)
+        kind = "duplicate" if row[4] in seen else "late" if late else "recorded"
+        seen.add(row[4])
+        counts[kind] += 1
+        if kind == "recorded":
+            sources[row[6]] = sources.get(row[6], 0) + 1
+    assert dict(rows(disposition_counts(got.progress))) == counts
+    assert {r["source_id"]: r["events_count"] for r in agg.source_metrics(got.grain).collect()} == sources

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.functions.text import encode_event, event_struct
-from tidemark.operators.admission import ADMIN, Principal
+from tidemark.operators.admission import ADMIN, TENANT_USER, Principal
 from tidemark.operators.dedup import dedup_within
 from tidemark.plans.apply import BatchOptions, apply_batch, apply_messages
 from tidemark.plans.replay import (
     as_log, hot_totals, rebuild, rebuild_verdict, replay, replay_summary, replay_verdict,
 )
+from tidemark.plans.reader import Reader
+from tidemark.plans.scope import Forbidden
 from tidemark.schemas import LOG_MESSAGE
 from tidemark.sources.archive import archive_rows, read_archive, write_archive
 from tidemark.sources.events import read_events_batch, read_events_stream, to_log_rows
@@ -175,6 +177,24 @@ def test_stream_equals_batch_and_recovers(spark, log, whole, tmp_path):
         F.get_json_object("p", "$.processed_total"), F.get_json_object("p", "$.dead_letter_total")).first()
     assert tuple(state) == ("983", "1")
 
+    # the read API over what the stream stored
+    reader = Reader(views, str(tmp_path / "evidence.json"))
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    admin, owner = Principal(ADMIN), Principal(TENANT_USER, "tenant_03")
+    row = reader.overview(admin).first()
+    assert row["processed_total"] == 983 and row["recent_rejections"] == []
+    mine = whole.read("source_metrics").where("tenant_id = 'tenant_03'")
+    total = mine.agg(F.sum("events_count")).first()[0]
+    assert reader.overview(owner).first()["processed_total"] == total
+    assert reader.tenant_series(owner, "tenant_03", "24h", now).agg(F.sum("events_count")).first()[0] == total
+    assert reader.event_windows(owner, window_size="5m", lookback="24h", as_of=now).agg(F.sum("events_count")).first()[0] == total
+    assert reader.top_sources(owner, limit=1).count() == 1
+    assert reader.rejections(admin).count() == 0
+    assert reader.partitions(admin, F.current_timestamp() - F.expr("INTERVAL 1 DAY")).count() == 12
+    assert reader.evidence(admin).first()["status"] == "missing"
+    with pytest.raises(Forbidden):
+        reader.evidence(owner)
+
 
 def test_batch_read_and_messages(spark, log, tmp_path):
     kafka_files(spark, log, str(tmp_path / "log"), 1)

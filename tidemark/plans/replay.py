@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +79,14 @@ def rebuild(
     views.reset_tenants(tenants)
     lines = read_archive(views.spark, archive_root, start, end, tenants[0] if len(tenants) == 1 else None)
     wanted = lines.where(F.col("event.tenant_id").isin(list(tenants)))
-    log = as_log(wanted.select("archived_at", "event"), partitions, partition, run_id)
+    # parsed once, then read by the claims, marks and lateness passes
+    log = as_log(wanted.select("archived_at", "event"), partitions, partition, run_id).persist(StorageLevel.DISK_ONLY)
     options = BatchOptions(
         lateness_seconds=lateness_seconds, block=REPLAY_BLOCK_US, ties=("event_id",), instance_id=run_id, snapshot_seconds=None)
-    return apply_batch(views, log, run_id, 0, options)
+    try:
+        return apply_batch(views, log, run_id, 0, options)
+    finally:
+        log.unpersist()
 
 
 def hot_totals(views: HotViews, tenant: str | None = None) -> DataFrame:

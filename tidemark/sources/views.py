@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.aggregates import rollup
+from tidemark.operators.state import latest_state
 from tidemark.schemas import VIEWS
 
 CLAIM_BUCKETS = 256
@@ -30,7 +31,8 @@ _COMMIT = T.StructType([
     T.StructField("folded", T.MapType(T.StringType(), T.LongType())),
 ])
 _SUMS = ["events_count", "ok_count", "warn_count", "error_count", "value_sum"]
-# view -> (keys, sums, maxima); views not listed are plain appends
+# view -> (keys, sums, maxima); of service_state the newest row per instance counts,
+# the other views are plain appends
 MERGE: dict[str, tuple[list[str], list[str], list[str]]] = {
     "tenant_metrics": (["bucket_start", "tenant_id"], _SUMS, ["last_event_at"]),
     "tenant_metric_shards": (["bucket_start", "tenant_id", "shard_id"], _SUMS, ["last_event_at"]),
@@ -150,6 +152,8 @@ class HotViews:
         if view in MERGE:
             keys, sums, maxima = MERGE[view]
             return rollup(rows, keys, sums, maxima).select(*VIEWS[view].fieldNames())
+        if view == "service_state":
+            return latest_state(rows).select(*VIEWS[view].fieldNames())
         return rows
 
     # -- claims ----------------------------------------------------------------

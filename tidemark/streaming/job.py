@@ -15,7 +15,7 @@ from tidemark.operators.admission import Principal, admit_batches, admitted_even
 from tidemark.operators.deadletters import dead_letter_log
 from tidemark.operators.rejections import to_rejections
 from tidemark.plans.apply import BatchOptions, apply_messages
-from tidemark.session import prepare
+from tidemark.session import prepare, shared_dir
 from tidemark.sources.archive import archive_rows, write_archive
 from tidemark.sources.events import to_log_rows, write_log
 from tidemark.sources.views import HotViews
@@ -23,8 +23,10 @@ from tidemark.sources.views import HotViews
 FLUSH_INTERVAL = "100 milliseconds"
 
 
-def _start(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None, name: str) -> StreamingQuery:
-    writer = df.writeStream.queryName(name).foreachBatch(handle).option("checkpointLocation", checkpoint)
+def _start(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None, interval: str | None, name: str) -> StreamingQuery:
+    writer = df.writeStream.queryName(name).foreachBatch(handle).option(
+        "checkpointLocation", checkpoint or shared_dir(df.sparkSession, "streams", name)
+    )
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
@@ -40,7 +42,7 @@ def dead_letter_publisher(fmt: str, options: Mapping[str, str] = {}, path: str |
 
 
 def start_processor(
-    messages: DataFrame, views: HotViews, checkpoint: str, run_id: str = "stream",
+    messages: DataFrame, views: HotViews, checkpoint: str | None = None, run_id: str = "stream",
     options: BatchOptions = BatchOptions(), interval: str | None = FLUSH_INTERVAL, publish_dead_letters=None, fault=None,
 ) -> StreamingQuery:
     """Fold the log into the hot views.
@@ -48,6 +50,7 @@ def start_processor(
     The checkpoint advances only after the batch is committed to the views and its dead
     letters are published; any failure stops the query and the batch is repeated. The
     source's ``maxOffsetsPerTrigger`` bounds a batch, ``interval=None`` drains and stops.
+    Without ``checkpoint`` the state goes below the cluster's ``spark.checkpoint.dir``.
     """
     prepare(views.spark)
 
@@ -82,7 +85,7 @@ def ingest_requests(
 
 
 def start_ingest(
-    requests: DataFrame, principal: Principal, views: HotViews, archive_root: str, checkpoint: str, log_format: str,
+    requests: DataFrame, principal: Principal, views: HotViews, archive_root: str, checkpoint: str | None, log_format: str,
     log_options: Mapping[str, str] = {}, log_path: str | None = None, run_id: str = "ingest", interval: str | None = FLUSH_INTERVAL,
 ) -> StreamingQuery:
     run = partial(
