@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard_join, substring_dedup
+from tidemark.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, substring_dedup
 from tidemark.llm.common import table
 from tidemark.session import prepare
 
@@ -21,9 +21,30 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.without_duplicates(_documents(spark, sf_dir)))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_documents(spark, sf_dir))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_documents(spark, sf_dir))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op8_jaccard_join)}
-ORACLE: dict[str, str] = {}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = language_id.held_out().alias("held_out")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_substring_dedup, op4_license_scan, op7_source_mixing, op8_jaccard_join, op9_decontamination, op10_language_id,
+)}
+ORACLE: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
