@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, substring_dedup
+from tidemark.llm import (
+    decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, substring_dedup, top_k,
+)
 from tidemark.llm.common import table
 from tidemark.session import prepare
 
@@ -21,10 +24,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.without_duplicates(_documents(spark, sf_dir)))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return top_k.top_k(vectors, F.col("vec_id") % top_k.QUERY_EVERY == 0)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(_documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.without_boilerplate(_documents(spark, sf_dir)))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_documents(spark, sf_dir))
 
@@ -45,6 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op4_license_scan, op7_source_mixing, op8_jaccard_join, op9_decontamination, op10_language_id,
+    op1_substring_dedup, op3_top_k, op4_license_scan, op5_line_dedup, op7_source_mixing, op8_jaccard_join,
+    op9_decontamination, op10_language_id,
 )}
-ORACLE: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_top_k": top_k.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
+}
