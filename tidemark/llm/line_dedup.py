@@ -71,12 +71,12 @@ def digest(kept: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH l AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents
 ), b AS (
   SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= {SITES}
 )
 SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
-       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY at) FILTER (WHERE b.line IS NULL), '')) AS kept_sha256
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN b ON l.line = b.line GROUP BY doc_id
 """
