@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, substring_dedup, top_k,
+    decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, substring_dedup, token_ids, top_k,
 )
 from tidemark.llm.common import table
 from tidemark.session import prepare
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.without_duplicates(_documents(spark, sf_dir)))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.written(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(prepare(spark), sf_dir, "embeddings")
     return top_k.top_k(vectors, F.col("vec_id") % top_k.QUERY_EVERY == 0)
@@ -57,8 +62,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op3_top_k, op4_license_scan, op5_line_dedup, op7_source_mixing, op8_jaccard_join,
-    op9_decontamination, op10_language_id,
+    op1_substring_dedup, op2_token_ids, op3_top_k, op4_license_scan, op5_line_dedup, op7_source_mixing,
+    op8_jaccard_join, op9_decontamination, op10_language_id,
 )}
 ORACLE: dict[str, str] = {
     "op3_top_k": top_k.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE,
