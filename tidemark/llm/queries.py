@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, substring_dedup, token_ids, top_k,
+    decontaminate, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, mixing, substring_dedup, token_ids, top_k,
 )
 from tidemark.llm.common import table
 from tidemark.session import prepare
@@ -42,6 +42,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.without_boilerplate(_documents(spark, sf_dir)))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(_documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_documents(spark, sf_dir))
 
@@ -62,8 +66,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_token_ids, op3_top_k, op4_license_scan, op5_line_dedup, op7_source_mixing,
-    op8_jaccard_join, op9_decontamination, op10_language_id,
+    op1_substring_dedup, op2_token_ids, op3_top_k, op4_license_scan, op5_line_dedup, op6_lm_scoring,
+    op7_source_mixing, op8_jaccard_join, op9_decontamination, op10_language_id,
 )}
 ORACLE: dict[str, str] = {
     "op3_top_k": top_k.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE,
