@@ -13,16 +13,16 @@ from tidemark.session import prepare
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models know: those without a letter and those rejected go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = language_id.identify(docs.select("text", F.struct("*").alias("row")), language_id.fit(docs))
+    return found.where(~F.col("rejected")).select("row.*")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates; of rows that repeat its doc_id one. Rows without one stay."""
     first = pin(jaccard_join.similar_documents(docs).where("doc_id = class_id").select("doc_id").distinct())
-    row = Window.partitionBy("doc_id").orderBy("_key")
-    kept = docs.join(first, "doc_id").withColumn("_key", text_key()).withColumn("_row", F.row_number().over(row))
-    return kept.where("_row = 1").select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", text_key().alias("key"), F.struct("*").alias("row")).join(first, "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
+    return rows.withColumn("place", place).where("place = 1").select("row.*").unionAll(docs.where("doc_id is null"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, s
     dirty = pin(contained_items(docs, items, containment, size).select(
         F.col("doc").alias("_doc"), F.col("text_key").alias("_key")).distinct())
     doc, key = _row_key()
-    return docs.join(dirty, (doc == F.col("_doc")) & (key == F.col("_key")), "left_anti")
+    return docs.join(dirty, (doc == dirty["_doc"]) & (key == dirty["_key"]), "left_anti")
 
 
 ORACLE = r"""

@@ -153,7 +153,7 @@ def similar_documents(
     ``similarity`` or more; ``class_id`` is the smallest doc_id that such links reach, directly or over others. Words are
     separated by white space and taken as they are. A text of fewer than ``size`` words is one shingle; an empty or null
     text has none, links to nothing and is its own class. Rows that repeat a doc_id are one document with several
-    texts: their classes join. A row without a doc_id takes no part (class null, no links). Further columns are ignored.
+    texts: their classes join, and every row counts as a copy. A row without a doc_id takes no part (class null, no links). Further columns are ignored.
     """
     prefix = matched_prefix(similarity, trees, depth, recall)
     rows = pin(with_own_id(with_plain_id(docs, "text").mapInPandas(

@@ -142,11 +142,9 @@ class Filter:
     cutoff: float
 
     @staticmethod
-    def places(grams: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
-        x = mixed(grams + U64(level + 1) * U64(0xD1B54A32D192ED03))
-        step = (x >> U64(32)) | U64(1)
-        for i in range(PROBES):
-            yield ((x & U64(0xFFFFFFFF)) + U64(i) * step) % U64(size)
+    def place(grams: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
+        x = mixed(grams + U64((level + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+        return ((x & U64(0xFFFFFFFF)) + U64(probe) * ((x >> U64(32)) | U64(1))) % U64(size)
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """Lower bounds of the counts; 0 for what is not held."""
@@ -157,8 +155,7 @@ class Filter:
             for i in range(PROBES):
                 if not len(at):
                     break
-                x = mixed(grams[at] + U64(step + 1) * U64(0xD1B54A32D192ED03))
-                place = base + ((x & U64(0xFFFFFFFF)) + U64(i) * ((x >> U64(32)) | U64(1))) % U64(self.per_segment)
+                place = base + self.place(grams[at], step, i, self.per_segment)
                 set_ = (self.bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 > 0
                 at, base = at[set_], base[set_]
             if not len(at):
@@ -175,8 +172,8 @@ def _filled(size: int, cutoff: float):
                 flags = np.zeros(size, bool)
                 top = np.where(counts >= cutoff, level_of(counts, cutoff), -1)
                 for level in range(int(top.max(initial=-1)) + 1):
-                    for place in Filter.places(grams[top >= level], level, size):
-                        flags[place.astype(np.int64)] = True
+                    for probe in range(PROBES):
+                        flags[Filter.place(grams[top >= level], level, probe, size).astype(np.int64)] = True
                 yield pd.DataFrame({"segment": [segment], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
     return run

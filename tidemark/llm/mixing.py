@@ -76,9 +76,10 @@ def taken(docs: DataFrame, share: float = SHARE, most: float = MOST, seed: str =
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mixed rows, with the columns of ``docs``: each row as often as the mix takes it."""
-    return mixed_sizes(docs, share, most, seed).where("copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixed rows, with the columns of ``docs`` whatever their names: each row as often as the mix takes it."""
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
+    return mixed_sizes(rows, share, most, seed).where("copies > 0").select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = rf"""
