@@ -13,7 +13,7 @@ from tidemark.plans.scope import Forbidden, requested_tenant, scoped
 from tidemark.schemas import LOG_MESSAGE, VIEWS
 from tidemark.sources.evidence import latest_per_key, read_evidence, read_report_files, read_samples, write_report
 
-ADMINISTRATOR, OWNER = Principal(ADMIN), Principal(TENANT_USER, "tenant_1")
+ADMINISTRATOR, OWNER = Principal(ADMIN), Principal(TENANT_USER, "harbour")
 NOW = dt.datetime(2026, 4, 10, 12, 0)
 
 
@@ -29,19 +29,19 @@ def test_batches_are_all_or_nothing(spark):
         f"[{','.join([good] * 501)}]", f"[{','.join([good] * 500)}]", f"[{good},{foreign}]", f'["{{}}"]', f"[{good}]]",
     ]
     want = [
-        (None, None, None), ("validation_failed", 1, "tenant_1"), ("decode_failed", 1, None), ("validation_failed", -1, None),
+        (None, None, None), ("validation_failed", 1, "harbour"), ("decode_failed", 1, None), ("validation_failed", -1, None),
         ("decode_failed", -1, None), ("decode_failed", -1, None), ("decode_failed", -1, None), ("validation_failed", -1, None),
         (None, None, None), (None, None, None), ("decode_failed", 0, None), ("decode_failed", -1, None),
     ]
     assert verdicts(spark, bodies, ADMINISTRATOR) == dict(enumerate(want))
     assert verdicts(spark, [f"[{good},{foreign}]", f"[{bad},{foreign}]"], OWNER) == {
-        0: ("forbidden", 1, None), 1: ("validation_failed", 0, "tenant_1")}
+        0: ("forbidden", 1, None), 1: ("validation_failed", 0, "harbour")}
     assert verdicts(spark, [f"[{good}]"], Principal("viewer"))[0][0] == "forbidden"
 
 
 def test_admitted_events_come_from_whole_batches(spark):
     df = spark.createDataFrame([(0, f"[{payload()},{payload(event_id='b')}]"), (1, f"[{payload()},{payload(sequence=0)}]")], "request_id int, body string")
-    assert rows(admitted_events(df, ADMINISTRATOR).select("request_id", "pos", "event_id"), "pos") == [(0, 0, "evt-1"), (0, 1, "b")]
+    assert rows(admitted_events(df, ADMINISTRATOR).select("request_id", "pos", "event_id"), "pos") == [(0, 0, "e-0007"), (0, 1, "b")]
 
 
 def test_oversized_bodies_fail_decode(spark):
@@ -52,15 +52,15 @@ def test_oversized_bodies_fail_decode(spark):
 
 def test_rejections(spark):
     df = spark.createDataFrame([
-        (1, "decode_failed", "", None, "{broken"), (2, "validation_failed", "tenant_1", " ", '{"a":1}'),
-        (3, "backpressure", "tenant_1", "s", "{}"), (4, "forbidden", None, None, "{}"), (5, None, None, None, "{}"),
+        (1, "decode_failed", "", None, "{broken"), (2, "validation_failed", "harbour", " ", '{"a":1}'),
+        (3, "backpressure", "harbour", "s", "{}"), (4, "forbidden", None, None, "{}"), (5, None, None, None, "{}"),
     ], "id int, reason string, tenant_id string, source_id string, payload string")
     stored = to_rejections(df, F.col("payload"), F.lit(NOW), F.col("id"))
     assert rows(stored.select("id", "reason", "tenant_id", "source_id", "payload"), "id") == [
-        ("1", "decode_failed", None, None, BAD_PAYLOAD), ("2", "validation_failed", "tenant_1", None, '{"a":1}')]
+        ("1", "decode_failed", None, None, BAD_PAYLOAD), ("2", "validation_failed", "harbour", None, '{"a":1}')]
     assert rows(rejection_counts(df), "reason") == [("backpressure", 1), ("decode_failed", 1), ("validation_failed", 1)]
     recent = q.recent_rejections(stored, principal=OWNER)
-    assert rows(recent.select("id", "tenant_id", "source_id")) == [("2", "tenant_1", "")]
+    assert rows(recent.select("id", "tenant_id", "source_id")) == [("2", "harbour", "")]
 
 
 def test_dead_letter_record(spark):
@@ -75,16 +75,16 @@ def test_dead_letter_record(spark):
 
 
 def views(spark):
-    shard = [(NOW, "tenant_1", 1, 4, 2, 1, 1, 10.0, NOW), (NOW, "tenant_1", 2, 2, 2, 0, 0, 2.0, NOW),
+    shard = [(NOW, "harbour", 1, 4, 2, 1, 1, 10.0, NOW), (NOW, "harbour", 2, 2, 2, 0, 0, 2.0, NOW),
              (NOW - dt.timedelta(seconds=60), "tenant_2", 1, 6, 0, 0, 6, 1.0, NOW), (NOW - dt.timedelta(seconds=61), "tenant_2", 1, 9, 0, 0, 9, 1.0, NOW)]
     shards = spark.createDataFrame(shard, VIEWS["tenant_metric_shards"])
-    legacy = spark.createDataFrame([(NOW, "tenant_1", 4, 4, 0, 0, 8.0, NOW)], VIEWS["tenant_metrics"])
+    legacy = spark.createDataFrame([(NOW, "harbour", 4, 4, 0, 0, 8.0, NOW)], VIEWS["tenant_metrics"])
     return shards, legacy
 
 
 def test_legacy_and_shards_add_up(spark):
     shards, legacy = views(spark)
-    series = q.tenant_series(shards, legacy, "tenant_1", F.lit(NOW))
+    series = q.tenant_series(shards, legacy, "harbour", F.lit(NOW))
     assert rows(series) == [(NOW, 10, 8, 1, 1, 2.0)]
     rates = q.overview_rates(shards, legacy, F.lit(NOW)).first()
     assert tuple(rates) == (16 / 60.0, 7 / 16)
@@ -98,7 +98,7 @@ def test_tenant_scope(spark):
     assert scoped(state, OWNER).count() == 0 and scoped(state, ADMINISTRATOR).count() == 1
     hidden = spark.createDataFrame([("1", "r", None, None, "{}", NOW)], VIEWS["rejection_events"])
     assert scoped(hidden, OWNER).count() == 0
-    assert requested_tenant(OWNER, "") == "tenant_1"
+    assert requested_tenant(OWNER, "") == "harbour"
     with pytest.raises(Forbidden):
         requested_tenant(OWNER, "tenant_2")
     with pytest.raises(ValueError):
@@ -110,17 +110,17 @@ def test_tenant_scope(spark):
 
 
 def test_windows_of_unknown_size_are_empty(spark):
-    window = spark.createDataFrame([(60, NOW, "tenant_1", "s", 1, 1, 0, 0, 2.0, NOW)], VIEWS["event_windows"])
-    assert q.event_windows(window, "tenant_1", F.lit(NOW), window_size="2m").count() == 0
-    assert q.event_windows(window, "tenant_1", F.lit(NOW)).first()["window_size"] == "1m0s"
+    window = spark.createDataFrame([(60, NOW, "harbour", "s", 1, 1, 0, 0, 2.0, NOW)], VIEWS["event_windows"])
+    assert q.event_windows(window, "harbour", F.lit(NOW), window_size="2m").count() == 0
+    assert q.event_windows(window, "harbour", F.lit(NOW)).first()["window_size"] == "1m0s"
     with pytest.raises(ValueError):
-        q.event_windows(window, "tenant_1", F.lit(NOW), lookback="0s")
+        q.event_windows(window, "harbour", F.lit(NOW), lookback="0s")
 
 
 def test_overview_for_a_tenant_user(spark):
     shards, legacy = views(spark)
-    sources = spark.createDataFrame([("tenant_1", "s", 7, NOW), ("tenant_2", "s", 9, NOW)], VIEWS["source_metrics"])
-    rejections = spark.createDataFrame([("1", "r", "tenant_1", None, "{}", NOW), ("2", "r", "tenant_2", None, "{}", NOW)], VIEWS["rejection_events"])
+    sources = spark.createDataFrame([("harbour", "s", 7, NOW), ("tenant_2", "s", 9, NOW)], VIEWS["source_metrics"])
+    rejections = spark.createDataFrame([("1", "r", "harbour", None, "{}", NOW), ("2", "r", "tenant_2", None, "{}", NOW)], VIEWS["rejection_events"])
     state = spark.createDataFrame([("ingest-service", "i", '{"accepted_total":5}', NOW)], VIEWS["service_state"])
     mine = q.overview(shards, legacy, sources, rejections, state, F.lit(NOW), OWNER).first()
     assert (mine["accepted_total"], mine["processed_total"], mine["consumer_lag"], len(mine["recent_rejections"])) == (0, 7, 0, 1)

@@ -16,7 +16,7 @@ CASES = [
     (payload(sequence=0, unknown=1), "validation_failed", "sequence must be greater than zero"),
     (payload(value="x"), "decode_failed", "decode event: field has the wrong type"),
     (payload(event_id=5), "decode_failed", "decode event: field has the wrong type"),
-    (payload().replace("10.5", "1e400"), "decode_failed", "decode event: field has the wrong type"),
+    (payload().replace("-3.25", "1e400"), "decode_failed", "decode event: field has the wrong type"),
     ("null", "validation_failed", "schema_version must be 1"),
     (payload(event_id=None), "validation_failed", "event_id is required"),
     (payload() + " trailing", None, None),
@@ -54,7 +54,7 @@ def test_ids_recovered_and_time_in_utc(spark):
                                 ('{"schema_version":1',)], "value string")
     first, second, third = classify(df).collect()
     assert first["event"]["timestamp"] == dt.datetime(2026, 4, 11, 11, 0, 0, 500000)
-    assert (second["event"]["event_id"], second["event"]["tenant_id"]) == ("evt-1", "tenant_1")
+    assert (second["event"]["event_id"], second["event"]["tenant_id"]) == ("e-0007", "harbour")
     assert third["event"]["event_id"] is None
 
 
@@ -63,7 +63,7 @@ def test_encode_round_trip_and_default_version(spark):
     events = accepted(classify(df)).withColumn("schema_version", F.lit(0).cast("bigint"))
     text = events.select(encode_event(event_struct()).alias("value"))
     back = accepted(classify(text)).first().asDict()
-    assert back == {**BASE, "timestamp": dt.datetime(2026, 4, 10, 12, 0)}
+    assert back == {**BASE, "timestamp": dt.datetime(2025, 8, 21, 6, 30, 15)}
 
 
 def test_parse_happens_once_under_a_filter(spark):

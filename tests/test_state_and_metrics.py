@@ -10,7 +10,7 @@ from tidemark.functions.timeparts import duration_label, duration_seconds, windo
 from tidemark.operators import alerts, counters, evidence, quantiles, runs, state
 from tidemark.operators.aggregates import histogram
 
-NOW = dt.datetime(2026, 4, 10, 12, 0)
+NOW = dt.datetime(2025, 8, 21, 6, 30)
 
 
 def state_rows(spark, items):
@@ -19,31 +19,35 @@ def state_rows(spark, items):
 
 
 def test_ingest_totals(spark):
-    later = NOW + dt.timedelta(seconds=5)
-    df = state_rows(spark, [("ingest-service", "a", {"accepted_total": 120, "rejected_total": 7}, NOW),
-                            ("ingest-service", "b", {"accepted_total": 80, "rejected_total": 3}, later)])
-    live = state.live_states(df, state.INGEST, F.lit(later))
-    assert rows(state.ingest_state(live)) == [(200, 10, later)]
+    seconds = [0, 4, 9, 15, 16, 400]  # the last two have not reported for more than 15 s
+    items = [("ingest-service", f"gate-{i}", {"accepted_total": 11 * i + 2, "rejected_total": i}, NOW - dt.timedelta(seconds=s))
+             for i, s in enumerate(seconds)]
+    items.append(("stream-processor", "gate-0", {"accepted_total": 5000, "rejected_total": 5000}, NOW))
+    live = state.live_states(state_rows(spark, items), state.INGEST, F.lit(NOW))
+    assert rows(state.ingest_state(live)) == [(sum(11 * i + 2 for i in range(4)), 0 + 1 + 2 + 3, NOW)]
 
 
 def test_processor_totals_and_health(spark):
-    def part(n, lag):
-        return {"partition": n, "lag": lag, "processed_total": 1, "last_offset": n}
-
-    a = dict(processed_total=150, duplicate_total=6, dead_letter_total=1, consumer_lag=300, active_partitions=1, inflight_messages=40,
-             processing_p50_ms=5.1, processing_p95_ms=12.0, processing_p99_ms=30.3, partitions=[part(1, 5), part(1, 9)])
-    b = dict(processed_total=200, duplicate_total=10, dead_letter_total=2, consumer_lag=175, active_partitions=2, inflight_messages=22,
-             processing_p50_ms=4.0, processing_p95_ms=18.4, processing_p99_ms=20.0, partitions=[part(2, 7), part(0, 1)])
-    old = NOW - dt.timedelta(seconds=16)
-    df = state_rows(spark, [("stream-processor", "p1", a, NOW), ("stream-processor", "p2", b, NOW), ("stream-processor", "p3", a, old)])
-    live = state.live_states(df, state.PROCESSOR, F.lit(NOW))
+    """Replicas with drawn numbers: sums, worst quantiles and each partition's last entry, as plain Python has them."""
+    rng = random.Random(17)
+    sums = ("processed_total", "duplicate_total", "dead_letter_total", "consumer_lag", "active_partitions", "inflight_messages")
+    worst = ("processing_p50_ms", "processing_p95_ms", "processing_p99_ms")
+    replicas = {}
+    for name in ("east", "north", "west"):
+        parts = [{"partition": p, "lag": rng.randrange(900), "processed_total": rng.randrange(50), "last_offset": rng.randrange(10**6)}
+                 for p in rng.sample(range({"east": 0, "north": 10, "west": 20}[name], {"east": 10, "north": 20, "west": 30}[name]), 4)]
+        parts.append({**parts[0], "lag": parts[0]["lag"] + 1000})  # a partition listed twice
+        replicas[name] = {**{k: rng.randrange(10_000) for k in sums}, **{k: rng.randrange(1000) / 8 for k in worst}, "partitions": parts}
+    items = [("stream-processor", name, body, NOW - dt.timedelta(seconds=3 * i)) for i, (name, body) in enumerate(replicas.items())]
+    items.append(("stream-processor", "gone", replicas["east"], NOW - dt.timedelta(seconds=90)))
+    live = state.live_states(state_rows(spark, items), state.PROCESSOR, F.lit(NOW))
     total = state.processor_state(live).first()
-    assert (total["processed_total"], total["duplicate_total"], total["dead_letter_total"], total["consumer_lag"]) == (350, 16, 3, 475)
-    assert (total["active_partitions"], total["inflight_messages"], total["instance_count"]) == (3, 62, 2)
-    assert (total["processing_p50_ms"], total["processing_p95_ms"], total["processing_p99_ms"]) == (5.1, 18.4, 30.3)
-    health = state.partition_health(live).orderBy("partition").collect()
-    # the repeated partition 1 keeps its last entry
-    assert [(r["partition"], r["owner_instance_id"], r["lag"]) for r in health] == [(0, "p2", 1), (1, "p1", 9), (2, "p2", 7)]
+    assert {k: total[k] for k in sums} == {k: sum(r[k] for r in replicas.values()) for k in sums}
+    assert {k: total[k] for k in worst} == {k: max(r[k] for r in replicas.values()) for k in worst}
+    assert total["instance_count"] == 3
+    last = {p["partition"]: (name, p["lag"]) for name, r in replicas.items() for p in r["partitions"]}
+    health = state.partition_health(live).collect()
+    assert {r["partition"]: (r["owner_instance_id"], r["lag"]) for r in health} == last
 
 
 def test_no_instances_gives_zeros(spark):

@@ -20,7 +20,7 @@ from tidemark.schemas import LOG_MESSAGE
 from tidemark.sources.archive import archive_rows, read_archive, write_archive
 from tidemark.sources.events import read_events_batch, read_events_stream, to_log_rows
 from tidemark.sources.views import HotViews
-from tidemark.streaming.job import dead_letter_publisher, ingest_requests, start_ingest, start_processor
+from tidemark.streaming.job import dead_letter_publisher, ingest_requests, start_ingest, start_processor, stream_run
 from tidemark.streaming.native import native_windows, stateful_lateness
 from tidemark.streaming.stats import progress_rows
 
@@ -125,6 +125,50 @@ def test_replay_adds_nothing_and_rebuild_restores(spark, log, tmp_path):
     assert verdict.first()["rebuild_restored"]
 
 
+def test_rebuild_is_one_step(spark, log, tmp_path):
+    views, root = hot(spark, tmp_path / "v"), str(tmp_path / "archive")
+    apply_batch(views, log, "run", 0, OPTIONS)
+    write_archive(archive_rows(log, F.lit(None).cast("string"), F.col("log_time")), root)
+    tenants = [f"tenant_{i:02d}" for i in range(10)]
+    source = F.substring("event.source_id", 8, 6).cast("int")
+    before = unordered(views.read("source_metrics"))
+
+    def fault(stage):
+        if stage == "commit":
+            raise RuntimeError("injected")
+
+    # a failure between reset and rebuild changes nothing
+    with pytest.raises(RuntimeError):
+        rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "again", 12, source % 12, fault=fault)
+    assert unordered(hot(spark, views.root).read("source_metrics")) == before
+    rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "again", 12, source % 12)
+    assert unordered(hot(spark, views.root).read("source_metrics")) == before
+    # a used run and a range that leaves out hot days are refused before anything is reset
+    with pytest.raises(ValueError, match="used already"):
+        rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "again", 12, source % 12)
+    with pytest.raises(ValueError, match="hot rows"):
+        rebuild(views, root, "2024-01-02", "2024-01-02", tenants, "third", 12, source % 12)
+    assert unordered(hot(spark, views.root).read("source_metrics")) == before
+
+
+def test_new_checkpoint_skips_nothing(spark, log, tmp_path):
+    files = kafka_files(spark, log, str(tmp_path / "log"), 2)
+    views = hot(spark, tmp_path / "v")
+    for at, path in enumerate(files):
+        messages = read_events_stream(spark, "parquet", {}, path)
+        drained(start_processor(messages, views, str(tmp_path / f"cp{at}"), options=OPTIONS, interval=None))
+    ids = views.refresh().read("processed_events")
+    assert ids.count() == log.select("event_id").distinct().count()
+
+
+def test_small_values_are_not_lost(spark, tmp_path):
+    log = fx.telemetry(spark, "/root/testdata/sf0.001").withColumn("value", F.lit(4e-7))
+    views = hot(spark, tmp_path / "v")
+    result = apply_batch(views, log, "run", 0, OPTIONS)
+    total = views.read("event_windows").where("window_size_seconds = 60").agg(F.sum("value_sum")).first()[0]
+    assert total == pytest.approx(4e-7 * result.recorded)
+
+
 def kafka_files(spark, log, path, parts=3):
     """The log as Kafka-shaped parquet files, one per arrival range."""
     rows_ = log.withColumn("text", encode_event(event_struct())).select(
@@ -159,11 +203,12 @@ def test_stream_equals_batch_and_recovers(spark, log, whole, tmp_path):
     query = start_processor(messages, views, checkpoint, options=OPTIONS, interval=None, publish_dead_letters=broken)
     with pytest.raises(Exception, match="dead-letter log is down"):
         query.awaitTermination(300)
-    stopped_at = views.refresh().committed("stream")
+    run = stream_run("stream", query.id)
+    stopped_at = views.refresh().committed(run)
     assert stopped_at < 3
     query = drained(start_processor(messages, views, checkpoint, options=OPTIONS, interval=None, publish_dead_letters=publish))
     views.refresh()
-    assert views.committed("stream") == 3
+    assert views.committed(run) == 3
     assert progress_rows(spark, query).count() >= 1
     for view in MERGED:
         assert unordered(views.read(view)) == unordered(whole.read(view)), view
@@ -213,11 +258,11 @@ def test_ingest_stream(spark, tmp_path):
                          log_path=str(tmp_path / "out"), interval=None)
     drained(query)
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 2 and {bytes(r["key"]) for r in out.collect()} == {b"tenant_1:sensor_1"}
-    assert read_archive(spark, str(tmp_path / "archive"), "2026-04-10").count() == 2
+    assert out.count() == 2 and {bytes(r["key"]) for r in out.collect()} == {b"harbour:gauge-31"}
+    assert read_archive(spark, str(tmp_path / "archive"), "2025-08-21").count() == 2
     rejected = views.refresh().read("rejection_events")
     got = sorted((r["id"], r["reason"], r["tenant_id"], r["payload"][:6]) for r in rejected.collect())
-    assert got == [("1", "validation_failed", "tenant_1", '{"even'), ("2", "decode_failed", None, '{"raw"')]
+    assert got == [("1", "validation_failed", "harbour", '{"even'), ("2", "decode_failed", None, '{"raw"')]
 
 
 def test_native_variants(spark, log, whole, tmp_path):
@@ -250,14 +295,15 @@ def archived(spark, root, tenants):
 
 def test_archive_round_trip(spark, tmp_path):
     root = str(tmp_path / "a")
-    archived(spark, root, [("tenant_1", "2026-04-10T12:00:00Z"), ("tenant_2", "2026-04-10T12:01:00Z"), ("a/b", "2026-04-11T01:00:00Z"),
+    archived(spark, root, [("harbour", "2026-04-10T12:00:00Z"), ("tenant_2", "2026-04-10T12:01:00Z"), ("a/b", "2026-04-11T01:00:00Z"),
                            ("a_b", "2026-04-11T01:00:00Z")])
-    assert list((tmp_path / "a/day=2026-04-10/tenant=tenant_1/hour=12").glob("*.txt"))
-    one = read_archive(spark, root, "2026-04-10", tenant="tenant_1")
+    assert list((tmp_path / "a/day=2026-04-10/tenant=harbour/hour=12").glob("*.txt"))
+    one = read_archive(spark, root, "2026-04-10", tenant="harbour")
     assert [r["event"]["event_id"] for r in one.collect()] == ["evt-1"]
     assert one.first()["raw_payload"] == '{"event_id":"x"}'
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan and "isnotnull(tenant" in plan.split("PartitionFilters")[1]
+    # only the wanted folders are listed
+    assert {f.split("tenant=")[1].split("/")[0] for f in one.inputFiles()} == {"harbour"}
+    assert all("day=2026-04-10" in f for f in read_archive(spark, root, "2026-04-10").inputFiles())
     assert read_archive(spark, root, "2026-04-10", "2026-04-11").count() == 4
     # two tenants share the path segment a_b; the row's own tenant decides
     assert rows(replay_summary(read_archive(spark, root, "2026-04-11", tenant="a/b"), "a/b"))[0][1:] == (2, 1, 1)
@@ -274,14 +320,14 @@ def test_archive_round_trip(spark, tmp_path):
 def test_archive_dated_layout(spark, tmp_path):
     line = '{"archived_at":"2026-04-10T12:01:00Z","event":%s,"raw_payload":{"event_id":"evt-legacy"}}\n'
     day = tmp_path / "2026/04/10"
-    (day / "tenant_1/12").mkdir(parents=True)
+    (day / "harbour/12").mkdir(parents=True)
     (day / "events.ndjson").write_text(line % payload(event_id="evt-legacy", tenant_id="tenant_legacy"))
-    (day / "tenant_1/12/events-20260410.ndjson").write_text(line % payload())
+    (day / "harbour/12/events-20260410.ndjson").write_text(line % payload())
     lines = read_archive(spark, str(tmp_path), "2026-04-10", tenant="tenant_legacy")
     assert rows(replay_summary(lines, "tenant_legacy")) == [(1, 1, 0, 1)]
     assert lines.first()["raw_payload"] == '{"event_id":"evt-legacy"}'
-    lines = read_archive(spark, str(tmp_path), "2026-04-10", tenant="tenant_1")
-    assert rows(replay_summary(lines, "tenant_1")) == [(2, 2, 1, 1)]
+    lines = read_archive(spark, str(tmp_path), "2026-04-10", tenant="harbour")
+    assert rows(replay_summary(lines, "harbour")) == [(2, 2, 1, 1)]
     (day / "events.ndjson").write_text("not json\n")
     with pytest.raises(Exception):
         read_archive(spark, str(tmp_path), "2026-04-10").collect()

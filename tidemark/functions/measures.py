@@ -6,9 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SHARDS = 32
-# Sums of doubles depend on the order rows arrive in; rounding the total to six
-# digits makes the result the same for every partitioning and every retry.
-VALUE_DIGITS = 6
 COUNTS = ("events_count", "ok_count", "warn_count", "error_count")
 # FNV-1a, 32 bit (fixed values)
 FNV_OFFSET, FNV_PRIME, FNV_MASK = 2166136261, 16777619, 4294967295
@@ -21,7 +18,7 @@ def measures(time_name: str = "last_event_at") -> list[Column]:
         F.count_if(F.col("status") == "ok").alias("ok_count"),
         F.count_if(F.col("status") == "warn").alias("warn_count"),
         F.count_if(~F.coalesce(F.col("status").isin("ok", "warn"), F.lit(False))).alias("error_count"),
-        F.round(F.sum("value"), VALUE_DIGITS).alias("value_sum"),
+        F.sum("value").alias("value_sum"),
         F.max("timestamp").alias(time_name),
     ]
 
@@ -30,11 +27,20 @@ def merged_measures(time_name: str = "last_event_at", out: str | None = None) ->
     """The same accumulator over partial aggregates."""
     return [
         *[F.sum(c).alias(c) for c in COUNTS],
-        F.round(F.sum("value_sum"), VALUE_DIGITS).alias("value_sum"),
+        F.sum("value_sum").alias("value_sum"),
         F.max(time_name).alias(out or time_name),
     ]
 
 
+def displayed(value: Column | str, digits: int = 9) -> Column:
+    """A double to so many significant digits.
+
+    Sums of doubles differ in their last digits with the order of addition; this is for reports
+    and comparisons, never for what is stored or merged.
+    """
+    return F.format_string(f"%.{digits - 1}e", F.col(value) if isinstance(value, str) else value).cast("double")
+
+
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """Quotient, or 0 where there is nothing to divide by."""
     num = F.col(numerator) if isinstance(numerator, str) else numerator

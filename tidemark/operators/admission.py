@@ -44,8 +44,9 @@ def authorize_ingest(df: DataFrame, principal: Principal, column: str = "tenant_
 
 
 def _limited(body: Column, limit: int) -> Column:
-    """A longer body is read only up to the limit, which leaves it undecodable."""
-    return F.when(F.octet_length(body) <= limit, body).otherwise(F.lit("{"))
+    """A longer body is read only up to the limit."""
+    read = F.decode(F.substring(F.encode(body, "UTF-8"), 1, limit), "UTF-8")
+    return F.when(F.octet_length(body) <= limit, body).otherwise(read)
 
 
 def _judge(df: DataFrame, principal: Principal, col: str, variant: bool = False) -> DataFrame:
@@ -113,7 +114,8 @@ def admit_batches(requests: DataFrame, principal: Principal, key: str = "request
 
 
 def admitted_events(requests: DataFrame, principal: Principal, key: str = "request_id", col: str = "body") -> DataFrame:
-    """Events of the requests admitted whole, with their request and position."""
+    """Events of the requests admitted whole, with their request, position and the element that was sent."""
     admitted = admit_batches(requests, principal, key, col).where("reason IS NULL").select(key)
     elements = explode_event_batches(requests, col).select(key, "pos", "element").join(admitted, key, "left_semi")
-    return classify(elements, "element", True, recover=False).select(key, "pos", "event.*")
+    return classify(elements, "element", True, recover=False).select(
+        key, "pos", "event.*", F.to_json("element").alias("raw_payload"))

@@ -75,10 +75,7 @@ def tenant_rollup(shards: DataFrame, legacy: DataFrame | None = None) -> DataFra
 
 def rollup(deltas: DataFrame, keys: Sequence[str], sums: Sequence[str], maxima: Sequence[str]) -> DataFrame:
     """Merge additive deltas: counts and sums add up, times take the greatest."""
-    total = [
-        (F.round(F.sum(c), 6) if c == "value_sum" else F.sum(c)).alias(c) for c in sums
-    ]
-    return deltas.groupBy(*keys).agg(*total, *[F.max(c).alias(c) for c in maxima])
+    return deltas.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima])
 
 
 def count_by(df: DataFrame, label: str = "reason") -> DataFrame:

@@ -85,7 +85,13 @@ def nearest_rank(
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The newest ``n`` rows per key; each map task forwards at most ``n`` per key."""
+    """The newest ``n`` rows per key; each map task forwards at most ``n`` per key.
+
+    For keys that takes ``windowGroupLimitThreshold`` of at least ``n`` (``prepare`` sets the largest
+    window used here); without keys it is a sort with a limit.
+    """
+    if not keys:
+        return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= n).drop("__rn")
 

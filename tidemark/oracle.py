@@ -11,6 +11,12 @@ from tidemark.workload import SOURCE, TENANT, _DRILLS
 
 ORACLE: dict[str, str] = {}
 
+
+def _shown(value: str) -> str:
+    """Nine significant digits."""
+    return f"CAST(printf('%.8e', {value}) AS DOUBLE)"
+
+
 _E = 1704067200000000
 _CUT = 1704088800000000
 
@@ -46,7 +52,7 @@ FROM (SELECT *, max(ts_us) OVER (PARTITION BY part ORDER BY off ROWS BETWEEN UNB
     "win": ("""
 SELECT size, ts_us - ts_us % (size * 1000000) AS w_us, tenant_id, source_id, count(*) AS n,
   count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'warn') AS warn, count(*) FILTER (status = 'error') AS err,
-  round(sum(value), 6) AS vs, max(ts_us) AS last_us
+  sum(value) AS vs, max(ts_us) AS last_us
 FROM rec, (SELECT unnest([60, 300]) AS size) GROUP BY 1, 2, 3, 4""", ("rec",)),
     "src": ("SELECT tenant_id, source_id, count(*) AS events_count, make_timestamp(max(ts_us)) AS last_event_at FROM rec GROUP BY 1, 2",
             ("rec",)),
@@ -184,13 +190,13 @@ SELECT make_timestamp(s) AS started_at, make_timestamp(f) AS fired_at, make_time
     WHERE on_) GROUP BY s HAVING max(t) - s >= {due_us})"""
 
 
-_MEAS = """count(*) AS events_count, count(*) FILTER (status = 'ok') AS ok_count, count(*) FILTER (status = 'warn') AS warn_count,
-  count(*) FILTER (status = 'error') AS error_count, round(sum(value), 6) AS value_sum"""
+_MEAS = f"""count(*) AS events_count, count(*) FILTER (status = 'ok') AS ok_count, count(*) FILTER (status = 'warn') AS warn_count,
+  count(*) FILTER (status = 'error') AS error_count, {_shown("sum(value)")} AS value_sum"""
 _WIN = """make_timestamp(w_us) AS window_start, CASE size WHEN 60 THEN '1m0s' ELSE '5m0s' END AS window_size, tenant_id, {src} AS source_id,
   {agg}, make_timestamp({last}) AS max_event_at, ((SELECT us FROM now) - {last}) / 1000.0 AS freshness_ms"""
 _WIN_ALL = _WIN.format(src="''", last="max(last_us)", agg="""CAST(sum(n) AS BIGINT) AS events_count, CAST(sum(ok) AS BIGINT) AS ok_count,
-  CAST(sum(warn) AS BIGINT) AS warn_count, CAST(sum(err) AS BIGINT) AS error_count, round(sum(vs), 6) / sum(n) AS average_value""")
-_WIN_ONE = _WIN.format(src="source_id", last="last_us", agg="""n AS events_count, ok AS ok_count, warn AS warn_count, err AS error_count, vs / n AS average_value""")
+  CAST(sum(warn) AS BIGINT) AS warn_count, CAST(sum(err) AS BIGINT) AS error_count, """ + _shown("sum(vs) / sum(n)") + " AS average_value")
+_WIN_ONE = _WIN.format(src="source_id", last="last_us", agg="""n AS events_count, ok AS ok_count, warn AS warn_count, err AS error_count, """ + _shown("vs / n") + " AS average_value")
 _FNV = """CAST(list_reduce(list_prepend(2166136261::BIGINT,
   list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || substr(hex(b), CAST(2 * i - 1 AS BIGINT), 2))::BIGINT)),
   lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 32 AS INTEGER)"""
@@ -208,7 +214,15 @@ GROUP BY 1, 2, 3""", "rec"),
     "source_metrics": _with("SELECT * FROM src", "src"),
     "rebuilt_sources": _with("SELECT * FROM src", "src"),
     "event_windows": _with("""SELECT size AS window_size_seconds, make_timestamp(w_us) AS window_start, tenant_id, source_id, n AS events_count, ok AS ok_count,
-  warn AS warn_count, err AS error_count, vs AS value_sum, make_timestamp(last_us) AS max_event_at FROM win""", "win"),
+  warn AS warn_count, err AS error_count, """ + _shown("vs") + """ AS value_sum, make_timestamp(last_us) AS max_event_at FROM win""", "win"),
+    "extreme_windows": _with(f"""SELECT size AS window_size_seconds, make_timestamp(ts_us - ts_us % (size * 1000000)) AS window_start, tenant_id, source_id,
+  {_shown("sum(value * unit)")} AS value_sum
+FROM (SELECT *, [1e-9::DOUBLE, 1.0::DOUBLE, 1e10::DOUBLE][CAST(substr(source_id, 8, 6) AS INTEGER) % 3 + 1] AS unit FROM rec),
+  (SELECT unnest([60, 300]) AS size) GROUP BY 1, 2, 3, 4""", "rec"),
+    "restarted_views": _with("SELECT * FROM src", "src"),
+    "rebuilt_views": _with("SELECT * FROM src", "src"),
+    "archive_scan": _with(f"""SELECT event_id, source_id, make_timestamp(ts_us) AS timestamp, make_timestamp(arr_us) AS archived_at
+FROM tele WHERE tenant_id = '{TENANT}'""", "tele"),
     "event_windows_all_tenants": _with(f"SELECT {_WIN_ALL} FROM win WHERE size = 300 GROUP BY size, w_us, tenant_id", "win", "now"),
     "shard_ids": _with(f"SELECT tenant_id, source_id, {_FNV} AS shard_id FROM (SELECT DISTINCT tenant_id, source_id, encode(tenant_id || chr(0) || source_id) AS b FROM tele)", "tele"),
     "size_histogram": _with("""SELECT le, CAST(CASE le WHEN '+Inf' THEN count(*) ELSE count(*) FILTER (size <= TRY_CAST(le AS BIGINT)) END AS BIGINT) AS bucket_count
@@ -217,7 +231,7 @@ FROM (SELECT count(*) AS size FROM tele GROUP BY part, arr_us // 60000000), (SEL
 FROM rec WHERE ts_us - ts_us % 10000000 >= (SELECT us FROM now) - 60000000""", "rec", "now"),
     "processed_total": _with("SELECT count(*) AS stored_processed_total FROM rec", "rec"),
     "tenant_series": _with(f"""SELECT make_timestamp(ts_us - ts_us % 10000000) AS bucket_start, count(*) AS events_count, count(*) FILTER (status = 'ok') AS ok_count,
-  count(*) FILTER (status = 'warn') AS warn_count, count(*) FILTER (status = 'error') AS error_count, round(sum(value), 6) / count(*) AS average_value
+  count(*) FILTER (status = 'warn') AS warn_count, count(*) FILTER (status = 'error') AS error_count, {_shown("sum(value) / count(*)")} AS average_value
 FROM rec WHERE tenant_id = '{TENANT}' AND ts_us - ts_us % 10000000 >= (SELECT us FROM now) - 43200000000 GROUP BY 1""", "rec", "now"),
     "event_windows_tenant": _with(f"SELECT {_WIN_ALL} FROM win WHERE size = 300 AND tenant_id = '{TENANT}' AND w_us >= (SELECT us FROM now) - 43200000000 GROUP BY size, w_us, tenant_id", "win", "now"),
     "event_windows_source": _with(f"SELECT {_WIN_ONE} FROM win WHERE size = 60 AND tenant_id = '{TENANT}' AND source_id = '{SOURCE}' AND w_us >= (SELECT us FROM now) - 43200000000", "win", "now"),

@@ -23,6 +23,8 @@ from tidemark.plans.process import process_batch, view_deltas
 from tidemark.sources.views import HotViews
 
 LOG_COLUMNS = ("topic", "partition", "offset", "log_time")
+# topics of replay runs start with this; they are no part of the live log
+REPLAY_TOPIC = "archive.replay"
 
 
 @dataclass(frozen=True)
@@ -173,7 +175,8 @@ def _snapshot(views: HotViews, run_id: str, batch_id: int, instance: str) -> Dat
         return views.deltas(view).drop("run_id", "batch_id").unionByName(now)
 
     stats = with_current("batch_stats").where(F.col("instance_id") == instance)
-    parts = with_current("partition_progress").groupBy("topic", "partition").agg(
+    live = ~F.col("topic").startswith(REPLAY_TOPIC)
+    parts = with_current("partition_progress").where(live).groupBy("topic", "partition").agg(
         *[F.sum(c).alias(c) for c in ("processed_total", "duplicate_total", "late_event_total")],
         F.max("last_offset").alias("last_offset"), F.max("last_seen_at").alias("last_seen_at"))
     zero = F.lit(0).cast("bigint")

@@ -94,7 +94,7 @@ def all_sources(windows: DataFrame) -> DataFrame:
     """Merge the sources of each tenant window; the source becomes ''."""
     counts = ["events_count", "ok_count", "warn_count", "error_count"]
     return windows.groupBy("window_size_seconds", "window_start", "tenant_id").agg(
-        *[F.sum(c).alias(c) for c in counts], F.round(F.sum("value_sum"), 6).alias("value_sum"),
+        *[F.sum(c).alias(c) for c in counts], F.sum("value_sum").alias("value_sum"),
         F.max("max_event_at").alias("max_event_at"),
     ).withColumn("source_id", F.lit(""))
 

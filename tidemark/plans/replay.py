@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.measures import log_partition
 from tidemark.functions.text import partition_key
 from tidemark.operators.lateness import ALLOWED_LATENESS_SECONDS
-from tidemark.plans.apply import BatchOptions, BatchResult, apply_batch
-from tidemark.sources.archive import read_archive
+from tidemark.plans.apply import REPLAY_TOPIC, BatchOptions, BatchResult, apply_batch
+from tidemark.sources.archive import day_range, read_archive
 from tidemark.sources.views import HotViews
 
-REPLAY_TOPIC = "archive.replay"
 # A minute of arrivals per scan block.
 REPLAY_BLOCK_US = 60_000_000
 
@@ -69,14 +68,23 @@ def as_log(replayed: DataFrame, partitions: int, partition: Column | None = None
 
 def rebuild(
     views: HotViews, archive_root: str, start: str, end: str | None, tenants: Sequence[str], run_id: str,
-    partitions: int, partition: Column | None = None, lateness_seconds: float = ALLOWED_LATENESS_SECONDS,
+    partitions: int, partition: Column | None = None, lateness_seconds: float = ALLOWED_LATENESS_SECONDS, fault=None,
 ) -> BatchResult:
-    """Reset the tenants, then process their archived events through the normal batch path.
+    """Replace the tenants' hot rows by what their archived events give.
 
-    Lateness is judged among the replayed rows, so it comes out as it was only when all
-    tenants that share a log partition are rebuilt together.
+    The reset and the rebuilt rows become visible in one commit; a failure before it changes
+    nothing. A used ``run_id`` is refused, as its batch would be skipped, and so is a range that
+    leaves out days for which the tenants have hot rows. Lateness is judged among the replayed
+    rows, so it comes out as it was only when all tenants that share a log partition are rebuilt
+    together.
     """
-    views.reset_tenants(tenants)
+    if views.committed(run_id) >= 0:
+        raise ValueError(f"run id {run_id} is used already")
+    first, last = day_range(start, end)
+    held = views.read("tenant_metric_shards").where(F.col("tenant_id").isin(list(tenants))).agg(
+        F.min("bucket_start").cast("date").alias("first"), F.max("bucket_start").cast("date").alias("last")).first()
+    if held["first"] is not None and not first <= held["first"] <= held["last"] <= last:
+        raise ValueError(f"the tenants have hot rows from {held['first']} to {held['last']}; rebuild all these days")
     lines = read_archive(views.spark, archive_root, start, end, tenants[0] if len(tenants) == 1 else None)
     wanted = lines.where(F.col("event.tenant_id").isin(list(tenants)))
     # parsed once, then read by the claims, marks and lateness passes
@@ -84,9 +92,10 @@ def rebuild(
     options = BatchOptions(
         lateness_seconds=lateness_seconds, block=REPLAY_BLOCK_US, ties=("event_id",), instance_id=run_id, snapshot_seconds=None)
     try:
-        return apply_batch(views, log, run_id, 0, options)
+        return apply_batch(views.as_if_reset(tenants), log, run_id, 0, options, fault=fault)
     finally:
         log.unpersist()
+        views.refresh()
 
 
 def hot_totals(views: HotViews, tenant: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # the newest rows per key are cut in each map task, up to the largest rolling window
+    "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
 }
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",

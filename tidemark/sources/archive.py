@@ -71,10 +71,11 @@ def day_range(start: str, end: str | None = None) -> tuple[dt.date, dt.date]:
     return first, last
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a glob pattern names, in order."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+    return sorted(status.getPath().toString() for status in found) if found is not None else []
 
 
 _STORED = ARCHIVE_LINE
@@ -100,27 +101,39 @@ def read_archive(
     return result
 
 
+def _within(day: str, first: dt.date, last: dt.date) -> bool:
+    try:
+        return first <= dt.date.fromisoformat(day) <= last
+    except ValueError:
+        return False
+
+
 def _read_partitioned(spark, root, first, last, tenant) -> DataFrame | None:
-    if not _exists(spark, f"{root}/day=*"):
+    """Lists the day folders by name, then reads only the wanted ones (and the tenant's folder in each)."""
+    days = [p.rsplit("day=", 1)[1] for p in _matching(spark, f"{root}/day=*")]
+    wanted = [d for d in days if _within(d, first, last)]
+    if not wanted:
+        return None
+    folder = f"/tenant={_segment(tenant)}" if tenant and tenant.strip() else ""
+    paths = _matching(spark, f"{root}/day={{{','.join(wanted)}}}{folder}")
+    if not paths:
         return None
     schema = T.StructType([
         *_STORED.fields, T.StructField("day", T.DateType()), T.StructField("tenant", T.StringType()),
         T.StructField("hour", T.StringType()),
     ])
-    lines = spark.read.schema(schema).option("mode", "FAILFAST").json(root).where(F.col("day").between(first, last))
-    if tenant and tenant.strip():
-        lines = lines.where(F.col("tenant") == _segment(tenant))
+    lines = spark.read.schema(schema).option("mode", "FAILFAST").option("basePath", root).json(paths)
     return lines.select(*_STORED.fieldNames(), F.col("_metadata.file_path").alias("path"))
 
 
 def _read_dated(spark, root, first, last, tenant) -> DataFrame | None:
     """The older ``root/Y/M/D/[tenant/hour/]events*.ndjson`` layout; missing paths are skipped."""
     folder = _segment(tenant) if tenant and tenant.strip() else "*"
-    patterns = []
-    for i in range((last - first).days + 1):
-        base = f"{root}/{first + dt.timedelta(days=i):%Y/%m/%d}"
-        patterns += [f"{base}/{folder}/*/events*.ndjson", f"{base}/events*.ndjson"]
-    paths = [p for p in patterns if _exists(spark, p)]
+    digits = "[0-9][0-9]"
+    days = _matching(spark, f"{root}/{digits}{digits}/{digits}/{digits}")
+    wanted = [p for p in days if _within("-".join(p.rsplit("/", 3)[1:]), first, last)]
+    paths = [p for day in wanted for p in (
+        _matching(spark, f"{day}/{folder}/*/events*.ndjson") + _matching(spark, f"{day}/events*.ndjson"))]
     if not paths:
         return None
     return (

@@ -11,6 +11,7 @@ row. There is one writer at a time per root.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -55,6 +56,8 @@ class HotViews:
     claim_buckets: int = CLAIM_BUCKETS
     # the writer's own view of the commit log; readers start empty and load it once
     _log: dict = field(default_factory=dict, repr=False)
+    # commit rows that wait for the next commit
+    _pending: list = field(default_factory=list, repr=False)
 
     def on(self, spark: SparkSession) -> HotViews:
         """The same views through another session (streaming batches run in a clone)."""
@@ -107,7 +110,8 @@ class HotViews:
 
     def commit(self, run_id: str, batch_id: int, folded: dict[str, int] | None = None) -> None:
         seq = self._commits()[3]
-        self.spark.createDataFrame([(seq, run_id, batch_id, folded)], _COMMIT).coalesce(1).write.mode("append").parquet(
+        rows = [*self._pending, (seq, run_id, batch_id, folded)]
+        self.spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("append").parquet(
             f"{self.root}/_commits"
         )
         self.refresh()
@@ -179,9 +183,19 @@ class HotViews:
 
     # -- maintenance -----------------------------------------------------------
     def compact(self, keep: Callable[[str], Column] | None = None) -> str:
-        """Fold all committed deltas into one snapshot; ``keep(view)`` filters rows on the way."""
+        """Fold all committed deltas into one snapshot; ``keep(view)`` filters rows on the way.
+
+        One commit state holds for the whole compaction: what is committed meanwhile is neither
+        folded nor counted as folded.
+        """
+        run, folded = self._fold(keep)
+        self.commit(run, 0, folded)
+        return run
+
+    def _fold(self, keep: Callable[[str], Column] | None) -> tuple[str, dict[str, int]]:
+        """Write a snapshot that no commit row names yet."""
         _, folded, committed, seq = self._commits()
-        run = f"snapshot-{seq:012d}"
+        run = f"snapshot-{seq:012d}-{uuid.uuid4().hex[:8]}"
         for view in VIEWS:
             if not self._exists(f"{self.root}/{view}"):
                 continue
@@ -189,14 +203,28 @@ class HotViews:
             if keep is not None:
                 rows = rows.where(keep(view))
             self._write_snapshot(view, rows, run)
-        self.commit(run, 0, {**folded, **committed})
-        return run
+        return run, {**folded, **committed}
 
     def reset_tenants(self, tenant_ids: Sequence[str]) -> str:
         """Forget the tenants' hot rows, claims, shards and windows."""
+        return self.compact(self._without(tenant_ids))
+
+    def as_if_reset(self, tenant_ids: Sequence[str]) -> HotViews:
+        """The views without the tenants' rows, for one batch.
+
+        Others see the reset only with the first commit made through the result, in the same
+        commit file: if that never comes, nothing was reset.
+        """
+        _, _, committed, seq = self._commits()
+        run, folded = self._fold(self._without(tenant_ids))
+        state = {"state": (run, folded, committed, seq + 1)}
+        return HotViews(self.spark, self.root, self.claim_buckets, state, [(seq, run, 0, folded)])
+
+    @staticmethod
+    def _without(tenant_ids: Sequence[str]) -> Callable[[str], Column]:
         def keep(view: str) -> Column:
             if "tenant_id" in VIEWS[view].fieldNames() and view not in ("rejection_events", "dead_letters"):
                 return ~F.coalesce(F.col("tenant_id").isin(list(tenant_ids)), F.lit(False))
             return F.lit(True)
 
-        return self.compact(keep)
+        return keep

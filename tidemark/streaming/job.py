@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.text import encode_event, event_struct
 from tidemark.operators.admission import Principal, admit_batches, admitted_events
 from tidemark.operators.deadletters import dead_letter_log
 from tidemark.operators.rejections import to_rejections
@@ -23,6 +22,18 @@ from tidemark.sources.views import HotViews
 FLUSH_INTERVAL = "100 milliseconds"
 
 
+def stream_run(run_id: str, query_id: str) -> str:
+    """The run under which a stream commits: its name and the id that its checkpoint holds.
+
+    Batch numbers start anew with a new checkpoint, so commits of another checkpoint must not count for it.
+    """
+    return f"{run_id}.{query_id}"
+
+
+def _run_of(run_id: str, batch: DataFrame) -> str:
+    return stream_run(run_id, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+
+
 def _start(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None, interval: str | None, name: str) -> StreamingQuery:
     writer = df.writeStream.queryName(name).foreachBatch(handle).option(
         "checkpointLocation", checkpoint or shared_dir(df.sparkSession, "streams", name)
@@ -50,13 +61,14 @@ def start_processor(
     The checkpoint advances only after the batch is committed to the views and its dead
     letters are published; any failure stops the query and the batch is repeated. The
     source's ``maxOffsetsPerTrigger`` bounds a batch, ``interval=None`` drains and stops.
-    Without ``checkpoint`` the state goes below the cluster's ``spark.checkpoint.dir``.
+    Without ``checkpoint`` the state goes below the cluster's ``spark.checkpoint.dir``. A new
+    checkpoint is a new run: nothing of it is skipped, and ids claimed earlier stay claimed.
     """
     prepare(views.spark)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         apply_messages(
-            views.on(batch.sparkSession), batch, run_id, batch_id, options, publish_dead_letters, fault)
+            views.on(batch.sparkSession), batch, _run_of(run_id, batch), batch_id, options, publish_dead_letters, fault)
 
     return _start(messages, handle, checkpoint, interval, f"{run_id}-processor")
 
@@ -67,19 +79,22 @@ def ingest_requests(
 ) -> None:
     """Admit batch requests, record rejections, archive and publish what was admitted.
 
-    Archive and publish may repeat after a failure; dedup by event id makes that safe.
+    The commit comes last: a batch that is committed is done, any other is repeated whole. Archive and publish may
+    then repeat; dedup by event id makes that safe.
     """
-    kept = requests.persist(StorageLevel.MEMORY_AND_DISK)
     views = views.on(requests.sparkSession)
+    if views.committed(run_id) >= batch_id:
+        return
+    kept = requests.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         verdicts = admit_batches(kept, principal, key)
         now = F.current_timestamp()
         views.write("rejection_events", to_rejections(
             verdicts.where("reason IS NOT NULL"), F.col("payload"), now, F.col(key)), run_id, batch_id)
-        views.commit(run_id, batch_id)
         events = admitted_events(kept, principal, key)
-        write_archive(archive_rows(events, encode_event(event_struct()), now), archive_root)
+        write_archive(archive_rows(events, F.col("raw_payload"), now), archive_root)
         write_log(to_log_rows(events), log_format, log_options, log_path)
+        views.commit(run_id, batch_id)
     finally:
         kept.unpersist()
 
@@ -90,5 +105,6 @@ def start_ingest(
 ) -> StreamingQuery:
     run = partial(
         ingest_requests, principal=principal, views=views, archive_root=archive_root, log_format=log_format,
-        log_options=log_options, log_path=log_path, run_id=run_id)
-    return _start(requests, lambda batch, batch_id: run(batch, batch_id=batch_id), checkpoint, interval, run_id)
+        log_options=log_options, log_path=log_path)
+    return _start(
+        requests, lambda batch, batch_id: run(batch, run_id=_run_of(run_id, batch), batch_id=batch_id), checkpoint, interval, run_id)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
-from tidemark.functions.measures import per_second, shard_id
+from tidemark.functions.measures import displayed, per_second, shard_id
 from tidemark.functions.text import display_number, display_percent, event_struct, path_segment
 from tidemark.functions.timeparts import bucket_start, seconds_between
 from tidemark.operators import aggregates as agg
@@ -23,11 +24,14 @@ from tidemark.operators.dedup import duplicates
 from tidemark.operators.dispositions import disposition_counts
 from tidemark.operators.rejections import rejection_counts, to_rejections
 from tidemark.plans import queries as q
+from tidemark.plans.apply import BatchOptions, apply_batch
 from tidemark.plans.process import process_batch
-from tidemark.plans.replay import as_log, replay_filter, replay_summary
+from tidemark.plans.replay import as_log, rebuild, replay_filter, replay_summary
 from tidemark.plans.scope import scoped
-from tidemark.sources.archive import archive_rows
+from tidemark.session import shared_dir
+from tidemark.sources.archive import archive_rows, read_archive, write_archive
 from tidemark.sources.events import to_log_rows
+from tidemark.sources.views import HotViews
 
 TENANT, SOURCE = "tenant_03", "sensor_000013"
 ADMINISTRATOR, TENANT_PRINCIPAL = Principal(ADMIN), Principal(TENANT_USER, TENANT)
@@ -92,15 +96,20 @@ def partition_progress(spark, d):
 # -- aggregates --------------------------------------------------------------------------
 
 
+def _shown(df):
+    """Sums and averages to nine digits, as the order of addition decides on the last ones."""
+    return df.withColumns({c: displayed(c) for c in ("value_sum", "average_value") if c in df.columns})
+
+
 @query
 def tenant_shards(spark, d):
-    return agg.tenant_shards(fx.processed(spark, d).grain)
+    return _shown(agg.tenant_shards(fx.processed(spark, d).grain))
 
 
 @query
 def tenant_rollup(spark, d):
     legacy, shards = _legacy_and_shards(spark, d)
-    return agg.tenant_rollup(shards, legacy)
+    return _shown(agg.tenant_rollup(shards, legacy))
 
 
 @query
@@ -110,14 +119,23 @@ def source_metrics(spark, d):
 
 @query
 def event_windows(spark, d):
-    return agg.event_windows(fx.processed(spark, d).grain)
+    return _shown(agg.event_windows(fx.processed(spark, d).grain))
+
+
+@query
+def extreme_windows(spark, d):
+    """Windows of sources that measure in very small, usual and very large units."""
+    unit = F.element_at(F.array(F.lit(1e-9), F.lit(1.0), F.lit(1e10)), F.substring("source_id", 8, 6).cast("int") % 3 + 1)
+    recorded = fx.processed(spark, d).recorded.withColumn("value", F.col("value") * unit)
+    return _shown(agg.event_windows(agg.base_grain(recorded)).select(
+        "window_size_seconds", "window_start", "tenant_id", "source_id", "value_sum"))
 
 
 @query
 def event_windows_all_tenants(spark, d):
     """Flagship: 5-minute tenant windows over all sources."""
     windows = agg.event_windows(fx.processed(spark, d).grain, [300])
-    return q.all_sources(windows).select(*[c for c in q.window_columns(_now(spark, d))])
+    return _shown(q.all_sources(windows).select(*[c for c in q.window_columns(_now(spark, d))]))
 
 
 @query
@@ -150,19 +168,19 @@ def processed_total(spark, d):
 @query
 def tenant_series(spark, d):
     legacy, shards = _legacy_and_shards(spark, d)
-    return q.tenant_series(shards, legacy, TENANT, _now(spark, d), "12h")
+    return _shown(q.tenant_series(shards, legacy, TENANT, _now(spark, d), "12h"))
 
 
 @query
 def event_windows_tenant(spark, d):
     windows = agg.event_windows(fx.processed(spark, d).grain)
-    return q.event_windows(windows, TENANT, _now(spark, d), window_size="5m", lookback="12h")
+    return _shown(q.event_windows(windows, TENANT, _now(spark, d), window_size="5m", lookback="12h"))
 
 
 @query
 def event_windows_source(spark, d):
     windows = agg.event_windows(fx.processed(spark, d).grain)
-    return q.event_windows(windows, TENANT, _now(spark, d), SOURCE, window_size="1m", lookback="12h")
+    return _shown(q.event_windows(windows, TENANT, _now(spark, d), SOURCE, window_size="1m", lookback="12h"))
 
 
 @query
@@ -330,6 +348,54 @@ def rebuilt_sources(spark, d):
     return agg.source_metrics(rebuilt.grain)
 
 
+# -- stored views and a written archive --------------------------------------------------
+
+
+def _stored(spark: SparkSession) -> tuple[HotViews, str]:
+    """Empty views and an archive root of their own in the cluster's shared folder."""
+    root = shared_dir(spark, "tidemark-queries", uuid.uuid4().hex)
+    return HotViews(spark, f"{root}/views", claim_buckets=16), f"{root}/archive"
+
+
+_OPTIONS = BatchOptions(block=fx.OFFSET_BLOCK, snapshot_seconds=None)
+
+
+def _archived(spark: SparkSession, d: str, root: str) -> DataFrame:
+    log = fx.telemetry(spark, d)
+    write_archive(archive_rows(log, F.lit(None).cast("string"), F.col("log_time")), root)
+    return log
+
+
+@query
+def restarted_views(spark, d):
+    """A stream that starts over with a new checkpoint, and so with batch 0, loses nothing."""
+    views, _ = _stored(spark)
+    log = fx.telemetry(spark, d)
+    apply_batch(views, log.where(fx.before_cutover()), "stream.first", 0, _OPTIONS)
+    apply_batch(views, log.where(~fx.before_cutover()), "stream.second", 0, _OPTIONS)
+    return views.read("source_metrics")
+
+
+@query
+def rebuilt_views(spark, d):
+    """Stored views after all tenants are reset and rebuilt from the written archive."""
+    views, root = _stored(spark)
+    apply_batch(views, _archived(spark, d, root), "stream", 0, _OPTIONS)
+    source = F.substring("event.source_id", 8, 6).cast("int")
+    tenants = [f"tenant_{i:02d}" for i in range(10)]
+    rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "rebuild", fx.LOG_PARTITIONS, source % fx.LOG_PARTITIONS)
+    return views.read("source_metrics")
+
+
+@query
+def archive_scan(spark, d):
+    """One tenant's lines of a written archive."""
+    _, root = _stored(spark)
+    _archived(spark, d, root)
+    return read_archive(spark, root, "2024-01-01", "2024-01-02", TENANT).select(
+        "event.event_id", "event.source_id", "event.timestamp", "archived_at")
+
+
 # -- service state -----------------------------------------------------------------------
 
 
