@@ -33,8 +33,12 @@ def partition_progress(marked: DataFrame, winners: DataFrame, end_offsets: DataF
         "last_offset",
         "last_seen_at",
     )
-    if end_offsets is None:
-        return progress
+    return progress if end_offsets is None else with_lag(progress, end_offsets)
+
+
+def with_lag(progress: DataFrame, end_offsets: DataFrame) -> DataFrame:
+    """Add lag and messages in flight, from the log's ends (topic, partition, end_offset)."""
+    zero = F.lit(0).cast("bigint")
     ends = end_offsets.select(*LOG_KEYS, F.col("end_offset").alias("__end"))
     lag = F.greatest(F.coalesce(F.col("__end") - F.col("last_offset"), zero), zero)
     return (

@@ -221,6 +221,9 @@ FROM (SELECT *, [1e-9::DOUBLE, 1.0::DOUBLE, 1e10::DOUBLE][CAST(substr(source_id,
   (SELECT unnest([60, 300]) AS size) GROUP BY 1, 2, 3, 4""", "rec"),
     "restarted_views": _with("SELECT * FROM src", "src"),
     "rebuilt_views": _with("SELECT * FROM src", "src"),
+    "partition_lag": _with(f"""SELECT part AS partition, count(*) FILTER (disposition = 'recorded') AS processed_total, max(off) AS last_offset,
+  any_value(end_off) - max(off) AS lag, any_value(end_off) - max(off) AS inflight_messages
+FROM cls JOIN (SELECT part, max(off) AS end_off FROM tele GROUP BY part) USING (part) WHERE arr_us < {_CUT} GROUP BY part""", "cls"),
     "archive_scan": _with(f"""SELECT event_id, source_id, make_timestamp(ts_us) AS timestamp, make_timestamp(arr_us) AS archived_at
 FROM tele WHERE tenant_id = '{TENANT}'""", "tele"),
     "event_windows_all_tenants": _with(f"SELECT {_WIN_ALL} FROM win WHERE size = 300 GROUP BY size, w_us, tenant_id", "win", "now"),
@@ -348,3 +351,5 @@ FROM (SELECT m_us, sum(inc)::DOUBLE AS g FROM grown GROUP BY 1)""", "v > 0.2", 6
   (CASE WHEN processed >= 2000 THEN 1 ELSE 0 END) + (CASE WHEN processed >= 5000 THEN 1 ELSE 0 END) + 1 AS gates_passed,
   (SELECT string_agg(status, ',' ORDER BY position) FROM drills) AS drill_states FROM files WHERE kind = 'benchmark'""", "drills"),
 })
+
+ORACLE["claims_across_batches"] = ORACLE["partition_progress"]

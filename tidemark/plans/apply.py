@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.deadletters import to_dead_letters
 from tidemark.operators.decode import accepted, classify
+from tidemark.operators.dispositions import with_lag
 from tidemark.operators.lateness import ALLOWED_LATENESS_SECONDS, OFFSETS_PER_BLOCK, partition_marks
 from tidemark.operators.quantiles import rolling_quantiles
 from tidemark.operators.state import PROCESSOR
@@ -25,6 +26,7 @@ from tidemark.sources.views import HotViews
 LOG_COLUMNS = ("topic", "partition", "offset", "log_time")
 # topics of replay runs start with this; they are no part of the live log
 REPLAY_TOPIC = "archive.replay"
+EndOffsets = Callable[[], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ def _together(*jobs: Callable[[], None]) -> None:
 
 def apply_messages(
     views: HotViews, messages: DataFrame, run_id: str, batch_id: int, options: BatchOptions = BatchOptions(),
-    publish_dead_letters=None, fault=None,
+    publish_dead_letters=None, fault=None, end_offsets: EndOffsets | None = None,
 ) -> BatchResult:
     """Decode Kafka-shaped messages, set bad ones aside, apply the rest."""
     if views.committed(run_id) >= batch_id:
@@ -83,20 +85,21 @@ def apply_messages(
         dead = views.spark.read.parquet(f"{views.root}/dead_letters/run_id={run_id}/batch_id={batch_id}").count()
         if publish_dead_letters is not None and dead:
             publish_dead_letters(letters, batch_id)
-        return apply_batch(views, accepted(tagged, LOG_COLUMNS), run_id, batch_id, options, dead, fault)
+        return apply_batch(views, accepted(tagged, LOG_COLUMNS), run_id, batch_id, options, dead, fault, end_offsets)
     finally:
         tagged.unpersist()
 
 
 def apply_batch(
     views: HotViews, log: DataFrame, run_id: str, batch_id: int, options: BatchOptions = BatchOptions(),
-    dead_letters: int = 0, fault=None,
+    dead_letters: int = 0, fault=None, end_offsets: EndOffsets | None = None,
 ) -> BatchResult:
     """Claim, mark late, fold and write all views of a batch, then commit it.
 
     A batch that is already committed is skipped. A batch that failed half way left only
-    invisible folders, which the repetition overwrites. ``fault(stage)`` lets tests fail
-    a stage.
+    invisible folders, which the repetition overwrites. ``end_offsets()`` gives the log's ends
+    as (topic, partition, end_offset) for the lag in state snapshots; without it the lag is 0.
+    ``fault(stage)`` lets tests fail a stage.
     """
     if views.committed(run_id) >= batch_id:
         return BatchResult(applied=False)
@@ -143,7 +146,7 @@ def apply_batch(
         result = BatchResult(totals["processed_total"], totals["duplicate_total"], totals["late_event_total"], dead_letters)
         _write_stats(views, run_id, batch_id, options, result, clock)
         if views.snapshot_due(options.snapshot_seconds):
-            views.write("service_state", _snapshot(views, run_id, batch_id, options.instance_id), run_id, batch_id)
+            views.write("service_state", _snapshot(views, run_id, batch_id, options.instance_id, end_offsets), run_id, batch_id)
         hit("commit")
         views.commit(run_id, batch_id)
         return result
@@ -165,7 +168,7 @@ def _write_stats(views: HotViews, run_id: str, batch_id: int, options: BatchOpti
     views.write("batch_stats", stats, run_id, batch_id)
 
 
-def _snapshot(views: HotViews, run_id: str, batch_id: int, instance: str) -> DataFrame:
+def _snapshot(views: HotViews, run_id: str, batch_id: int, instance: str, end_offsets: EndOffsets | None) -> DataFrame:
     """Processor state of this instance: totals, partitions and rolling quantiles.
 
     Reads the small progress and stats views, the current batch's folders included.
@@ -180,12 +183,14 @@ def _snapshot(views: HotViews, run_id: str, batch_id: int, instance: str) -> Dat
         *[F.sum(c).alias(c) for c in ("processed_total", "duplicate_total", "late_event_total")],
         F.max("last_offset").alias("last_offset"), F.max("last_seen_at").alias("last_seen_at"))
     zero = F.lit(0).cast("bigint")
+    parts = with_lag(parts, end_offsets()) if end_offsets else parts.withColumns({"lag": zero, "inflight_messages": zero})
     listed = parts.agg(
+        F.sum("lag").alias("consumer_lag"), F.sum("inflight_messages").alias("inflight_messages"),
         *[F.sum(c).alias(c) for c in ("processed_total", "duplicate_total", "late_event_total")],
         F.count(F.lit(1)).alias("active_partitions"),
         F.sort_array(F.collect_list(F.struct(
-            "partition", F.lit(instance).alias("owner_instance_id"), zero.alias("lag"), "processed_total",
-            "duplicate_total", "late_event_total", zero.alias("inflight_messages"), "last_offset", "last_seen_at",
+            "partition", F.lit(instance).alias("owner_instance_id"), "lag", "processed_total",
+            "duplicate_total", "late_event_total", "inflight_messages", "last_offset", "last_seen_at",
         ))).alias("partitions"),
     )
     quantiles = [
@@ -201,7 +206,7 @@ def _snapshot(views: HotViews, run_id: str, batch_id: int, instance: str) -> Dat
     row = stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
     state: list[Column | str] = [
         "processed_total", "duplicate_total", "late_event_total", "dead_letter_total",
-        zero.alias("consumer_lag"), "active_partitions", zero.alias("inflight_messages"),
+        "consumer_lag", "active_partitions", "inflight_messages",
         (F.col("__now") - F.unix_seconds("__first")).alias("uptime_seconds"),
         *[f"{k}_p{q}{u}" for k, u in (("processing", "_ms"), ("batch_size", ""), ("batch_flush", "_ms")) for q in (50, 95, 99)],
         "partitions",

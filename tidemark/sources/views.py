@@ -109,18 +109,27 @@ class HotViews:
         return self._commits()[2].get(run_id, -1)
 
     def commit(self, run_id: str, batch_id: int, folded: dict[str, int] | None = None) -> None:
-        seq = self._commits()[3]
+        snapshot, held, committed, seq = self._commits()
         rows = [*self._pending, (seq, run_id, batch_id, folded)]
         self.spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("append").parquet(
             f"{self.root}/_commits"
         )
-        self.refresh()
+        self._pending.clear()
+        # the writer knows what it wrote: the log is not read again for it
+        self._log["state"] = (
+            (snapshot, held, {**committed, run_id: batch_id}, seq + 1) if folded is None else (run_id, dict(folded), committed, seq + 1))
 
     # -- deltas ----------------------------------------------------------------
     def write(self, view: str, df: DataFrame, run_id: str, batch_id: int) -> None:
-        """(Re)write one batch's rows of a view; invisible until committed."""
+        """(Re)write one batch's rows of a view; invisible until committed.
+
+        Views that are read by tenant and time are sorted by them, so that a read skips the files and
+        row groups of other tenants and times by their statistics.
+        """
         target = f"{self.root}/{view}/run_id={run_id}/batch_id={batch_id}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in VIEWS[view].fields]).write.mode("overwrite").parquet(target)
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in VIEWS[view].fields])
+        order = [c for c in ("tenant_id", "bucket_start", "window_start") if c in rows.columns]
+        (rows.sortWithinPartitions(*order) if len(order) > 1 else rows).write.mode("overwrite").parquet(target)
 
     def _write_snapshot(self, view: str, df: DataFrame, run: str) -> None:
         """Snapshots of claims are foldered by bucket; batches stay a few files each."""

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.admission import Principal, admit_batches, admitted_events
 from tidemark.operators.deadletters import dead_letter_log
 from tidemark.operators.rejections import to_rejections
-from tidemark.plans.apply import BatchOptions, apply_messages
+from tidemark.plans.apply import BatchOptions, EndOffsets, apply_messages
 from tidemark.session import prepare, shared_dir
 from tidemark.sources.archive import archive_rows, write_archive
 from tidemark.sources.events import to_log_rows, write_log
@@ -55,6 +55,7 @@ def dead_letter_publisher(fmt: str, options: Mapping[str, str] = {}, path: str |
 def start_processor(
     messages: DataFrame, views: HotViews, checkpoint: str | None = None, run_id: str = "stream",
     options: BatchOptions = BatchOptions(), interval: str | None = FLUSH_INTERVAL, publish_dead_letters=None, fault=None,
+    end_offsets: EndOffsets | None = None,
 ) -> StreamingQuery:
     """Fold the log into the hot views.
 
@@ -68,7 +69,7 @@ def start_processor(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         apply_messages(
-            views.on(batch.sparkSession), batch, _run_of(run_id, batch), batch_id, options, publish_dead_letters, fault)
+            views.on(batch.sparkSession), batch, _run_of(run_id, batch), batch_id, options, publish_dead_letters, fault, end_offsets)
 
     return _start(messages, handle, checkpoint, interval, f"{run_id}-processor")
 

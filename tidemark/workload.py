@@ -21,7 +21,7 @@ from tidemark.operators.contracts import contract_violations, dead_letter_violat
 from tidemark.operators.deadletters import dead_letter_log, to_dead_letters
 from tidemark.operators.decode import classify
 from tidemark.operators.dedup import duplicates
-from tidemark.operators.dispositions import disposition_counts
+from tidemark.operators.dispositions import disposition_counts, with_lag
 from tidemark.operators.rejections import rejection_counts, to_rejections
 from tidemark.plans import queries as q
 from tidemark.plans.apply import BatchOptions, apply_batch
@@ -376,6 +376,25 @@ def restarted_views(spark, d):
     return views.read("source_metrics")
 
 
+@query
+def claims_across_batches(spark, d):
+    """Progress of two batches: claims and marks of the first hold in the second."""
+    views, _ = _stored(spark)
+    log = fx.telemetry(spark, d)
+    apply_batch(views, log.where(fx.before_cutover()), "run", 0, _OPTIONS)
+    apply_batch(views, log.where(~fx.before_cutover()), "run", 1, _OPTIONS)
+    return views.read("partition_progress").drop("topic")
+
+
+@query
+def partition_lag(spark, d):
+    """How far a processor that stopped at the cutover is behind the log."""
+    log = fx.telemetry(spark, d)
+    done = process_batch(log.where(fx.before_cutover()), block=fx.OFFSET_BLOCK)
+    ends = log.groupBy("topic", "partition").agg(F.max("offset").alias("end_offset"))
+    return with_lag(done.progress, ends).select("partition", "processed_total", "last_offset", "lag", "inflight_messages")
+
+
 @query
 def rebuilt_views(spark, d):
     """Stored views after all tenants are reset and rebuilt from the written archive."""
