@@ -42,10 +42,6 @@ def trim_space(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
-def blank_to_null(c: Column | str) -> Column:
-    return F.when(~is_blank(c), _col(c))
-
-
 def null_to_empty(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.operators.lateness import LOG_KEYS
 
 
-def partition_progress(marked: DataFrame, winners: DataFrame, end_offsets: DataFrame | None = None) -> DataFrame:
+def partition_progress(log: DataFrame, winners: DataFrame, end_offsets: DataFrame | None = None) -> DataFrame:
     """Per log partition: totals by disposition, last offset, last seen, lag.
 
     Duplicates are arrivals minus claims, so repeated rows are counted where they are
     read and never shuffled. Lag is log end offset minus last processed offset.
     """
-    arrivals = marked.groupBy(*LOG_KEYS).agg(
+    arrivals = log.groupBy(*LOG_KEYS).agg(
         F.count(F.lit(1)).alias("arrived"),
         F.max("offset").alias("last_offset"),
         F.max("log_time").alias("last_seen_at"),

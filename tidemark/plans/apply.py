@@ -24,6 +24,7 @@ from tidemark.plans.process import process_batch, view_deltas
 from tidemark.sources.views import HotViews
 
 LOG_COLUMNS = ("topic", "partition", "offset", "log_time")
+USED = ("event_id", "tenant_id", "source_id", "timestamp", "value", "status")
 # topics of replay runs start with this; they are no part of the live log
 REPLAY_TOPIC = "archive.replay"
 EndOffsets = Callable[[], DataFrame]
@@ -112,6 +113,7 @@ def apply_batch(
         return cached[-1]
 
     try:
+        log = log.select(*USED, *LOG_COLUMNS)  # what is cached below holds no more than that
         ids = cache(log.select("event_id").distinct())
         ids.count()  # materialised, so its size is known when the join is planned
         processed = process_batch(

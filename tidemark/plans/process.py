@@ -20,6 +20,7 @@ from tidemark.operators.lateness import ALLOWED_LATENESS_SECONDS, OFFSETS_PER_BL
 class Processed:
     """Lazy results of one batch."""
 
+    log: DataFrame
     marked: DataFrame
     winners: DataFrame
 
@@ -34,7 +35,7 @@ class Processed:
 
     @property
     def progress(self) -> DataFrame:
-        return partition_progress(self.marked, self.winners)
+        return partition_progress(self.log, self.winners)
 
     @property
     def grain(self) -> DataFrame:
@@ -51,7 +52,7 @@ def process_batch(
 ) -> Processed:
     """Mark lateness over all valid rows, then claim ids; duplicates never count as late."""
     marked = mark_late(log, lateness_seconds, marks, block, ties)
-    return Processed(marked, claim(marked, claimed))
+    return Processed(log, marked, claim(marked, claimed))
 
 
 def view_deltas(grain: DataFrame) -> dict[str, DataFrame]:
