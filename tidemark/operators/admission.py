@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import evaluated_once, exact_json, trim_space
@@ -114,8 +114,12 @@ def admit_batches(requests: DataFrame, principal: Principal, key: str = "request
 
 
 def admitted_events(requests: DataFrame, principal: Principal, key: str = "request_id", col: str = "body") -> DataFrame:
-    """Events of the requests admitted whole, with their request, position and the element that was sent."""
-    admitted = admit_batches(requests, principal, key, col).where("reason IS NULL").select(key)
-    elements = explode_event_batches(requests, col).select(key, "pos", "element").join(admitted, key, "left_semi")
-    return classify(elements, "element", True, recover=False).select(
+    """Events of the requests admitted whole, with their request, position and the element that was sent.
+
+    Bodies are read and elements judged once; the verdict on a request is a count over its elements, of which there are
+    at most ``MAX_BATCH_EVENTS``, so no request is joined back.
+    """
+    judged = _judge(explode_event_batches(requests, col).select(key, "pos", "element"), principal, "element", True)
+    refused = F.count("reason").over(Window.partitionBy(key))
+    return judged.withColumn("__refused", refused).where("__refused = 0").select(
         key, "pos", "event.*", F.to_json("element").alias("raw_payload"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import exact_json
+from tidemark.functions.text import blank_to_null, exact_json
 
 NOT_STORED = ("backpressure",)
 NOT_COUNTED = ("forbidden",)
@@ -19,8 +19,8 @@ def to_rejections(
     return rejected.where(F.col("reason").isNotNull() & ~F.col("reason").isin(*NOT_STORED, *NOT_COUNTED)).select(
         row_id.cast("string").alias("id"),
         "reason",
-        F.nullif(F.trim("tenant_id"), F.lit("")).alias("tenant_id"),
-        F.nullif(F.trim("source_id"), F.lit("")).alias("source_id"),
+        blank_to_null(F.trim("tenant_id")).alias("tenant_id"),
+        blank_to_null(F.trim("source_id")).alias("source_id"),
         F.when(exact_json(payload).isNotNull(), payload).otherwise(F.lit(BAD_PAYLOAD)).alias("payload"),
         created_at.alias("created_at"),
     )
