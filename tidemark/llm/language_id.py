@@ -142,12 +142,20 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The labelled texts to learn from: at most ``size`` a language."""
-    fit = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()
-                     & (F.length("text") <= SAMPLE_CHARS))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    return fit.select("doc_id", "lang", "text").withColumn("place", F.row_number().over(first)).where(
-        F.col("place") <= size).select("lang", "text")
+    """The labelled texts to learn from: at most ``size`` a language, those of the smallest doc_id hashes.
+
+    A bound on the hash, from each language's number of ids, leaves a few times as many rows before they are ranked, so
+    what meets in one task does not grow with the corpus.
+    """
+    usable = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()
+                        & (F.length("text") <= SAMPLE_CHARS))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    ids = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()  # one row a language
+    bounds = F.create_map(*[F.lit(x) for r in ids for x in (r["lang"], 4.0 * size / max(1, r["n"]))]) if ids else None
+    near = usable.withColumn("place", place)
+    near = near.where(F.col("place") <= F.element_at(bounds, F.col("lang"))) if ids else near
+    first = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"))
+    return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= size).select("lang", "text")
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
