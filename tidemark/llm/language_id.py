@@ -4,8 +4,8 @@ Fitting: per language, a documented sample of labelled texts (the ``SAMPLE`` sma
 ``SAMPLE_CHARS`` characters) gives counts of character n-grams up to ``ORDER``, added up by Spark. The highest order uses
 counts, lower ones the number of distinct characters before an n-gram, all with one absolute discount per order. The
 models of all languages share sorted arrays of n-gram hashes, one row of log probabilities a hash; what a language has
-not seen is filled with its back-off probability, so one look-up per character and order does for all languages. Their
-size is bounded by the sample, and they are broadcast.
+not seen is filled with its back-off probability, so one look-up a character does for all languages. What none has seen
+takes the weights of its context, from sorted arrays of their own, and the next lower order. Their size is bounded by the sample, and they are broadcast.
 
 Reading: letters are lower-cased, everything else is a word boundary. Every text is scored whole, in pieces of bounded
 size. The language with the lowest cross-entropy per character wins. A text is rejected where that cross-entropy lies
@@ -103,6 +103,7 @@ class Table:
 class Model:
     languages: list[str]
     tables: list[Table]  # by order, from 1
+    backoff: list[Table]  # by order: weights of the contexts, for n-grams that no language has seen
     floor: np.ndarray  # log probability of a character that no language's model has
     limits: np.ndarray  # cross-entropy per language from which a text is rejected
 
@@ -120,6 +121,9 @@ class Model:
                 if not len(missed):
                     break
                 ends = missed + ORDER - 1 if ends is None else ends[missed]
+                if order > 1:
+                    rows = self.backoff[order - 1].find(grams(piece, order - 1, ends - 1))
+                    out += self.backoff[order - 1].values[rows[rows >= 0]].sum(axis=0)
             else:
                 out += len(missed) * self.floor
         return out
@@ -228,6 +232,7 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
         rows = counted[counted["lang"] == lang]
         fitted[lang] = _kneser_ney({n: rows[rows["n"] == n] for n in range(1, ORDER + 1)}, alphabet)
     tables: list[Table] = []
+    backoff_tables: list[Table] = []
     floor = np.full(len(languages), 0.0)
     for j, lang in enumerate(languages):
         floor[j] = np.log2(fitted[lang][1][1][1][0] / (alphabet + 1)) if len(fitted[lang][1][1][1]) else -30.0
@@ -253,7 +258,13 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
             mine = own[at] == hashes if len(own) else np.zeros(len(hashes), bool)
             values[mine, j] = np.log2(p[at[mine]])
         tables.append(Table.of(hashes, values))
-    model = Model(languages, tables, floor, np.full(len(languages), np.inf))
+        every_context = np.unique(np.concatenate([fitted[lang][1][order][0] for lang in languages] or [np.empty(0, U64)]))
+        weights = np.zeros((len(every_context), len(languages)))
+        for j, lang in enumerate(languages):
+            contexts, weight = fitted[lang][1][order]
+            weights[np.searchsorted(every_context, contexts), j] = np.log2(weight)
+        backoff_tables.append(Table.of(every_context, weights))
+    model = Model(languages, tables, backoff_tables, floor, np.full(len(languages), np.inf))
     if languages:
         _calibrate(model, texts)
     texts.unpersist()
