@@ -10,7 +10,8 @@ takes the weights of its context, from sorted arrays of their own, and the next
 Reading: letters are lower-cased, everything else is a word boundary. Every text is scored whole, in pieces of bounded
 size. The language with the lowest cross-entropy per character wins. A text is rejected where that cross-entropy lies
 ``REJECT_SPREADS`` spreads above the median of the language's own sample; the spread is the distance between the
-median and the 90th percentile there, and no smaller than 0.15 of the median.
+median and the 90th percentile there, and no smaller than 0.15 of the median. Short texts stray further: ``SHORT`` bits,
+divided by the square root of the number of characters, are allowed on top.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ ORDER = 4
 SAMPLE = 600
 SAMPLE_CHARS = 20_000
 REJECT_SPREADS = 6.0
+SHORT = 8.0  # bits; divided by the square root of a text's length
 PIECE = 1 << 18  # characters scored at once
 NONE = "und"
 _INDEX_BITS = 18
@@ -138,7 +140,7 @@ class Model:
         best = int(np.argmin(entropy))
         # posterior of the best language over at most fifty characters, so that long texts keep graded scores
         odds = np.exp2(-(entropy - entropy[best]) * min(count, 50))
-        return self.languages[best], float(1 / odds.sum()), bool(entropy[best] > self.limits[best]), float(entropy[best])
+        return self.languages[best], float(1 / odds.sum()), bool(entropy[best] > self.limits[best] + SHORT / count**0.5), float(entropy[best])
 
 
 def held_out() -> F.Column:

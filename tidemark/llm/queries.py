@@ -12,13 +12,12 @@ from tidemark.llm import (
     decontaminate, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, mixing, substring_dedup, token_ids, top_k,
 )
 from tidemark.llm.common import table
-from tidemark.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(prepare(spark), sf_dir, "documents")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(prepare(spark), sf_dir, "embeddings")
+    vectors = table(spark, sf_dir, "embeddings")
     return top_k.top_k(vectors, F.col("vec_id") % top_k.QUERY_EVERY == 0)
 
 
