@@ -221,6 +221,11 @@ FROM (SELECT *, [1e-9::DOUBLE, 1.0::DOUBLE, 1e10::DOUBLE][CAST(substr(source_id,
   (SELECT unnest([60, 300]) AS size) GROUP BY 1, 2, 3, 4""", "rec"),
     "restarted_views": _with("SELECT * FROM src", "src"),
     "rebuilt_views": _with("SELECT * FROM src", "src"),
+    "reset_totals": _with(f"""SELECT count(*) FILTER (rn = 1) AS processed_events, count(*) FILTER (disposition = 'recorded') AS source_events
+FROM cls WHERE tenant_id <> '{TENANT}'""", "cls"),
+    "replay_outcome": "SELECT 0::BIGINT AS source_metric_overcount_delta, 0::BIGINT AS processed_events_delta, count(*) > 0 AS duplicate_safe FROM events",
+    "zero_time_partitions": _with("""SELECT CAST(make_timestamp(t) AS DATE) AS day, tenant_id AS tenant, strftime(make_timestamp(t), '%H') AS hour, count(*) AS line_count
+FROM (SELECT tenant_id, CASE WHEN n % 5 = 0 THEN arr_us ELSE ts_us END AS t FROM tele) GROUP BY 1, 2, 3""", "tele"),
     "partition_lag": _with(f"""SELECT part AS partition, count(*) FILTER (disposition = 'recorded') AS processed_total, max(off) AS last_offset,
   any_value(end_off) - max(off) AS lag, any_value(end_off) - max(off) AS inflight_messages
 FROM cls JOIN (SELECT part, max(off) AS end_off FROM tele GROUP BY part) USING (part) WHERE arr_us < {_CUT} GROUP BY part""", "cls"),

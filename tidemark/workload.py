@@ -26,7 +26,7 @@ from tidemark.operators.rejections import rejection_counts, to_rejections
 from tidemark.plans import queries as q
 from tidemark.plans.apply import BatchOptions, apply_batch
 from tidemark.plans.process import process_batch
-from tidemark.plans.replay import as_log, rebuild, replay_filter, replay_summary
+from tidemark.plans.replay import as_log, hot_totals, rebuild, replay, replay_filter, replay_summary, replay_verdict
 from tidemark.plans.scope import scoped
 from tidemark.session import shared_dir
 from tidemark.sources.archive import archive_rows, read_archive, write_archive
@@ -317,6 +317,15 @@ def archive_partitions(spark, d):
     return _archive(spark, d).groupBy("day", "tenant", "hour").agg(F.count(F.lit(1)).alias("line_count"))
 
 
+@query
+def zero_time_partitions(spark, d):
+    """Events without a time are filed under their archive time: null and the first instant of year 1."""
+    zero = F.when(F.col("n") % 2 == 0, F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    t = fx.telemetry(spark, d).withColumn("timestamp", F.when(F.col("n") % 5 == 0, zero).otherwise(F.col("timestamp")))
+    return archive_rows(t, F.lit("not json"), F.col("log_time")).groupBy("day", "tenant", "hour").agg(
+        F.count(F.lit(1)).alias("line_count"))
+
+
 @query
 def archive_paths(spark, d):
     """Path segments of spoiled tenant ids."""
@@ -406,6 +415,27 @@ def rebuilt_views(spark, d):
     return views.read("source_metrics")
 
 
+@query
+def reset_totals(spark, d):
+    """Hot totals after one tenant is reset."""
+    views, _ = _stored(spark)
+    apply_batch(views, fx.telemetry(spark, d), "stream", 0, _OPTIONS)
+    views.reset_tenants([TENANT])
+    return hot_totals(views)
+
+
+@query
+def replay_outcome(spark, d):
+    """Replaying one tenant's archive over stored views adds nothing."""
+    views, root = _stored(spark)
+    apply_batch(views, _archived(spark, d, root), "stream", 0, _OPTIONS)
+    before = spark.createDataFrame(hot_totals(views, TENANT).collect(), "processed_events long, source_events long")
+    again = replay(spark, root, "2024-01-01", "2024-01-02", TENANT)
+    result = apply_batch(views, as_log(again, fx.LOG_PARTITIONS, run_id="again"), "again", 0, BatchOptions(
+        ties=("event_id",), snapshot_seconds=None))
+    return replay_verdict(before, hot_totals(views, TENANT), again.count(), result.duplicate)
+
+
 @query
 def archive_scan(spark, d):
     """One tenant's lines of a written archive."""
