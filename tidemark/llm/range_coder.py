@@ -37,7 +37,8 @@ class _Model:
         self.choice = [[np.full(blocks * (_CERTAIN + 1) * n, 4, U64) for _ in range(3)] for n in (1, 2)]
         self.slots, self.by_2, self.by_1 = (self.lane * n for n in (_SLOTS, _CERTAIN + 1, 2 * (_CERTAIN + 1)))
         self.bytes = [np.ones((blocks, 256), np.uint32) for _ in range(2)]
-        self.ranges = [np.zeros((blocks, 257), np.uint32) for _ in range(2)]
+        self.ranges = [np.zeros((blocks, 257), U64) for _ in range(2)]
+        self.totals = [np.zeros(blocks, U64) for _ in range(2)]
         self.last = np.zeros(blocks, np.int64)
         self.before = np.zeros(blocks, np.int64)
         self.step = 0
@@ -48,6 +49,7 @@ class _Model:
             if self.step % 1024 == 0 and self.step:
                 counts[:] = (counts >> 1) | 1
                 np.cumsum(counts, axis=1, out=ranges[:, 1:])
+        self.totals = [ranges[:, 256].copy() for ranges in self.ranges]
         if self.step % 128 == 0 and self.step:
             for tables in self.choice:
                 for table in tables:
@@ -62,60 +64,70 @@ class _Model:
         mark = last * 40503
         spot = [self.slots[:live] + (mark >> 4 & (_SLOTS - 1)),
                 self.slots[:live] + (mark + self.before[:live] * 60493 >> 5 & (_SLOTS - 1))]
-        one, two = (g[s].astype(np.int64) for g, s in zip(self.guess, spot, strict=True))
-        sure_1, sure_2 = (c[s].astype(np.int64) for c, s in zip(self.sure, spot, strict=True))
+        one, two = (_at(g, s).astype(np.int64) for g, s in zip(self.guess, spot, strict=True))
+        sure_1, sure_2 = (_at(c, s) for c, s in zip(self.sure, spot, strict=True))
         same = one == two
         rows = self.by_2[:live] + sure_2, self.by_1[:live] + 2 * sure_1 + same
         # 0: order 2 is right, 1: order 1 is, 2: neither
-        first, second, third = (a[rows[0]] + b[rows[1]] for a, b in zip(*self.choice, strict=True))
-        second[same] = 0
-        ends = [first, first + second, first + second + third]
+        first, second, third = (_at(a, rows[0]) + _at(b, rows[1]) for a, b in zip(*self.choice, strict=True))
+        second *= ~same
+        either = first + second
+        ends = [first, either, either + third]
         if ids is None:
             value = coder.target(live, ends[2])
             which = (value >= ends[0]).astype(np.int8) + (value >= ends[1])
         else:
-            which = np.where(ids == two, np.int8(0), np.where(ids == one, np.int8(1), np.int8(2)))
-        start = np.choose(which, (U64(0), ends[0], ends[1]))
-        coder.put(slice(0, live), start, np.choose(which, (first, second, third)), ends[2])
-        found = np.where(which == 0, two, one) if ids is None else ids
-        for j in range(3):
-            hit = np.flatnonzero(which == j)
+            which = (ids != two).astype(np.int8)
+            which += which & (ids != one)
+        chosen = [np.flatnonzero(which == j) for j in range(3)]
+        start, size = either.copy(), third.copy()
+        start[chosen[0]], start[chosen[1]] = 0, first[chosen[1]]
+        size[chosen[0]], size[chosen[1]] = first[chosen[0]], second[chosen[1]]
+        coder.put(slice(0, live), start, size, ends[2])
+        for j, hit in enumerate(chosen):
             for tables, row in zip(self.choice, rows, strict=True):
                 tables[j][row[hit]] += U64(16)
-        rest = np.flatnonzero(which == 2)
-        if len(rest):
-            whole = found[rest] if ids is not None else np.zeros(len(rest), np.int64)
-            for part, shift in ((0, 8), (1, 0)):
-                ranges = self.ranges[part]
-                if ids is None:
-                    value = coder.target(rest, ranges[rest, 256].astype(U64))
-                    byte = _find(ranges, rest, value)
-                    whole |= byte << shift
-                else:
-                    byte = whole >> shift & 255
-                low = ranges[rest, byte].astype(U64)
-                coder.put(rest, low, ranges[rest, byte + 1].astype(U64) - low, ranges[rest, 256].astype(U64))
-                self.bytes[part][rest, byte] += 24
-            found = found.copy()
-            found[rest] = whole
+        rest = chosen[2]
+        if ids is None:
+            found = one.copy()
+            found[chosen[0]] = two[chosen[0]]
+            found[rest] = self._single(coder, rest, None)
+        else:
+            found = ids
+            self._single(coder, rest, ids[rest])
         for guess, sure, s, had, trust in (
             (self.guess[0], self.sure[0], spot[0], one, sure_1), (self.guess[1], self.sure[1], spot[1], two, sure_2),
         ):
-            right = found == had
             guess[s] = np.where(trust > 1, had, found)
-            sure[s] = np.where(right, _GAIN[trust], _LOSS[trust])
+            sure[s] = np.where(found == had, _at(_GAIN, trust), _at(_LOSS, trust))
         self.before[:live] = last
         self.last[:live] = found
         return found
 
+    def _single(self, coder, rest: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Order 0: the high and the low byte of the ids of some blocks."""
+        whole = np.zeros(len(rest), np.int64)
+        row = rest * 257
+        for part, shift in ((0, 8), (1, 0)):
+            ranges, total = self.ranges[part].ravel(), _at(self.totals[part], rest)
+            byte = _find(ranges, row, coder.target(rest, total)) if ids is None else ids >> shift & 255
+            low = _at(ranges, row + byte)
+            coder.put(rest, low, _at(ranges, row + byte + 1) - low, total)
+            self.bytes[part].ravel()[rest * 256 + byte] += 24
+            whole |= byte << shift
+        return whole
+
+
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return values.take(places, mode="clip")
+
 
-def _find(ranges: np.ndarray, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+def _find(ranges: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The byte whose range holds the value, by halving."""
-    at = np.zeros(len(rows), np.int64)
-    wanted = value.astype(np.uint32)
+    at = row.copy()
     for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += np.where(ranges[rows, at + step] <= wanted, step, 0)
-    return at
+        at += (_at(ranges, at + step) <= wanted) * step
+    return at - row
 
 
 class _Coder:
