@@ -58,21 +58,23 @@ class SortedLists:
         if not len(used):  # every score is 0
             ids = np.sort(self.ids[self.ids != query_id])[:k]
             return [(0, int(i)) for i in ids]
-        lists = self.order[:, used]
-        lists = np.where(query[used] > 0, lists[::-1], lists)
+        best_first = query > 0
+        falling = self.order[::-1]
         seen = self.ids == query_id
         scores, ids = np.empty(0, rows.dtype), np.empty(0, np.int64)
         depth, step = 0, 4
         while depth < n:
             end = min(n, depth + step)
-            new = np.unique(lists[depth:end])
-            new = new[~seen[new]]
-            seen[new] = True
+            part = np.where(best_first, falling[depth:end], self.order[depth:end])[:, used]
+            met = np.zeros(n, bool)
+            met[part] = True
+            new = np.flatnonzero(met & ~seen)
+            seen |= met
             scores, ids = np.concatenate([scores, rows[new] @ weights]), np.concatenate([ids, self.ids[new]])
             if len(ids) > k:
                 keep = np.lexsort((ids, -scores))[:k]
                 scores, ids = scores[keep], ids[keep]
-            bound = (rows[lists[end - 1], used] * weights[used]).sum()
+            bound = (rows[part[-1], used] * weights[used]).sum()
             if len(ids) == k and bound < scores.min():
                 break
             depth, step = end, step * 2
