@@ -198,6 +198,25 @@ def test_lm_filter_reads_lower_bounds_and_stays_bounded(spark):
     assert len(small.bits) * 8 <= 10_000 + 24 and small.cutoff > 2
 
 
+def test_lm_bigrams_seen_once_count_and_segments_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SEGMENT_TOKENS", 300)
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 500)
+    texts = {i: prose(i % 150, 60, "abc") for i in range(200)}
+    words = {d: ["<", *t.split(), ">"] for d, t in texts.items()}
+    learned = [ws for d, ws in words.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+    one, two = Counter(w for ws in learned for w in ws), Counter(p for ws in learned for p in zip(ws, ws[1:], strict=False))
+    assert sum(n == 1 for n in two.values()) > len(two) / 2
+    scale = sum(one.values()) - len(learned) + 0.5 * len(one)
+    over = []
+    for row in lm_scoring.scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        want = 0.0
+        for a, b in zip(words[row.doc_id], words[row.doc_id][1:], strict=False):
+            held = 2 ** (math.floor(2 * math.log2(two[a, b]) + 1e-9) / 2) if two[a, b] else 0
+            want += math.log10(0.4 * min(1, held / max(one[a], 1)) + 0.6 * (one[b] + 0.5) / scale)
+        over.append((row.score - want) / row.n_tokens)
+    assert min(over) > -1e-9 and np.mean(over) < 0.02 and np.mean(np.array(over) < 1e-9) > 0.1  # above: chance hits of the filter
+
+
 def test_lm_awkward(clashing, no_documents):
     found = rows(lm_scoring.scores(clashing))
     assert len(found) == len(awkward_rows()) and all(math.isfinite(r[6]) for r in found)

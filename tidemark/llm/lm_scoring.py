@@ -3,16 +3,16 @@
 Counting: every task gathers a block of training tokens, counts its distinct words and bigrams, and sends each segment of
 the hash space what falls into it, as packed arrays; a segment's task adds the blocks up. The number of segments follows
 the size of the corpus, so a segment stays bounded, and a word that makes up a third of all tokens is one entry a block.
-Word counts stay exact (64-bit hashes). Bigrams seen at least twice go into the filter.
+Word counts stay exact (64-bit hashes). All bigrams go into the filter, those seen once too.
 
-Filter: a bigram with count c is inserted once per half octave from the cutoff up to c, each time under another key, so a
-count is read by probing level after level until one is missing. Each segment owns a stretch of the bits. The filter is
-broadcast, so its size is bounded by ``MAX_BITS``: where a corpus has more to insert, the cutoff rises by half octaves
-(2, 3, 4, 6, 8, ...) until it fits. This choice is made from complete counts, in the same way at every size.
+Filter: a bigram with count c is inserted once per half octave from 1 up to c, each time under another key, so a count is
+read by probing level after level until one is missing. Every segment has a filter of its own, of ``BITS_PER_ITEM`` bits
+an insertion: the filters grow with the corpus in number, not in size, and are never brought together.
 
 Scoring: p(word | previous) = w * min(1, c2 / c1) + (1 - w) * p(word), with w = ``WEIGHT``, c2 the filter's lower bound of
 the bigram count, c1 the exact count of the previous word and p(word) the add-half estimate. Documents are dealt into
-blocks; a block asks the segments for the exact counts of its distinct words, and is scored with the answers.
+blocks; a block asks the segments for the exact counts of its distinct words and for the levels at which their filters
+hold its distinct bigrams, and is scored with the answers.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ WEIGHT = 0.4
 MAX_BITS = 1 << 28
 BITS_PER_ITEM = 10
 PROBES = 4
-LEAST = 2  # smallest bigram count that the filter may hold
+LEAST = 2  # smallest count of a capped filter; scores() starts at 1
 BLOCK_TOKENS = 1_000_000
 SEGMENT_TOKENS = 3_000_000
 END, START = U64(1), U64(2)  # the end of a text, and what stands before its first word
@@ -56,6 +56,12 @@ def bigram_hashes(tokens: np.ndarray, previous: np.ndarray) -> np.ndarray:
     return mixed(previous * U64(0x9E3779B97F4A7C15) + tokens) >> U64(16)
 
 
+def _pairs(tokens: np.ndarray) -> np.ndarray:
+    """The bigrams of whole texts that stand one after the other, each closed by its end."""
+    before = np.roll(tokens, 1)
+    return bigram_hashes(tokens, np.where(before == END, START, before))
+
+
 def segment_of(grams: np.ndarray, segments: int, bits: int) -> np.ndarray:
     """Equal stretches of the hash space, in its order."""
     return ((grams >> U64(bits - 32)) * U64(segments)) >> U64(32)
@@ -89,10 +95,8 @@ def _counted(segments: int):
 
         def flush():
             tokens = np.concatenate(held)
-            first = np.concatenate([[True], tokens[:-1] == END])
-            pairs = bigram_hashes(tokens, np.where(first, START, np.roll(tokens, 1)))
             out = []
-            for kind, values in (("word", tokens), ("bigram", pairs)):
+            for kind, values in (("word", tokens), ("bigram", _pairs(tokens))):
                 bits, width = _KINDS[kind]
                 grams, counts = np.unique(values, return_counts=True)
                 out += [(kind, segment, _planes(grams[part], width), _planes(counts[part], 4))
@@ -113,18 +117,18 @@ def _counted(segments: int):
 
 
 def _added(frame: pd.DataFrame) -> pd.DataFrame:
-    """The blocks' counts of one segment together, and how many bigrams stand at each level."""
+    """The blocks' counts of one segment together: those of words as they are, those of bigrams as the segment's filter."""
     kind = frame["kind"].iloc[0]
     width = _KINDS[kind][1]
     grams, place = np.unique(np.concatenate([_numbers(g, width) for g in frame["grams"]]), return_inverse=True)
     counts = np.bincount(place, np.concatenate([_numbers(c, 4) for c in frame["counts"]])).astype(np.int64)
-    if kind == "bigram":
-        grams, counts = grams[counts >= LEAST], counts[counts >= LEAST]
-    levels = np.bincount(level_of(counts, LEAST), minlength=_LEVELS) if kind == "bigram" else np.zeros(0, np.int64)
     end = int(counts[grams == END].sum()) if kind == "word" else 0
-    return pd.DataFrame({"kind": [kind], "segment": [frame["segment"].iloc[0]], "grams": [grams.tobytes()],
-                         "counts": [counts.tobytes()], "n": [len(grams)], "total": [int(counts.sum())], "ends": [end],
-                         "levels": [levels.tolist()]})
+    if kind == "word":
+        held = grams.tobytes(), counts.tobytes()
+    else:
+        held = _filter_bits(grams, level_of(counts, 1), _size(int((level_of(counts, 1) + 1).sum()))), b""
+    return pd.DataFrame({"kind": [kind], "segment": [frame["segment"].iloc[0]], "grams": [held[0]], "counts": [held[1]],
+                         "n": [len(grams)], "total": [int(counts.sum())], "ends": [end]})
 
 
 def level_of(counts: np.ndarray, cutoff: float) -> np.ndarray:
@@ -146,8 +150,8 @@ class Filter:
         x = mixed(grams + U64((level + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
         return ((x & U64(0xFFFFFFFF)) + U64(probe) * ((x >> U64(32)) | U64(1))) % U64(size)
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Lower bounds of the counts; 0 for what is not held."""
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """The highest level at which each is held; -1 for what is not held."""
         level = np.full(len(grams), -1, np.int64)
         at = np.arange(len(grams)) if self.per_segment else np.empty(0, np.int64)
         for step in range(_LEVELS):
@@ -161,7 +165,30 @@ class Filter:
             if not len(at):
                 break
             level[at] = step
-        return np.where(level < 0, 0.0, self.cutoff * np.exp2(level / 2))
+        return level
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        """Lower bounds of the counts; 0 for what is not held."""
+        return _lower_bounds(self.levels(grams), self.cutoff)
+
+
+def _lower_bounds(level: np.ndarray, cutoff: float) -> np.ndarray:
+    return np.where(level < 0, 0.0, cutoff * np.exp2(level / 2))
+
+
+def _size(items: int, segments: int = 1) -> int:
+    """Bits of one segment's filter, in whole bytes."""
+    return math.ceil(items * BITS_PER_ITEM / segments / 8) * 8
+
+
+def _filter_bits(grams: np.ndarray, top: np.ndarray, size: int) -> bytes:
+    """A filter of ``size`` bits that holds every gram from level 0 to its top; none of a negative top."""
+    flags = np.zeros(size, bool)
+    for level in range(int(top.max(initial=-1)) + 1):
+        grams, top = grams[top >= level], top[top >= level]
+        for probe in range(PROBES):
+            flags[Filter.place(grams, level, probe, size).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 def _filled(size: int, cutoff: float):
@@ -169,25 +196,25 @@ def _filled(size: int, cutoff: float):
         for frame in frames:
             for segment, packed, n in zip(frame["segment"], frame["grams"], frame["counts"], strict=True):
                 grams, counts = np.frombuffer(packed, U64), np.frombuffer(n, np.int64)
-                flags = np.zeros(size, bool)
                 top = np.where(counts >= cutoff, level_of(counts, cutoff), -1)
-                for level in range(int(top.max(initial=-1)) + 1):
-                    for probe in range(PROBES):
-                        flags[Filter.place(grams[top >= level], level, probe, size).astype(np.int64)] = True
-                yield pd.DataFrame({"segment": [segment], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+                yield pd.DataFrame({"segment": [segment], "bits": [_filter_bits(grams, top, size)]})
 
     return run
 
 
 def bloom_filter(bigrams: DataFrame, segments: int, max_bits: int = MAX_BITS) -> Filter:
-    """The filter of added-up bigrams; the driver gets its bits (at most ``max_bits``) and one count a level."""
+    """One filter of bounded size over added-up bigrams; the driver gets its bits and one count a level.
+
+    Where more than ``max_bits`` are needed, the cutoff rises by half octaves (2, 3, 4, 6, 8, ...), and bigrams below it are
+    lost. ``scores`` does without: its segments keep filters of their own.
+    """
     stood = {r["pos"]: r["n"] for r in bigrams.select(F.posexplode("levels")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
     for raised in range(_LEVELS):
         items = sum(n * (level - raised + 1) for level, n in stood.items() if level >= raised)
         if items * BITS_PER_ITEM <= max_bits:
             break
     cutoff = LEAST * 2 ** (raised / 2)
-    size = math.ceil(items * BITS_PER_ITEM / segments / 8) * 8
+    size = _size(items, segments)
     if not size:
         return Filter(np.zeros(0, np.uint8), 0, segments, cutoff)
     bits = np.zeros(size // 8 * segments, np.uint8)
@@ -203,43 +230,60 @@ def _distinct(texts: pd.Series) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(tokens), [len(t) for t in tokens]
 
 
+def _sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """``np.unique`` of a non-empty array; that hashes, which takes many times longer than a sort."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
 def _asks(segments: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        words = np.unique(_distinct(frame["text"])[0])
-        block = int(frame["block"].iloc[0])
-        return pd.DataFrame([(block, segment, _planes(words[part], 8)) for segment, part in _slices(words, segments, 64)],
-                            columns=["block", "segment", "words"])
+        tokens, block = _distinct(frame["text"])[0], int(frame["block"].iloc[0])
+        out = []
+        for kind, values in (("word", tokens), ("bigram", _pairs(tokens))):
+            bits, width = _KINDS[kind]
+            grams = _sorted_distinct(values)
+            out += [(block, kind, segment, _planes(grams[part], width)) for segment, part in _slices(grams, segments, bits)]
+        return pd.DataFrame(out, columns=["block", "kind", "segment", "grams"])
 
     return run
 
 
 def _answers(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    grams = np.frombuffer(known["grams"].iloc[0], U64) if len(known) else np.empty(0, U64)
-    counts = np.frombuffer(known["counts"].iloc[0], np.int64) if len(known) else np.empty(0, np.int64)
+    """For words their counts, for bigrams the level above which the filter does not hold them plus one (0: not held)."""
+    grams, counts = (known[n].iloc[0] if len(known) else b"" for n in ("grams", "counts"))
     out = []
-    for block, segment, packed in zip(asked["block"], asked["segment"], asked["words"], strict=True):
-        words = _numbers(packed, 8)
-        at = np.minimum(np.searchsorted(grams, words), max(0, len(grams) - 1))
-        found = np.where(grams[at] == words, counts[at], 0) if len(grams) else np.zeros(len(words), np.int64)
-        out.append((block, segment, _planes(found, 8)))
-    return pd.DataFrame(out, columns=["block", "segment", "counts"])
-
-
-def _scored(shared, train_tokens: int, vocabulary: int, train_docs: int, weight: float):
+    for block, kind, segment, packed in asked[["block", "kind", "segment", "grams"]].itertuples(index=False):
+        wanted = _numbers(packed, _KINDS[kind][1])
+        if kind == "bigram":
+            held = Filter(np.frombuffer(grams, np.uint8), len(grams) * 8, 1, 1)
+            out.append((block, kind, segment, (held.levels(wanted) + 1).astype(np.uint8).tobytes()))
+            continue
+        words, found = np.frombuffer(grams, U64), np.zeros(len(wanted), np.int64)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+            found = np.where(words[at] == wanted, np.frombuffer(counts, np.int64)[at], 0)
+        out.append((block, kind, segment, _planes(found, 8)))
+    return pd.DataFrame(out, columns=["block", "kind", "segment", "counts"])
+
+
+def _scored(train_tokens: int, vocabulary: int, train_docs: int, weight: float):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({n: [] for n in ("doc_id", "no_id", "n_tokens", "n_known", "base_score", "score")})
         tokens, lengths = _distinct(docs["text"])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        place = np.unique(tokens, return_inverse=True)[1]
-        count = np.concatenate([_numbers(c, 8) for c in answers.sort_values("segment")["counts"]]).astype(np.float64)[place]
+        answers = answers.sort_values("segment")
+        words, bigrams = (answers.loc[answers["kind"] == kind, "counts"] for kind in ("word", "bigram"))
+        count = np.concatenate([_numbers(c, 8) for c in words]).astype(np.float64)[np.unique(tokens, return_inverse=True)[1]]
+        level = np.frombuffer(b"".join(bigrams), np.uint8)[np.unique(_pairs(tokens), return_inverse=True)[1]]
         scale = train_tokens + 0.5 * (vocabulary + 1)
         single = (count + 0.5) / scale
-        before, history = np.roll(tokens, 1), np.roll(count, 1)
-        before[starts], history[starts] = START, train_docs
+        history = np.roll(count, 1)
+        history[starts] = train_docs
         seen = np.flatnonzero((count > 0) & (history > 0))
         after = np.zeros(len(tokens))
-        after[seen] = np.minimum(1.0, shared.value.counts(bigram_hashes(tokens[seen], before[seen])) / history[seen])
+        after[seen] = np.minimum(1.0, _lower_bounds(level[seen].astype(np.int64) - 1, 1) / history[seen])
         total = lambda x: np.add.reduceat(x, starts)
         return pd.DataFrame({
             "doc_id": docs["doc_id"].array, "no_id": docs["no_id"].array, "n_tokens": lengths,
@@ -250,7 +294,7 @@ def _scored(shared, train_tokens: int, vocabulary: int, train_docs: int, weight:
     return run
 
 
-def scores(docs: DataFrame, weight: float = WEIGHT, max_bits: int = MAX_BITS) -> DataFrame:
+def scores(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of every text.
 
     ``base_score`` is the add-half unigram score by exact counts, ``score`` that of the bigram model. Learned from the
@@ -258,24 +302,22 @@ def scores(docs: DataFrame, weight: float = WEIGHT, max_bits: int = MAX_BITS) ->
     to learn from, every word has the same chance. Rows that repeat are counted and scored each; further columns are
     ignored.
     """
-    sc = docs.sparkSession.sparkContext
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     segments, blocks = (max(1, math.ceil(chars / 6 / n)) for n in (SEGMENT_TOKENS, BLOCK_TOKENS))
     added = pin(
         docs.where(~held_out()).select("text").mapInPandas(_counted(segments), _PACKED).groupBy("kind", "segment")
-        .applyInPandas(_added, _PACKED + ", n long, total long, ends long, levels array<long>")
+        .applyInPandas(_added, _PACKED + ", n long, total long, ends long")
     )
-    words, bigrams = added.where("kind = 'word'"), added.where("kind = 'bigram'")
-    learned = words.agg(F.sum("total"), F.sum("n"), F.sum("ends")).first()
+    learned = added.where("kind = 'word'").agg(F.sum("total"), F.sum("n"), F.sum("ends")).first()
     train_tokens, vocabulary, train_docs = (x or 0 for x in learned)
-    shared = sc.broadcast(bloom_filter(bigrams, segments, max_bits))
 
     dealt = with_plain_id(docs, "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asks = dealt.groupBy("block").applyInPandas(_asks(segments), "block int, segment int, words binary")
-    answers = asks.groupBy("segment").cogroup(words.select("segment", "grams", "counts").groupBy("segment")).applyInPandas(
-        _answers, "block int, segment int, counts binary")
+    asks = dealt.groupBy("block").applyInPandas(_asks(segments), "block int, kind string, segment int, grams binary")
+    answers = asks.groupBy("kind", "segment").cogroup(
+        added.select("kind", "segment", "grams", "counts").groupBy("kind", "segment")).applyInPandas(
+        _answers, "block int, kind string, segment int, counts binary")
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _scored(shared, train_tokens, vocabulary, train_docs, weight),
+        _scored(train_tokens, vocabulary, train_docs, weight),
         "doc_id long, no_id boolean, n_tokens long, n_known long, base_score double, score double")
     return with_own_id(found).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known",
                                      F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
