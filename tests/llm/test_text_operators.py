@@ -125,6 +125,18 @@ def test_tagged_expression_adds_labels():
     assert found[1] == 1 and found[5] == "apache-2.0,cc-by-nc,cc-by-nc-4.0,mit" and found[6] == 0.2
 
 
+def test_every_tag_of_a_line_is_read():
+    machine = license_scan.automaton()
+    two = license_scan.scan("SPDX-License-Identifier: MIT */ code /* SPDX-License-Identifier: (AGPL OR GPL) AND MIT */", machine)
+    assert two[5:] == ("agpl,gpl,mit", 0.4)
+    cut = license_scan.scan("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: SPDX-License-Identifier:GPL", machine)
+    assert cut[5:] == ("gpl,mit", 0.4)
+    words = license_scan.scan("spdx license identifiers: gpl; xspdx-license-identifier: agpl; spdx-license-identifier: mit", machine)
+    assert words[5:] == ("mit", 1.0)
+    many = license_scan.scan("SPDX-License-Identifier: MIT " * 20_000 + "SPDX-License-Identifier: ISC\nGPL", machine)
+    assert many[5:] == ("isc,mit", 1.0)
+
+
 def test_licences_awkward(clashing, no_documents):
     assert len(rows(license_scan.licenses(clashing))) == len(awkward_rows())
     assert rows(license_scan.licenses(no_documents)) == []

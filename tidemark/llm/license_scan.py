@@ -1,8 +1,8 @@
 """License scans: Aho-Corasick over words, and a shunting-yard evaluation of licence expressions.
 
 A text is lower-cased (A-Z only) and reduced to its words, joined by single spaces. One automaton finds, in a single
-pass, the base phrases, further notice phrases and the identifier tag. Where the tag occurs, the expression after it is
-read from the text itself, turned into postfix order and evaluated. The automaton is a few dozen fixed strings; every
+pass, the base phrases, further notice phrases and the identifier tag. At every place of the tag, the expression after it,
+up to the end of its line or the next tag, is read from the text itself, turned into postfix order and evaluated. The automaton is a few dozen fixed strings; every
 text is handled on its own, so the job is one pass over the documents without a shuffle.
 """
 
@@ -43,7 +43,10 @@ GRADES = {
 }
 UNKNOWN_GRADE = 0.5
 _BINDING = {"or": 1, "and": 2, "with": 3}
-_EXPRESSION = re.compile(r"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[^0-9a-z\x80-\xff(]*([^\n\r]*)")
+# The tag as whole words, like the automaton's, and what stands between it and its expression
+_TAG = re.compile(r"(?<![0-9a-z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier(?![0-9a-z\x80-\xff])"
+                  r"[^0-9a-z\x80-\xff(]*")
+_LINE = re.compile(r"[^\n\r]*")
 _TOKEN = re.compile(r"[()]|[0-9a-z][0-9a-z.+:-]*")
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -105,6 +108,13 @@ def evaluate(expression: str) -> tuple[list[str], float | None]:
     return values[-1] if values else ([], None)
 
 
+def expressions(text: str) -> list[str]:
+    """What follows each tag of a lower-case text, up to the end of the line or the next tag."""
+    tags = list(_TAG.finditer(text))
+    return [_LINE.match(text, tag.end(), end)[0]
+            for tag, end in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True)]
+
+
 def automaton() -> ahocorasick.Automaton:
     """Patterns are words between spaces; several meanings of one phrase share an entry."""
     found: dict[str, list[tuple[str, str]]] = {}
@@ -137,8 +147,8 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple:
                 labels.add(label)
     grades = [grade(label) for label in labels]
     if tagged:
-        for match in _EXPRESSION.finditer(raw.translate(_LOWER).decode("latin-1")):
-            found, value = evaluate(match[1])
+        for expression in expressions(raw.translate(_LOWER).decode("latin-1")):
+            found, value = evaluate(expression)
             labels.update(found)
             grades += [value] if value is not None else []
     at = [plain.count(" ", 0, s) for s in (min(starts), max(starts))] if starts else [None, None]
