@@ -12,12 +12,12 @@ from tidemark.operators.admission import ADMIN, TENANT_USER, Principal
 from tidemark.operators.dedup import dedup_within
 from tidemark.plans.apply import BatchOptions, apply_batch, apply_messages
 from tidemark.plans.replay import (
-    as_log, hot_totals, rebuild, rebuild_verdict, replay, replay_summary, replay_verdict,
+    as_log, hot_totals, rebuild, rebuild_verdict, replay, replay_summary, replay_verdict, republish,
 )
 from tidemark.plans.reader import Reader
 from tidemark.plans.scope import Forbidden
 from tidemark.schemas import LOG_MESSAGE
-from tidemark.sources.archive import archive_rows, read_archive, write_archive
+from tidemark.sources.archive import archive_rows, log_position, read_archive, write_archive
 from tidemark.sources.events import read_events_batch, read_events_stream, to_log_rows
 from tidemark.sources.views import HotViews
 from tidemark.streaming.job import dead_letter_publisher, ingest_requests, start_ingest, start_processor, stream_run
@@ -270,6 +270,36 @@ def test_ingest_stream(spark, tmp_path):
     assert got == [("1", "validation_failed", "harbour", '{"even'), ("2", "decode_failed", None, '{"raw"')]
 
 
+def test_rebuild_orders_a_batch_stamped_alike(spark, log, tmp_path):
+    """Ids against the order of arrival: in-order events of one request are not late, neither is what the log had in order."""
+    start = dt.datetime(2025, 8, 21, 12, tzinfo=dt.UTC)
+    stamps = [(start + dt.timedelta(minutes=10 * i)).isoformat().replace("+00:00", "Z") for i in range(3)]
+    body = f"[{','.join(payload(event_id=f'own-{9 - i}', timestamp=t) for i, t in enumerate(stamps))}]"
+    requests = spark.createDataFrame([("r", body)], "request_id string, body string")
+    views, root = hot(spark, tmp_path / "v"), str(tmp_path / "archive")
+    apply_batch(views, log.limit(20), "run", 0, OPTIONS)
+    ingest_requests(requests, Principal(ADMIN), views, root, "parquet", {}, str(tmp_path / "out"), "ingest", 0)
+    result = rebuild(views, root, "2025-08-21", None, ["harbour"], "one", 12)
+    assert (result.recorded + result.late, result.late) == (3, 0)
+
+    lines = read_archive(spark, root, "2025-08-21")
+    assert sorted((r["position"]["request"], r["position"]["pos"]) for r in lines.collect()) == [("r", 0), ("r", 1), ("r", 2)]
+    assert rows(republish(lines, "parquet", path=str(tmp_path / "again")))[0][1:] == (3, 0, 3)
+    sent = spark.read.parquet(str(tmp_path / "again")).select(F.get_json_object(F.col("value").cast("string"), "$.event_id")).collect()
+    assert [r[0] for r in sent] == ["own-9", "own-8", "own-7"]
+
+
+def test_rebuild_from_log_positions_equals_live(spark, log, tmp_path):
+    views, root = hot(spark, tmp_path / "v"), str(tmp_path / "archive")
+    live = apply_batch(views, log, "run", 0, OPTIONS)
+    before = unordered(views.read("event_windows"))
+    write_archive(archive_rows(log, F.lit("not json"), F.current_timestamp(), log_position()), root)
+    tenants = [f"tenant_{i:02d}" for i in range(10)]
+    again = rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "rebuild", 12, block=OPTIONS.block)
+    assert (again.recorded, again.late, again.duplicate) == (live.recorded, live.late, live.duplicate) and live.late
+    assert unordered(views.read("event_windows")) == before
+
+
 def test_native_variants(spark, log, whole, tmp_path):
     log.select("topic", "partition", "offset", "event_id", "timestamp", "tenant_id", "source_id", "value", "status", "log_time").orderBy(
         "log_time").coalesce(1).write.parquet(str(tmp_path / "log"))

@@ -232,6 +232,7 @@ FROM cls JOIN (SELECT part, max(off) AS end_off FROM tele GROUP BY part) USING (
     "archive_scan": _with(f"""SELECT event_id, source_id, make_timestamp(ts_us) AS timestamp, make_timestamp(arr_us) AS archived_at
 FROM tele WHERE tenant_id = '{TENANT}'""", "tele"),
     "event_windows_all_tenants": _with(f"SELECT {_WIN_ALL} FROM win WHERE size = 300 GROUP BY size, w_us, tenant_id", "win", "now"),
+    "rebuilt_windows": _with(f"SELECT {_WIN_ALL} FROM win WHERE size = 300 GROUP BY size, w_us, tenant_id", "win", "now"),
     "shard_ids": _with(f"SELECT tenant_id, source_id, {_FNV} AS shard_id FROM (SELECT DISTINCT tenant_id, source_id, encode(tenant_id || chr(0) || source_id) AS b FROM tele)", "tele"),
     "size_histogram": _with("""SELECT le, CAST(CASE le WHEN '+Inf' THEN count(*) ELSE count(*) FILTER (size <= TRY_CAST(le AS BIGINT)) END AS BIGINT) AS bucket_count
 FROM (SELECT count(*) AS size FROM tele GROUP BY part, arr_us // 60000000), (SELECT unnest(['1','5','10','25','50','100','250','500','1000','+Inf']) AS le) GROUP BY le""", "tele"),

@@ -113,7 +113,8 @@ def apply_batch(
         return cached[-1]
 
     try:
-        log = log.select(*USED, *LOG_COLUMNS)  # what is cached below holds no more than that
+        ties = [c for c in options.ties if c not in USED + LOG_COLUMNS]
+        log = log.select(*USED, *LOG_COLUMNS, *ties)  # what is cached below holds no more than that
         ids = cache(log.select("event_id").distinct())
         ids.count()  # materialised, so its size is known when the join is planned
         processed = process_batch(

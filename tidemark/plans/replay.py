@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -10,25 +10,34 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.measures import log_partition
 from tidemark.functions.text import partition_key
-from tidemark.operators.lateness import ALLOWED_LATENESS_SECONDS
+from tidemark.operators.lateness import ALLOWED_LATENESS_SECONDS, OFFSETS_PER_BLOCK
 from tidemark.plans.apply import REPLAY_TOPIC, BatchOptions, BatchResult, apply_batch
+from tidemark.schemas import POSITION
 from tidemark.sources.archive import day_range, read_archive
+from tidemark.sources.events import to_log_rows, write_log
 from tidemark.sources.views import HotViews
 
 # A minute of arrivals per scan block.
 REPLAY_BLOCK_US = 60_000_000
+# Order of rows stamped alike that have no log offset
+REPLAY_TIES = ("request", "pos", "event_id")
+_REPLAY_ORDER = ("archived_at", "position.offset", "position.request", "position.pos", "event.event_id")
+
+
+def _with_position(lines: DataFrame) -> DataFrame:
+    return lines if "position" in lines.columns else lines.withColumn("position", F.lit(None).cast(POSITION))
 
 
 def replay_filter(lines: DataFrame, tenant: str | None = None, limit: int = 0) -> DataFrame:
     """Decoded events to publish: the tenant's, in archive order, at most ``limit`` if set."""
     if limit < 0:
         raise ValueError("limit must be zero or greater")
-    rows = lines
+    rows = _with_position(lines)
     if tenant and tenant.strip():
         rows = rows.where(F.col("event.tenant_id") == tenant.strip())
     if limit:
-        rows = rows.orderBy("path", "archived_at", "event.event_id").limit(limit)
-    return rows.select("archived_at", "event")
+        rows = rows.orderBy("path", *_REPLAY_ORDER).limit(limit)
+    return rows.select("archived_at", "event", "position")
 
 
 def replay(spark, root: str, start: str, end: str | None = None, tenant: str | None = None, limit: int = 0) -> DataFrame:
@@ -55,20 +64,41 @@ def replay_summary(lines: DataFrame, tenant: str | None = None, limit: int = 0)
 def as_log(replayed: DataFrame, partitions: int, partition: Column | None = None, run_id: str = "") -> DataFrame:
     """Replayed events as log rows in their original arrival order.
 
-    Each run is a log of its own, so marks left by another replay make nothing late.
-    ``partition`` must send a source where the live log sent it for lateness to come out
-    the same; by default the key hash decides.
+    Each run is a log of its own, so marks left by another replay make nothing late. Lines archived from the log keep
+    their partition, offset and log time. Others are ordered by archive time, and by request and position among those
+    stamped alike (``REPLAY_TIES``); ``partition`` must send their sources where the live log sent them for lateness to
+    come out the same; by default the key hash decides.
     """
+    at = F.col("position")
     keyed = partition if partition is not None else log_partition(partition_key("event.tenant_id", "event.source_id"), partitions)
-    return replayed.select(
-        "event.*", F.lit(f"{REPLAY_TOPIC}.{run_id}").alias("topic"), keyed.cast("int").alias("partition"),
-        F.unix_micros("archived_at").alias("offset"), F.col("archived_at").alias("log_time"),
+    return _with_position(replayed).select(
+        "event.*", F.concat_ws(".", F.lit(f"{REPLAY_TOPIC}.{run_id}"), at["topic"]).alias("topic"),
+        F.coalesce(at["partition"], keyed.cast("int")).alias("partition"),
+        F.coalesce(at["offset"], F.unix_micros("archived_at")).alias("offset"),
+        F.coalesce(at["log_time"], F.col("archived_at")).alias("log_time"), at["request"].alias("request"), at["pos"].alias("pos"),
     )
 
 
+def republish(
+    lines: DataFrame, fmt: str, options: Mapping[str, str] = {}, path: str | None = None, tenant: str | None = None, limit: int = 0,
+) -> DataFrame:
+    """Publish archived events to the log in their order, and give the accounting of ``replay_summary``.
+
+    What shared a log partition is written by one task in log order; without a log position, so is a source.
+    """
+    rows = replay_filter(lines, tenant, limit)
+    at, unplaced = F.col("position"), F.col("position.offset").isNull()
+    together = [at["topic"], at["partition"], *[F.when(unplaced, F.col(f"event.{c}")) for c in ("tenant_id", "source_id")]]
+    # within a log partition the offset decides; archive times of different batches may cross
+    ordered = rows.repartition(*together).sortWithinPartitions("position.topic", "position.partition", "position.offset", *_REPLAY_ORDER)
+    write_log(to_log_rows(ordered, F.col("event")), fmt, options, path)
+    return replay_summary(lines, tenant, limit)
+
+
 def rebuild(
     views: HotViews, archive_root: str, start: str, end: str | None, tenants: Sequence[str], run_id: str,
     partitions: int, partition: Column | None = None, lateness_seconds: float = ALLOWED_LATENESS_SECONDS, fault=None,
+    block: int | None = None,
 ) -> BatchResult:
     """Replace the tenants' hot rows by what their archived events give.
 
@@ -76,7 +106,7 @@ def rebuild(
     nothing. A used ``run_id`` is refused, as its batch would be skipped, and so is a range that
     leaves out days for which the tenants have hot rows. Lateness is judged among the replayed
     rows, so it comes out as it was only when all tenants that share a log partition are rebuilt
-    together.
+    together. ``block`` is the number of offsets in a scan block, by default that of a dense log.
     """
     if views.committed(run_id) >= 0:
         raise ValueError(f"run id {run_id} is used already")
@@ -88,10 +118,13 @@ def rebuild(
     lines = read_archive(views.spark, archive_root, start, end, tenants[0] if len(tenants) == 1 else None)
     wanted = lines.where(F.col("event.tenant_id").isin(list(tenants)))
     # parsed once, then read by the claims, marks and lateness passes
-    log = as_log(wanted.select("archived_at", "event"), partitions, partition, run_id).persist(StorageLevel.DISK_ONLY)
-    options = BatchOptions(
-        lateness_seconds=lateness_seconds, block=REPLAY_BLOCK_US, ties=("event_id",), instance_id=run_id, snapshot_seconds=None)
+    log = as_log(wanted.select("archived_at", "event", "position"), partitions, partition, run_id).persist(StorageLevel.DISK_ONLY)
     try:
+        if block is None:
+            placed = not wanted.where("position.offset IS NOT NULL").isEmpty()
+            block = OFFSETS_PER_BLOCK if placed else REPLAY_BLOCK_US
+        options = BatchOptions(
+            lateness_seconds=lateness_seconds, block=block, ties=REPLAY_TIES, instance_id=run_id, snapshot_seconds=None)
         return apply_batch(views.as_if_reset(tenants), log, run_id, 0, options, fault=fault)
     finally:
         log.unpersist()

@@ -26,7 +26,9 @@ LOG_MESSAGE = _struct(
     headers=T.ArrayType(LOG_HEADER),
 )
 
-ARCHIVE_LINE = _struct(archived_at=TIME, event=EVENT, raw_payload=STRING)
+# Where an archived event stood: in the log, or, if archived before it got there, in its request
+POSITION = _struct(topic=STRING, partition=INT, offset=LONG, log_time=TIME, request=STRING, pos=INT)
+ARCHIVE_LINE = _struct(archived_at=TIME, event=EVENT, raw_payload=STRING, position=POSITION)
 
 DEAD_LETTER = _struct(
     failed_at=TIME, reason=STRING, error=STRING, source_topic=STRING,

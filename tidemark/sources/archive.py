@@ -10,23 +10,35 @@ from pyspark.sql import types as T
 
 from tidemark.functions.text import TIME_FORMAT, encode_event, event_struct, exact_json, path_segment
 from tidemark.functions.timeparts import hour_label, is_zero_time, utc_day
-from tidemark.schemas import ARCHIVE_LINE
+from tidemark.schemas import ARCHIVE_LINE, POSITION
 
 PARTITIONS = ("day", "tenant", "hour")
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def archive_rows(events: DataFrame, raw_payload: Column, archived_at: Column) -> DataFrame:
+def position(**known: Column) -> Column:
+    """Fields of ``POSITION``; those that are not known are null."""
+    return F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in POSITION])
+
+
+def log_position() -> Column:
+    """The position of a log row."""
+    return position(**{c: F.col(c) for c in ("topic", "partition", "offset", "log_time")})
+
+
+def archive_rows(events: DataFrame, raw_payload: Column, archived_at: Column, stood: Column | None = None) -> DataFrame:
     """Archive lines with their partition columns.
 
     A raw payload that is valid JSON is kept as sent, anything else is replaced by the
-    encoded event. The partition follows event time, or archive time when there is none.
+    encoded event. The partition follows event time, or archive time when there is none. A batch is stamped alike, so
+    only the position (``stood``) tells the order of its events.
     """
     event = event_struct()
     filed = F.when(is_zero_time("timestamp"), archived_at).otherwise(F.col("timestamp"))
     raw = F.when(exact_json(raw_payload).isNotNull(), raw_payload).otherwise(encode_event(event))
     return events.select(
         archived_at.alias("archived_at"), event.alias("event"), raw.alias("raw_payload"),
+        (F.lit(None).cast(POSITION) if stood is None else stood).alias("position"),
         utc_day(filed).alias("day"), path_segment("tenant_id").alias("tenant"), hour_label(filed).alias("hour"),
     )
 
@@ -38,7 +50,8 @@ def _line() -> Column:
     flat = F.when(raw.rlike(r"[\r\n]"), F.to_json(F.try_parse_json(raw))).otherwise(raw)
     return F.concat(
         F.lit('{"archived_at":"'), F.date_format("archived_at", TIME_FORMAT), F.lit('","event":'),
-        encode_event(F.col("event")), F.lit(',"raw_payload":'), flat, F.lit("}"),
+        encode_event(F.col("event")), F.lit(',"raw_payload":'), flat,
+        F.coalesce(F.concat(F.lit(',"position":'), F.to_json("position", {"timestampFormat": TIME_FORMAT})), F.lit("")), F.lit("}"),
     )
 
 
@@ -84,7 +97,7 @@ _STORED = ARCHIVE_LINE
 def read_archive(
     spark: SparkSession, root: str, start: str, end: str | None = None, tenant: str | None = None,
 ) -> DataFrame:
-    """Archive lines of a day range: ``archived_at, event, raw_payload, path``.
+    """Archive lines of a day range: ``archived_at, event, raw_payload, position, path``.
 
     Only the partitions of those days (and of the tenant's folder) are listed and read.
     A line that cannot be parsed aborts the read.

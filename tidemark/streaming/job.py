@@ -15,7 +15,7 @@ from tidemark.operators.deadletters import dead_letter_log
 from tidemark.operators.rejections import to_rejections
 from tidemark.plans.apply import BatchOptions, EndOffsets, apply_messages
 from tidemark.session import prepare, shared_dir
-from tidemark.sources.archive import archive_rows, write_archive
+from tidemark.sources.archive import archive_rows, position, write_archive
 from tidemark.sources.events import to_log_rows, write_log
 from tidemark.sources.views import HotViews
 
@@ -93,8 +93,11 @@ def ingest_requests(
         views.write("rejection_events", to_rejections(
             verdicts.where("reason IS NOT NULL"), F.col("payload"), now, F.col(key)), run_id, batch_id)
         events = admitted_events(kept, principal, key)
-        write_archive(archive_rows(events, F.col("raw_payload"), now), archive_root)
-        write_log(to_log_rows(events), log_format, log_options, log_path)
+        stood = position(request=F.col(key), pos=F.col("pos"))
+        write_archive(archive_rows(events, F.col("raw_payload"), now, stood), archive_root)
+        # a source's events reach the log in the order that the archive tells
+        ordered = events.repartition("tenant_id", "source_id").sortWithinPartitions(key, "pos")
+        write_log(to_log_rows(ordered), log_format, log_options, log_path)
         views.commit(run_id, batch_id)
     finally:
         kept.unpersist()

@@ -26,10 +26,10 @@ from tidemark.operators.rejections import rejection_counts, to_rejections
 from tidemark.plans import queries as q
 from tidemark.plans.apply import BatchOptions, apply_batch
 from tidemark.plans.process import process_batch
-from tidemark.plans.replay import as_log, hot_totals, rebuild, replay, replay_filter, replay_summary, replay_verdict
+from tidemark.plans.replay import REPLAY_TIES, as_log, hot_totals, rebuild, replay, replay_filter, replay_summary, replay_verdict
 from tidemark.plans.scope import scoped
 from tidemark.session import shared_dir
-from tidemark.sources.archive import archive_rows, read_archive, write_archive
+from tidemark.sources.archive import archive_rows, log_position, read_archive, write_archive
 from tidemark.sources.events import to_log_rows
 from tidemark.sources.views import HotViews
 
@@ -369,12 +369,22 @@ def _stored(spark: SparkSession) -> tuple[HotViews, str]:
 _OPTIONS = BatchOptions(block=fx.OFFSET_BLOCK, snapshot_seconds=None)
 
 
-def _archived(spark: SparkSession, d: str, root: str) -> DataFrame:
+def _archived(spark: SparkSession, d: str, root: str, archived_at: Column | None = None) -> DataFrame:
     log = fx.telemetry(spark, d)
-    write_archive(archive_rows(log, F.lit(None).cast("string"), F.col("log_time")), root)
+    stamp = F.col("log_time") if archived_at is None else archived_at
+    write_archive(archive_rows(log, F.lit(None).cast("string"), stamp, log_position()), root)
     return log
 
 
+def _rebuilt(spark: SparkSession, d: str) -> HotViews:
+    """Views rebuilt from an archive whose lines are all stamped alike, as those of one ingested batch."""
+    views, root = _stored(spark)
+    apply_batch(views, _archived(spark, d, root, F.current_timestamp()), "stream", 0, _OPTIONS)
+    tenants = [f"tenant_{i:02d}" for i in range(10)]
+    rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "rebuild", fx.LOG_PARTITIONS, block=fx.OFFSET_BLOCK)
+    return views
+
+
 @query
 def restarted_views(spark, d):
     """A stream that starts over with a new checkpoint, and so with batch 0, loses nothing."""
@@ -407,12 +417,14 @@ def partition_lag(spark, d):
 @query
 def rebuilt_views(spark, d):
     """Stored views after all tenants are reset and rebuilt from the written archive."""
-    views, root = _stored(spark)
-    apply_batch(views, _archived(spark, d, root), "stream", 0, _OPTIONS)
-    source = F.substring("event.source_id", 8, 6).cast("int")
-    tenants = [f"tenant_{i:02d}" for i in range(10)]
-    rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "rebuild", fx.LOG_PARTITIONS, source % fx.LOG_PARTITIONS)
-    return views.read("source_metrics")
+    return _rebuilt(spark, d).read("source_metrics")
+
+
+@query
+def rebuilt_windows(spark, d):
+    """5-minute tenant windows rebuilt from the written archive equal the live ones."""
+    windows = _rebuilt(spark, d).read("event_windows").where("window_size_seconds = 300")
+    return _shown(q.all_sources(windows).select(*[c for c in q.window_columns(_now(spark, d))]))
 
 
 @query
@@ -432,7 +444,7 @@ def replay_outcome(spark, d):
     before = spark.createDataFrame(hot_totals(views, TENANT).collect(), "processed_events long, source_events long")
     again = replay(spark, root, "2024-01-01", "2024-01-02", TENANT)
     result = apply_batch(views, as_log(again, fx.LOG_PARTITIONS, run_id="again"), "again", 0, BatchOptions(
-        ties=("event_id",), snapshot_seconds=None))
+        block=fx.OFFSET_BLOCK, ties=REPLAY_TIES, snapshot_seconds=None))
     return replay_verdict(before, hot_totals(views, TENANT), again.count(), result.duplicate)
 
 
