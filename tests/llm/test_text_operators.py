@@ -317,6 +317,16 @@ def test_language_rejects_foreign_scripts(spark, sf):
     assert model.decide("qzx wvkj xqjz vvkq zzxj qqwx jxkz qvzx")[2]
 
 
+def test_language_with_long_texts_only_is_learned(spark):
+    texts = [(i, prose(i, 60, "abcde"), "short") for i in range(40)] + [(100 + i, prose(i, 6000, "vwxyz"), "long") for i in range(12)]
+    docs = spark.createDataFrame([*texts, (300, "1 " * 30_000, "short")], "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, lang in texts if lang == "long") > language_id.SAMPLE_CHARS
+    learned = [r["text"] for r in language_id.sample(docs).where("lang = 'long'").collect()]
+    assert learned and all(len(t) == language_id.SAMPLE_CHARS + language_id.SAMPLE_PIECES - 1 for t in learned)
+    found = language_id.identify(docs, language_id.fit(docs)).select("lang", "lang_pred", "rejected").where("doc_id < 300").collect()
+    assert all(r[0] == r[1] and not r[2] for r in found)
+
+
 def test_long_texts_are_scored_whole(monkeypatch, spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.fit(docs)

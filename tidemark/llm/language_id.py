@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Fitting: per language, a documented sample of labelled texts (the ``SAMPLE`` smallest hashes of doc_id, texts of at most
-``SAMPLE_CHARS`` characters) gives counts of character n-grams up to ``ORDER``, added up by Spark. The highest order uses
+Fitting: per language, a documented sample of labelled texts (the ``SAMPLE`` smallest hashes of doc_id; of a text of more
+than ``SAMPLE_CHARS`` characters, ``SAMPLE_PIECES`` pieces of together as many) gives counts of character n-grams up to ``ORDER``, added up by Spark. The highest order uses
 counts, lower ones the number of distinct characters before an n-gram, all with one absolute discount per order. The
 models of all languages share sorted arrays of n-gram hashes, one row of log probabilities a hash; what a language has
 not seen is filled with its back-off probability, so one look-up a character does for all languages. What none has seen
@@ -29,6 +29,7 @@ from tidemark.llm.common import U64, chunks, mixed, signed, with_own_id, with_pl
 ORDER = 4
 SAMPLE = 600
 SAMPLE_CHARS = 20_000
+SAMPLE_PIECES = 4
 REJECT_SPREADS = 6.0
 SHORT = 8.0  # bits; divided by the square root of a text's length
 PIECE = 1 << 18  # characters scored at once
@@ -147,20 +148,29 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _learned_from(text: str) -> F.Column:
+    """A text, or of a long one a piece from a hash-chosen place in each of ``SAMPLE_PIECES`` equal stretches."""
+    size, stretch = SAMPLE_CHARS // SAMPLE_PIECES, F.floor(F.length(text) / SAMPLE_PIECES)
+    pieces = []
+    for i in range(SAMPLE_PIECES):
+        start = stretch * i + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(stretch - size + 1, F.lit(1)))
+        pieces.append(F.substring(F.col(text), (start + 1).cast("int"), F.lit(size)))
+    return F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.concat_ws(" ", *pieces))
+
+
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """The labelled texts to learn from: at most ``size`` a language, those of the smallest doc_id hashes.
 
     A bound on the hash, from each language's number of ids, leaves a few times as many rows before they are ranked, so
     what meets in one task does not grow with the corpus.
     """
-    usable = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()
-                        & (F.length("text") <= SAMPLE_CHARS))
+    usable = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     ids = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()  # one row a language
     bounds = F.create_map(*[F.lit(x) for r in ids for x in (r["lang"], 4.0 * size / max(1, r["n"]))]) if ids else None
-    near = usable.withColumn("place", place)
+    near = usable.select("lang", place.alias("place"), F.xxhash64("text").alias("key"), _learned_from("text").alias("text"))
     near = near.where(F.col("place") <= F.element_at(bounds, F.col("lang"))) if ids else near
-    first = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy("place", "key")
     return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= size).select("lang", "text")
 
 
