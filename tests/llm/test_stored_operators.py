@@ -68,6 +68,16 @@ def test_encoder_equals_the_tokenizer(text):
     assert pieces.ids([text])[0].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_encoder_equals_a_tokenizer_whose_tokens_carry_the_space():
+    file = VOCABULARY.replace("word_bpe_49k", "byte_bpe_50k")
+    with open(file, encoding="utf-8") as described:
+        whole, encoder = Tokenizer.from_file(file), token_ids.Encoder(described.read())
+    texts = ["Hello world, it's  two\n\nlines ", "", None, " a", "a\tb <|endoftext|> c", "x" * 5000 + " y"]
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert ids.tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 1], text
+    assert not encoder.alone and _tokenizers()[1].alone
+
+
 _made = []
 
 

@@ -15,6 +15,7 @@ number of all ids before a frame comes from the row counts beside the frames, ne
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -43,18 +44,30 @@ FILE_SCHEMA = "part int, frame int, n_ids long, data binary"
 
 
 class Encoder:
-    """A tokenizer whose pieces between white space are remembered.
+    """A tokenizer whose pieces between white space are remembered, if it is one whose pieces stand alone.
 
-    No token spans white space, so a text's ids are those of its pieces, one after the other. Pieces of Latin letters are
-    further cut as the tokenizer's own pattern cuts them. Both memories are bounded: full ones start anew.
+    With the normalizer and pre-tokenizer named here no token spans white space, so a text's ids are those of its pieces,
+    one after the other. Pieces of Latin letters are further cut as the tokenizer's own pattern cuts them. Both memories are
+    bounded: full ones start anew. Any other tokenizer is given whole texts.
     """
 
     # Fixed value: the split pattern of the vocabulary file
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+    NORMALIZER = {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN.pattern}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
     def __init__(self, description: str):
         self.tokenizer = Tokenizer.from_str(description)
-        self.cuts = self.PATTERN.pattern in description.replace("\\\\", "\\")
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        told = json.loads(description)
+        self.alone = (
+            told.get("normalizer") == self.NORMALIZER and told.get("pre_tokenizer") == self.PRE_TOKENIZER
+            and all("<|" in t["content"] and len(t["content"].split()) == 1 for t in told.get("added_tokens") or []))
         self.pieces: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -71,7 +84,7 @@ class Encoder:
         plain, other = {}, []
         for piece in new:
             word = piece.decode("utf-8", "replace").lower()
-            if self.cuts and "<|" not in word and max(word) < "ƀ":
+            if "<|" not in word and max(word) < "ƀ":
                 plain[piece] = self.PATTERN.findall(word)
             else:
                 other.append(piece)
@@ -86,9 +99,12 @@ class Encoder:
 
     def ids(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """The ids of each text (null: none) and the end id."""
-        pieces = [t.encode("utf-8", "replace").split() if isinstance(t, str) else [] for t in texts]
-        self.learn(pieces)
         last = np.array([end], "<u2").tobytes()
+        raw = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
+        if not self.alone:
+            return [np.frombuffer(ids + last, "<u2") for ids in self._encode([t.decode("utf-8") for t in raw])]
+        pieces = [t.split() for t in raw]
+        self.learn(pieces)
         return [np.frombuffer(b"".join(map(self.pieces.__getitem__, p)) + last, "<u2") for p in pieces]
 
 
