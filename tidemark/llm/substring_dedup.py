@@ -1,12 +1,12 @@
-"""Substring dedup: relative Lempel-Ziv parsing of documents against an index of all documents' blocks.
+"""Substring dedup: winnowed blocks of documents, matched by hash with those of all documents.
 
 Every text is cut into overlapping reference blocks. Each window of ``window`` words picks the smallest hashed seed (run
 of ``seed`` words) inside it, the leftmost if there are several; neighbouring windows with the same pick form a block.
 The pick depends on the window's words alone, so equal windows of two documents lie in blocks of the same seed. The index
-holds, per seed, the smallest doc_id and whether all its blocks are equal. A document is parsed from left to right: a
-block found whole in a document with a smaller id prolongs the current factor. At factor boundaries, where blocks share
-their seed but not all their words, the first document of every block variant looks its windows up one by one. So no pair
-of documents is ever formed, and a block that a third of all documents share is one index row.
+holds, per seed, the smallest doc_id and whether all its blocks are equal. A block found whole in a document with a
+smaller id is a duplicate. Where blocks share their seed but not all their words, the first document of every block variant
+looks its windows up one by one. The words removed are the union of all windows found: there is no greedy parse into
+factors. So no pair of documents is ever formed, and a block that a third of all documents share is one index row.
 
 Seeds, blocks and windows are told apart by two independent 64-bit hashes.
 """
@@ -114,7 +114,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
 
 def _factors(spans, n_words: int, window: int) -> np.ndarray:
-    """Which words lie in a factor of at least ``window`` words."""
+    """Which words lie in a duplicate window of ``window`` words: the union of all spans."""
     edges = np.zeros(n_words + 1, np.int64)
     if spans is not None and len(spans):
         first = np.array([s["first"] for s in spans])
