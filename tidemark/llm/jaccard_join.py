@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact shingle sets decide.
+"""N-gram Jaccard join: MinHash bands find candidates, exact shingle sets decide.
 
-Texts with equal shingle sets are one node. A node's signature is cut into ``trees`` keys of ``depth`` minima. Nodes
-whose keys of a tree share a prefix meet in the node of that tree's trie; the prefixes are shortened from the full depth
-until the chance of meeting at the threshold reaches the target recall. Sorting keys by prefix is left to the shuffle.
-What meets in no tree is alone. The others fall into connected candidate sets, so all links lie inside these; within a
+Texts with equal shingle sets are one node. A node's signature is cut into ``trees`` bands of ``depth`` minima. Nodes
+meet where a band has the same first minima, as many as give the target recall at the threshold: a constant of the
+parameters (4 of 6 by default, the others are not used), so this is fixed banding and no forest of tries.
+What meets in no band is alone. The others fall into connected candidate sets, so all links lie inside these; within a
 set all pairs of nodes are compared by exact intersection, in blocks of bounded size as products of incidence matrices.
 Only per-node sums and a spanning star of the links leave a task: never pairs.
 """
