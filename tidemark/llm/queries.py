@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, mixing, substring_dedup, token_ids, top_k,
+    decontaminate, importance, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, mixing, substring_dedup, token_ids, top_k,
 )
 from tidemark.llm.common import table
 
@@ -64,11 +64,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(importance.importance(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_ids, op3_top_k, op4_license_scan, op5_line_dedup, op6_lm_scoring,
-    op7_source_mixing, op8_jaccard_join, op9_decontamination, op10_language_id,
+    op7_source_mixing, op8_jaccard_join, op9_decontamination, op10_language_id, op11_importance_resampling,
 )}
 ORACLE: dict[str, str] = {
     "op3_top_k": top_k.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE,
-    "op9_decontamination": decontaminate.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE, "op11_importance_resampling": importance.ORACLE,
 }
