@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, importance, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, mixing, quality_rules,
+    conversation_repair, decontaminate, importance, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, mixing, quality_rules,
     substring_dedup, token_ids, top_k,
 )
 from tidemark.llm.common import table
@@ -69,6 +69,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.digest(importance.importance(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.audited(conversation_repair.damaged(conversations), conversations)
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.verdicts(_documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
@@ -76,10 +81,10 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_ids, op3_top_k, op4_license_scan, op5_line_dedup, op6_lm_scoring,
     op7_source_mixing, op8_jaccard_join, op9_decontamination, op10_language_id, op11_importance_resampling,
-    op13_quality_rules,
+    op12_conversation_repair, op13_quality_rules,
 )}
 ORACLE: dict[str, str] = {
     "op3_top_k": top_k.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE,
     "op9_decontamination": decontaminate.ORACLE, "op11_importance_resampling": importance.ORACLE,
-    "op13_quality_rules": quality_rules.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE, "op13_quality_rules": quality_rules.ORACLE,
 }
