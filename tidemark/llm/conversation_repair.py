@@ -33,6 +33,7 @@ FINAL = "end"
 WORD = r"[^\x20\x09-\x0D]"
 
 Entry = tuple[int, int, int, str, str]  # cost to the end, cost of own edits, state at the end, audit, initials of the turns made
+ENTRY = ("totals", "costs", "exits", "audits", "roles")
 Node = list[Entry]
 
 
@@ -83,16 +84,16 @@ def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for letter in this[shared:]:
                 nodes.append(longer(letter, nodes[-1]))
             end, backward = this_end, this
-            out.append([[entry[at] for entry in nodes[-1]] for at in (1, 2, 3, 4)])
-        yield frame.assign(**{name: [row[at] for row in out] for at, name in enumerate(("costs", "exits", "audits", "roles"))})
+            out.append([[entry[at] for entry in nodes[-1]] for at in range(len(ENTRY))])
+        yield frame.assign(**{name: [row[at] for row in out] for at, name in enumerate(ENTRY)})
 
 
 def solved(pieces: DataFrame) -> DataFrame:
-    """(end, signature, costs, exits, audits, roles) of every distinct signature and end, by state at its start."""
+    """(end, signature, totals, costs, exits, audits, roles) of every distinct signature and end, by state at its start."""
     distinct = pieces.select("end", F.reverse("signature").alias("backward")).distinct()
     order = ["end", "backward"]
     found = distinct.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
-        _solve, "end string, backward string, costs array<long>, exits array<int>, audits array<string>, roles array<string>")
+        _solve, "end string, backward string, totals array<long>, costs array<long>, exits array<int>, audits array<string>, roles array<string>")
     return pin(found.withColumn("signature", F.reverse("backward")).drop("backward"))
 
 
@@ -109,7 +110,7 @@ def _backward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 costs = [cost - least for cost in costs]
                 ends_here = " ".join(map(str, costs))
             ends.append(ends_here)
-            costs = [min(min(ways[out]["costs"][state] + costs[out], NOWHERE) for out in STATES) for state in STATES]
+            costs = [min(min(ways[out]["totals"][state] + costs[out], NOWHERE) for out in STATES) for state in STATES]
         yield frame[["conversation", "block"]].assign(end=ends)
 
 
@@ -195,7 +196,7 @@ def repairs(placed: DataFrame) -> DataFrame:
     units = [" ".join(str(0 if out == state else NOWHERE) for state in STATES) for out in STATES]
     asked = several.select("conversation", "block", "signature", F.explode(F.array(*map(F.lit, units))).alias("end"))
     ways = asked.join(solved(asked), ["signature", "end"]).groupBy("conversation", "block").agg(
-        F.sort_array(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, units)), F.col("end")).alias("out"), "costs"))).alias("ways"))
+        F.sort_array(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, units)), F.col("end")).alias("out"), "totals"))).alias("ways"))
     ends = pin(ways.repartition("conversation").sortWithinPartitions(*order).mapInPandas(_backward, "conversation string, block long, end string"))
     ended = several.join(ends, ["conversation", "block"]).unionByName(pieces.where("whole").withColumn("end", F.lit(FINAL)))
     found = pin(ended.join(solved(ended), ["signature", "end"]))
@@ -203,7 +204,7 @@ def repairs(placed: DataFrame) -> DataFrame:
                  .sortWithinPartitions("conversation", "block").mapInPandas(_forward, "conversation string, block long, state int"))
     every = found.join(states, ["conversation", "block"], "left").withColumn("state", F.coalesce("state", F.lit(0)))
     own = {name: F.get(F.col(many), F.col("state")) for name, many in (("cost", "costs"), ("audit", "audits"), ("made", "roles"))}
-    return pin(every.withColumns(own).drop("costs", "exits", "audits", "roles", "end", "whole"))
+    return pin(every.withColumns(own).drop(*ENTRY, "end", "whole"))
 
 
 def repaired(placed: DataFrame, found: DataFrame) -> DataFrame:
