@@ -22,7 +22,7 @@ from tidemark.sources.events import read_events_batch, read_events_stream, to_lo
 from tidemark.sources.views import HotViews
 from tidemark.streaming.job import dead_letter_publisher, ingest_requests, start_ingest, start_processor, stream_run
 from tidemark.streaming.native import native_windows, stateful_lateness
-from tidemark.streaming.stats import ProgressLog, progress_rows
+from tidemark.streaming.stats import progress_rows
 
 MERGED = ("tenant_metric_shards", "source_metrics", "event_windows", "partition_marks", "partition_progress")
 OPTIONS = BatchOptions(block=fx.OFFSET_BLOCK, snapshot_seconds=0)
@@ -154,16 +154,24 @@ def test_rebuild_is_one_step(spark, log, tmp_path):
 def test_new_checkpoint_skips_nothing(spark, log, tmp_path):
     files = kafka_files(spark, log, str(tmp_path / "log"), 2)
     views = hot(spark, tmp_path / "v")
-    reports = ProgressLog(spark, str(tmp_path / "progress"), every=1)
-    spark.streams.addListener(reports)
     for at, path in enumerate(files):
         messages = read_events_stream(spark, "parquet", {}, path)
         drained(start_processor(messages, views, str(tmp_path / f"cp{at}"), options=OPTIONS, interval=None))
     ids = views.refresh().read("processed_events")
     assert ids.count() == log.select("event_id").distinct().count()
-    spark.streams.removeListener(reports)
-    reports.flush()
-    assert reports.read().agg(F.sum("rows")).first()[0] == log.count()
+    stats = views.read("batch_stats")
+    assert stats.count() == 2 and stats.agg(F.sum("batch_size")).first()[0] == log.count()
+    assert stats.agg(F.sum("claim_rows")).first()[0] == ids.count()
+    assert stats.where("flush_ms > 0 and dedup_claim_ms > 0 and window_aggregate_ms > 0 and commit_ms > 0").count() == 2
+
+
+def test_statistics_of_an_empty_batch(spark, log, tmp_path):
+    views = hot(spark, tmp_path / "v")
+    result = apply_batch(views, log.where("partition < 0"), "run", 0, OPTIONS)
+    assert (result.recorded, result.duplicate, result.late, result.applied) == (0, 0, 0, True)
+    messages = spark.createDataFrame([], LOG_MESSAGE).withColumnRenamed("timestamp", "log_time")
+    assert apply_messages(views, messages, "run", 1, OPTIONS).dead_letters == 0
+    assert [(r["batch_size"], r["claim_rows"], r["window_rows"]) for r in views.read("batch_stats").collect()] == [(0, 0, 0)] * 2
 
 
 def test_small_values_are_not_lost(spark, tmp_path):

@@ -359,3 +359,12 @@ FROM (SELECT m_us, sum(inc)::DOUBLE AS g FROM grown GROUP BY 1)""", "v > 0.2", 6
 })
 
 ORACLE["claims_across_batches"] = ORACLE["partition_progress"]
+ORACLE["batch_stats"] = _with(f"""SELECT batch_id, count(*) AS batch_size, count(*) FILTER (disposition = 'recorded') AS recorded_count,
+  count(*) FILTER (disposition = 'duplicate') AS duplicate_count, count(*) FILTER (disposition = 'late') AS late_count, 0 AS dead_letter_count,
+  count(*) FILTER (rn = 1) AS claim_rows, count(DISTINCT CASE WHEN ok THEN (tenant_id, shard_id, ts_us // 10000000) END) AS tenant_rows,
+  count(DISTINCT CASE WHEN ok THEN (tenant_id, source_id) END) AS source_rows,
+  count(DISTINCT CASE WHEN ok THEN (tenant_id, source_id, ts_us // 60000000) END)
+  + count(DISTINCT CASE WHEN ok THEN (tenant_id, source_id, ts_us // 300000000) END) AS window_rows, 7 AS timed_stages
+FROM (SELECT *, CAST(arr_us >= {_CUT} AS BIGINT) AS batch_id, disposition = 'recorded' AS ok FROM cls
+  JOIN (SELECT source_id AS sid, {_FNV} AS shard_id FROM (SELECT DISTINCT source_id, encode(tenant_id || chr(0) || source_id) AS b FROM tele)) ON sid = source_id)
+GROUP BY 1""", "cls")

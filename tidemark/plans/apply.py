@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.deadletters import to_dead_letters
@@ -24,7 +24,11 @@ from tidemark.plans.process import process_batch, view_deltas
 from tidemark.sources.views import HotViews
 
 LOG_COLUMNS = ("topic", "partition", "offset", "log_time")
+TOTALS = ("processed_total", "duplicate_total", "late_event_total")
 USED = ("event_id", "tenant_id", "source_id", "timestamp", "value", "status")
+# rows that a batch adds to each view, as its statistics name them
+WRITTEN = {
+    "processed_events": "claim_rows", "tenant_metric_shards": "tenant_rows", "source_metrics": "source_rows", "event_windows": "window_rows"}
 # topics of replay runs start with this; they are no part of the live log
 REPLAY_TOPIC = "archive.replay"
 EndOffsets = Callable[[], DataFrame]
@@ -51,9 +55,21 @@ class BatchResult:
 
 
 class _Clock:
+    """Durations of a batch's stages, and the metrics observed on their writes."""
+
     def __init__(self) -> None:
         self.started = time.monotonic()
         self.ms: dict[str, float] = {}
+        self.observed: dict[str, Observation] = {}
+
+    def watch(self, view: str, df: DataFrame, *metrics: Column) -> DataFrame:
+        """``df`` with metrics that its own write job takes along; without any, its rows are counted."""
+        self.observed[view] = Observation()
+        return df.observe(self.observed[view], *(metrics or (F.count(F.lit(1)).alias("rows"),)))
+
+    def seen(self, view: str, metric: str = "rows") -> int:
+        """An observed metric, once the write is done."""
+        return self.observed[view].get[metric] or 0
 
     def timed(self, stage: str, job: Callable[[], None]) -> None:
         start = time.monotonic()
@@ -79,11 +95,11 @@ def apply_messages(
     """Decode Kafka-shaped messages, set bad ones aside, apply the rest."""
     if views.committed(run_id) >= batch_id:
         return BatchResult(applied=False)
-    tagged = classify(messages).persist(StorageLevel.MEMORY_AND_DISK)
+    tagged, clock = classify(messages).persist(StorageLevel.MEMORY_AND_DISK), _Clock()
     try:
         letters = to_dead_letters(tagged.where("reason IS NOT NULL"), options.consumer_group)
-        views.write("dead_letters", letters, run_id, batch_id)
-        dead = views.spark.read.parquet(f"{views.root}/dead_letters/run_id={run_id}/batch_id={batch_id}").count()
+        views.write("dead_letters", clock.watch("dead_letters", letters), run_id, batch_id)
+        dead = clock.seen("dead_letters")
         if publish_dead_letters is not None and dead:
             publish_dead_letters(letters, batch_id)
         return apply_batch(views, accepted(tagged, LOG_COLUMNS), run_id, batch_id, options, dead, fault, end_offsets)
@@ -97,6 +113,8 @@ def apply_batch(
 ) -> BatchResult:
     """Claim, mark late, fold and write all views of a batch, then commit it.
 
+    Its statistics are observed on the write jobs and are one row of ``batch_stats``, committed with the batch.
+
     A batch that is already committed is skipped. A batch that failed half way left only
     invisible folders, which the repetition overwrites. ``end_offsets()`` gives the log's ends
     as (topic, partition, end_offset) for the lag in state snapshots; without it the lag is 0.
@@ -128,10 +146,10 @@ def apply_batch(
         progress = cache(processed.progress)
         deltas = view_deltas(grain)
 
-        def write(view: str, df: DataFrame, stage: str) -> Callable[[], None]:
+        def write(view: str, df: DataFrame, stage: str, *metrics: Column) -> Callable[[], None]:
             def job() -> None:
                 hit(view)
-                views.write(view, df, run_id, batch_id)
+                views.write(view, clock.watch(view, df, *metrics), run_id, batch_id)
             return lambda: clock.timed(stage, job)
 
         # the claims write fills the cache every other write reads
@@ -141,12 +159,10 @@ def apply_batch(
             write("source_metrics", deltas["source_metrics"], "source_aggregate_ms"),
             write("event_windows", deltas["event_windows"], "window_aggregate_ms"),
             write("partition_marks", partition_marks(log), "marks_ms"),
-            write("partition_progress", progress, "commit_ms"),
+            write("partition_progress", progress, "commit_ms", *(F.sum(c).alias(c) for c in TOTALS)),
         )
-        totals = progress.agg(
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("processed_total", "duplicate_total", "late_event_total")]
-        ).first()
-        result = BatchResult(totals["processed_total"], totals["duplicate_total"], totals["late_event_total"], dead_letters)
+        recorded, duplicate, late = (clock.seen("partition_progress", c) for c in TOTALS)
+        result = BatchResult(recorded, duplicate, late, dead_letters)
         _write_stats(views, run_id, batch_id, options, result, clock)
         if views.snapshot_due(options.snapshot_seconds):
             views.write("service_state", _snapshot(views, run_id, batch_id, options.instance_id, end_offsets), run_id, batch_id)
@@ -165,8 +181,9 @@ def _write_stats(views: HotViews, run_id: str, batch_id: int, options: BatchOpti
         "duplicate_count": r.duplicate, "late_count": r.late, "dead_letter_count": r.dead_letters, "flush_ms": flush,
         "per_recorded_ms": flush / r.recorded if r.recorded else None,
         **{k: v for k, v in clock.ms.items() if k != "marks_ms"},
+        **{name: clock.seen(view) for view, name in WRITTEN.items()},
     }
-    names = ", ".join(f"{k} {'string' if k == 'instance_id' else 'bigint' if k.endswith(('count', 'size')) else 'double'}" for k in row)
+    names = ", ".join(f"{k} {'string' if k == 'instance_id' else 'bigint' if k.endswith(('count', 'size', 'rows')) else 'double'}" for k in row)
     stats = views.spark.createDataFrame([tuple(row.values())], names).withColumn("flushed_at", F.current_timestamp())
     views.write("batch_stats", stats, run_id, batch_id)
 
@@ -183,13 +200,13 @@ def _snapshot(views: HotViews, run_id: str, batch_id: int, instance: str, end_of
     stats = with_current("batch_stats").where(F.col("instance_id") == instance)
     live = ~F.col("topic").startswith(REPLAY_TOPIC)
     parts = with_current("partition_progress").where(live).groupBy("topic", "partition").agg(
-        *[F.sum(c).alias(c) for c in ("processed_total", "duplicate_total", "late_event_total")],
+        *[F.sum(c).alias(c) for c in TOTALS],
         F.max("last_offset").alias("last_offset"), F.max("last_seen_at").alias("last_seen_at"))
     zero = F.lit(0).cast("bigint")
     parts = with_lag(parts, end_offsets()) if end_offsets else parts.withColumns({"lag": zero, "inflight_messages": zero})
     listed = parts.agg(
         F.sum("lag").alias("consumer_lag"), F.sum("inflight_messages").alias("inflight_messages"),
-        *[F.sum(c).alias(c) for c in ("processed_total", "duplicate_total", "late_event_total")],
+        *[F.sum(c).alias(c) for c in TOTALS],
         F.count(F.lit(1)).alias("active_partitions"),
         F.sort_array(F.collect_list(F.struct(
             "partition", F.lit(instance).alias("owner_instance_id"), "lag", "processed_total",

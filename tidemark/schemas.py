@@ -104,7 +104,8 @@ VIEWS: dict[str, T.StructType] = {
         instance_id=STRING, flushed_at=TIME, batch_size=LONG, recorded_count=LONG, duplicate_count=LONG,
         late_count=LONG, dead_letter_count=LONG, flush_ms=DOUBLE, per_recorded_ms=DOUBLE,
         dedup_claim_ms=DOUBLE, tenant_aggregate_ms=DOUBLE, source_aggregate_ms=DOUBLE,
-        window_aggregate_ms=DOUBLE, commit_ms=DOUBLE),
+        window_aggregate_ms=DOUBLE, commit_ms=DOUBLE,
+        claim_rows=LONG, tenant_rows=LONG, source_rows=LONG, window_rows=LONG),
     "partition_progress": _struct(
         topic=STRING, partition=INT, processed_total=LONG, duplicate_total=LONG,
         late_event_total=LONG, last_offset=LONG, last_seen_at=TIME),

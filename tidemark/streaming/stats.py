@@ -1,12 +1,10 @@
-"""Batch statistics from query progress."""
+"""Progress of a running query. What a batch did is in the view ``batch_stats``, one row a batch."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 PROGRESS = T.StructType([
     T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType()),
@@ -22,36 +20,5 @@ def _row(p) -> tuple:
 
 
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The retained progress reports (Spark keeps the last hundred) as rows; ``ProgressLog`` keeps all."""
+    """The retained progress reports (Spark keeps the last hundred) as rows."""
     return spark.createDataFrame([_row(p) for p in query.recentProgress], PROGRESS)
-
-
-class ProgressLog(StreamingQueryListener):
-    """Writes every progress report to a folder, ``every`` reports at a time and when a query ends.
-
-    Register it with ``spark.streams.addListener``; ``read`` gives the rows of ``progress_rows`` for
-    the whole life of the streams.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, every: int = 100):
-        self.spark, self.path, self.every = spark, path, every
-        self.held: list[tuple] = []
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        self.held.append(_row(json.loads(event.progress.json)))
-        if len(self.held) >= self.every:
-            self.flush()
-
-    def onQueryTerminated(self, event) -> None:
-        self.flush()
-
-    def flush(self) -> None:
-        rows, self.held = self.held, []
-        if rows:
-            self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(PROGRESS).parquet(self.path)

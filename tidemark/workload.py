@@ -24,7 +24,7 @@ from tidemark.operators.dedup import duplicates
 from tidemark.operators.dispositions import disposition_counts, with_lag
 from tidemark.operators.rejections import rejection_counts, to_rejections
 from tidemark.plans import queries as q
-from tidemark.plans.apply import BatchOptions, apply_batch
+from tidemark.plans.apply import WRITTEN, BatchOptions, apply_batch
 from tidemark.plans.process import process_batch
 from tidemark.plans.replay import REPLAY_TIES, as_log, hot_totals, rebuild, replay, replay_filter, replay_summary, replay_verdict
 from tidemark.plans.scope import scoped
@@ -405,6 +405,19 @@ def claims_across_batches(spark, d):
     return views.read("partition_progress").drop("topic")
 
 
+@query
+def batch_stats(spark, d):
+    """Statistics of two batches, as observed on their writes; durations differ by run, so only that they were taken."""
+    views, _ = _stored(spark)
+    log = fx.telemetry(spark, d)
+    for at, part in enumerate((log.where(fx.before_cutover()), log.where(~fx.before_cutover()))):
+        apply_batch(views, part, "run", at, _OPTIONS)
+    stages = ("flush_ms", "per_recorded_ms", "dedup_claim_ms", "tenant_aggregate_ms", "source_aggregate_ms", "window_aggregate_ms", "commit_ms")
+    return views.deltas("batch_stats").select(
+        "batch_id", "batch_size", "recorded_count", "duplicate_count", "late_count", "dead_letter_count", *WRITTEN.values(),
+        F.size(F.filter(F.array(*stages), lambda ms: ms > 0)).alias("timed_stages"))
+
+
 @query
 def partition_lag(spark, d):
     """How far a processor that stopped at the cutover is behind the log."""
