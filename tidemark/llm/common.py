@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.session import prepare, shared_dir
 
 U64 = np.uint64
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18  # some 35 MB
+KEPT_POWERS = 1 << 20
+# Arrow batches of whole texts are bounded by their bytes, not only by Spark's 10,000 rows
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -29,6 +32,7 @@ def ready(spark: SparkSession) -> SparkSession:
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    spark.conf.set(*BATCH_BYTES)
     return prepare(spark)
 
 
@@ -83,21 +87,24 @@ class Runs:
 
     def __init__(self, values: np.ndarray):
         n = len(values) + 1
-        if n > len(Runs.powers):
+        self.powers, self.inverses = Runs.powers, Runs.inverses
+        if n > len(self.powers):
             size = 1 << n.bit_length()
-            Runs.powers = np.cumprod(np.r_[U64(1), np.full(size - 1, _BASE, U64)])
-            Runs.inverses = np.cumprod(np.r_[U64(1), np.full(size - 1, pow(_BASE, -1, 1 << 64), U64)])
+            self.powers = np.cumprod(np.r_[U64(1), np.full(size - 1, _BASE, U64)])
+            self.inverses = np.cumprod(np.r_[U64(1), np.full(size - 1, pow(_BASE, -1, 1 << 64), U64)])
+            if size <= KEPT_POWERS:  # those of a longer text go with it
+                Runs.powers, Runs.inverses = self.powers, self.inverses
         self.sums = np.zeros(n, U64)
-        np.cumsum(values * Runs.powers[: n - 1], out=self.sums[1:])
+        np.cumsum(values * self.powers[: n - 1], out=self.sums[1:])
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * Runs.inverses[start])
+        return mixed((self.sums[end] - self.sums[start]) * self.inverses[start])
 
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
         if n <= 0:
             return np.empty(0, U64)
-        return mixed((self.sums[size:] - self.sums[:n]) * Runs.inverses[:n])
+        return mixed((self.sums[size:] - self.sums[:n]) * self.inverses[:n])
 
 
 def shingles(values: np.ndarray, size: int) -> np.ndarray:

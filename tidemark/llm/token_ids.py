@@ -37,7 +37,7 @@ END = 1
 BLOCK = 2048
 LEAST_BLOCK = 256
 FRAME = 1 << 21
-CACHED = 400_000
+CACHED = 150_000  # entries of either memory, some 30 MB
 _HEAD, _DOC, _BLOCK = struct.Struct("<4sIIQ"), np.dtype([("doc", "<i8"), ("has", "u1"), ("n", "<u4")]), np.dtype(
     [("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
 FILE_SCHEMA = "part int, frame int, n_ids long, data binary"
