@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import TIME_FORMAT, encode_event, event_struct
+from tidemark.functions.text import TIME_FORMAT, encode_event, event_struct, partition_key
 from tidemark.functions.timeparts import bucket_start
 from tidemark.plans.process import Processed, process_batch
+from tidemark.schemas import LOG_MESSAGE
 from tidemark.session import prepare
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
@@ -83,6 +84,14 @@ def before_cutover() -> Column:
     return F.unix_micros("log_time") < CUTOVER_US
 
 
+def log_messages(log: DataFrame) -> DataFrame:
+    """The log as messages: key, JSON value, position, arrival time, no headers."""
+    rows = log.withColumn("text", encode_event(event_struct()))
+    return rows.select(
+        partition_key().cast("binary").alias("key"), F.col("text").cast("binary").alias("value"), "topic", "partition", "offset",
+        F.col("log_time").alias("timestamp"), F.array().cast(LOG_MESSAGE["headers"].dataType).alias("headers"))
+
+
 # -- raw payloads: valid events, rule breakers and undecodable text -------------------
 
 

@@ -66,6 +66,20 @@ def shard_id(tenant: str = "tenant_id", source: str = "source_id", shards: int =
     )
 
 
+def fnv1a(data: Column | str) -> Column:
+    """FNV-1a, 32 bit, of a text's UTF-8 bytes or of binary data, as a number from 0 to 2**32 - 1."""
+    col = F.col(data) if isinstance(data, str) else data
+    characters = F.split(F.decode(col.cast("binary"), "ISO-8859-1"), "")
+
+    def step(h: Column, c: Column) -> Column:
+        return (h.bitwiseXOR(F.ascii(c).cast("bigint")) * FNV_PRIME).bitwiseAND(F.lit(FNV_MASK))
+
+    folded = F.aggregate(characters, F.lit(FNV_OFFSET).cast("bigint"), step)
+    return F.when(F.octet_length(col) == 0, F.lit(FNV_OFFSET).cast("bigint")).otherwise(folded)
+
+
 def log_partition(key: Column | str, partitions: int) -> Column:
-    """Keyed partition assignment for batch sinks."""
-    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+    """The partition to which the log's client sends a key: its hash as a signed number, modulo, without the sign."""
+    h = fnv1a(key)
+    signed = F.when(h >= 2**31, h - 2**32).otherwise(h)
+    return F.abs(signed % F.lit(partitions)).cast("int")

@@ -197,9 +197,12 @@ _WIN = """make_timestamp(w_us) AS window_start, CASE size WHEN 60 THEN '1m0s' EL
 _WIN_ALL = _WIN.format(src="''", last="max(last_us)", agg="""CAST(sum(n) AS BIGINT) AS events_count, CAST(sum(ok) AS BIGINT) AS ok_count,
   CAST(sum(warn) AS BIGINT) AS warn_count, CAST(sum(err) AS BIGINT) AS error_count, """ + _shown("sum(vs) / sum(n)") + " AS average_value")
 _WIN_ONE = _WIN.format(src="source_id", last="last_us", agg="""n AS events_count, ok AS ok_count, warn AS warn_count, err AS error_count, """ + _shown("vs / n") + " AS average_value")
-_FNV = """CAST(list_reduce(list_prepend(2166136261::BIGINT,
+_HASH = """list_reduce(list_prepend(2166136261::BIGINT,
   list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || substr(hex(b), CAST(2 * i - 1 AS BIGINT), 2))::BIGINT)),
-  lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 32 AS INTEGER)"""
+  lambda h, c: (xor(h, c) * 16777619) & 4294967295)"""
+_FNV = f"CAST({_HASH} % 32 AS INTEGER)"
+_KEYED = f"""(SELECT source_id AS sid, k, CAST(abs((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 12) AS INTEGER) AS p FROM (
+  SELECT source_id, k, {_HASH} AS h FROM (SELECT DISTINCT source_id, tenant_id || ':' || source_id AS k, encode(tenant_id || ':' || source_id) AS b FROM tele)))"""
 
 ORACLE.update({
     "dedup_claims": _with("SELECT event_id, tenant_id, part AS partition, off AS \"offset\", make_timestamp(arr_us) AS claimed_at FROM cls WHERE rn = 1", "cls"),
@@ -368,3 +371,15 @@ ORACLE["batch_stats"] = _with(f"""SELECT batch_id, count(*) AS batch_size, count
 FROM (SELECT *, CAST(arr_us >= {_CUT} AS BIGINT) AS batch_id, disposition = 'recorded' AS ok FROM cls
   JOIN (SELECT source_id AS sid, {_FNV} AS shard_id FROM (SELECT DISTINCT source_id, encode(tenant_id || chr(0) || source_id) AS b FROM tele)) ON sid = source_id)
 GROUP BY 1""", "cls")
+ORACLE["stored_overview"] = ORACLE["overview"]
+ORACLE["streamed_log"] = _with("""SELECT part AS partition, count(*) AS rows, min(off) AS first_offset, max(off) AS last_offset,
+  make_timestamp(max(arr_us)) AS last_seen_at FROM tele GROUP BY 1""", "tele")
+ORACLE["bounded_log"] = ORACLE["streamed_log"]
+ORACLE["streamed_late_events"] = ORACLE["late_events"]
+ORACLE["keyed_partitions"] = _with(f"SELECT k AS key, p AS partition FROM {_KEYED}", "tele")
+ORACLE["published_partitions"] = _with(f"""SELECT p AS partition, count(*) AS rows, 0 AS first_offset, count(*) - 1 AS last_offset, count(DISTINCT k) AS keys
+FROM tele JOIN {_KEYED} ON sid = source_id GROUP BY 1""", "tele")
+ORACLE["keyed_late_events"] = _with(f"""SELECT event_id, p AS partition, make_timestamp(ts_us) AS timestamp, make_timestamp(max_us) AS max_event_time FROM (
+  SELECT *, max(ts_us) OVER (PARTITION BY p ORDER BY arr_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS max_us,
+    row_number() OVER (PARTITION BY event_id ORDER BY arr_us) AS rn FROM tele JOIN {_KEYED} ON sid = source_id)
+WHERE rn = 1 AND max_us - 120000000 > ts_us""", "tele")

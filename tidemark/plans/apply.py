@@ -123,7 +123,7 @@ def apply_batch(
     if views.committed(run_id) >= batch_id:
         return BatchResult(applied=False)
     hit = fault or (lambda stage: None)
-    clock = _Clock()
+    clock, newest = _Clock(), []
     cached: list[DataFrame] = []
 
     def cache(df: DataFrame) -> DataFrame:
@@ -146,6 +146,10 @@ def apply_batch(
         progress = cache(processed.progress)
         deltas = view_deltas(grain)
 
+        def write_minutes() -> None:
+            hit("overview_minutes")
+            newest.append(views.write_minutes(grain, run_id, batch_id))
+
         def write(view: str, df: DataFrame, stage: str, *metrics: Column) -> Callable[[], None]:
             def job() -> None:
                 hit(view)
@@ -160,6 +164,7 @@ def apply_batch(
             write("event_windows", deltas["event_windows"], "window_aggregate_ms"),
             write("partition_marks", partition_marks(log), "marks_ms"),
             write("partition_progress", progress, "commit_ms", *(F.sum(c).alias(c) for c in TOTALS)),
+            write_minutes,
         )
         recorded, duplicate, late = (clock.seen("partition_progress", c) for c in TOTALS)
         result = BatchResult(recorded, duplicate, late, dead_letters)
@@ -168,6 +173,7 @@ def apply_batch(
             views.write("service_state", _snapshot(views, run_id, batch_id, options.instance_id, end_offsets), run_id, batch_id)
         hit("commit")
         views.commit(run_id, batch_id)
+        views.advance_overview(run_id, batch_id, newest[0])
         return result
     finally:
         for df in cached:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from tidemark.operators.admission import Principal
 from tidemark.plans import queries
 from tidemark.plans.scope import require_admin
 from tidemark.sources.evidence import read_evidence
+from tidemark.sources.overview import answer
 from tidemark.sources.views import HotViews
 
 
@@ -25,7 +28,22 @@ class Reader:
         self.views.refresh()
         return F.current_timestamp() if as_of is None else as_of
 
-    def overview(self, principal: Principal, as_of: Column | None = None) -> DataFrame:
+    def overview(self, principal: Principal, as_of: Column | dt.datetime | None = None) -> DataFrame:
+        """The dashboard's row from the roll-up: two minutes and one current table.
+
+        Events dated after the minute of ``as_of`` are not of its last minute.
+        """
+        if isinstance(as_of, Column):
+            as_of = self.views.spark.range(1).select(F.unix_micros(as_of)).first()[0]
+        elif as_of is None:
+            as_of = time.time_ns() // 1000
+        else:
+            as_of = round(as_of.timestamp() * 1_000_000)
+        rows = self.views.overview_rows(as_of)
+        return self.overview_from_views(principal, F.timestamp_micros(F.lit(as_of))) if rows is None else answer(rows, principal, as_of)
+
+    def overview_from_views(self, principal: Principal, as_of: Column | None = None) -> DataFrame:
+        """The same row from the views themselves, for stores without a roll-up."""
         now, v = self._now(as_of), self.views
         return queries.overview(
             v.deltas("tenant_metric_shards"), v.deltas("tenant_metrics"), v.deltas("source_metrics"),

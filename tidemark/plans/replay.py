@@ -125,7 +125,9 @@ def rebuild(
             block = OFFSETS_PER_BLOCK if placed else REPLAY_BLOCK_US
         options = BatchOptions(
             lateness_seconds=lateness_seconds, block=block, ties=REPLAY_TIES, instance_id=run_id, snapshot_seconds=None)
-        return apply_batch(views.as_if_reset(tenants), log, run_id, 0, options, fault=fault)
+        result = apply_batch(views.as_if_reset(tenants), log, run_id, 0, options, fault=fault)
+        views.forget_minutes(tenants, but_run=run_id)
+        return result
     finally:
         log.unpersist()
         views.refresh()

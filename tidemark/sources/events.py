@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import encode_event, event_struct, partition_key
 from tidemark.schemas import LOG_MESSAGE
+from tidemark.sources.log import EVENT_LOG, publish, register
 
 _KAFKA = {"startingOffsets": "latest", "includeHeaders": "true", "failOnDataLoss": "true"}
 
@@ -23,8 +24,12 @@ def _shaped(raw: DataFrame) -> DataFrame:
 def read_events_stream(spark: SparkSession, fmt: str, options: Mapping[str, str], path: str | None = None) -> DataFrame:
     """Unbounded log. ``kafka`` starts at the latest offset; file formats carry the same columns.
 
-    Bound a micro-batch with ``maxOffsetsPerTrigger`` (Kafka) or ``maxFilesPerTrigger``.
+    Stored segments (``event_log``) start at the latest offset too. Bound a micro-batch with ``maxOffsetsPerTrigger``
+    (Kafka), ``maxRowsPerTrigger`` (segments) or ``maxFilesPerTrigger``.
     """
+    if fmt == EVENT_LOG:
+        register(spark)
+        return _shaped(spark.readStream.format(fmt).options(**options).load(path))
     reader = spark.readStream.format(fmt)
     if fmt == "kafka":
         return _shaped(reader.options(**{**_KAFKA, **options}).load())
@@ -33,6 +38,9 @@ def read_events_stream(spark: SparkSession, fmt: str, options: Mapping[str, str]
 
 def read_events_batch(spark: SparkSession, fmt: str, options: Mapping[str, str] = {}, path: str | None = None) -> DataFrame:
     """Bounded read of the same log."""
+    if fmt == EVENT_LOG:
+        register(spark)
+        return _shaped(spark.read.format(fmt).options(**options).load(path))
     if fmt == "kafka":
         bounded = {**_KAFKA, "startingOffsets": "earliest", "endingOffsets": "latest", **options}
         return _shaped(spark.read.format(fmt).options(**bounded).load())
@@ -51,7 +59,9 @@ def to_log_rows(events: DataFrame, event: Column | None = None) -> DataFrame:
 
 
 def write_log(rows: DataFrame, fmt: str, options: Mapping[str, str] = {}, path: str | None = None) -> None:
-    """Publish messages; Kafka partitions by key on its own."""
+    """Publish messages; Kafka partitions by key on its own, segments by the same hash over ``partitions``."""
+    if fmt == EVENT_LOG:
+        return publish(rows, path, int(options.get("partitions", 12)))
     if fmt == "kafka":
         # Kafka has no timestamp column on write; the event time stays inside the value
         rows.select("key", "value", *[c for c in ("headers",) if c in rows.columns]).write.format("kafka").options(

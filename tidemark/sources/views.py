@@ -15,13 +15,14 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.aggregates import rollup
 from tidemark.operators.state import latest_state
 from tidemark.schemas import VIEWS
+from tidemark.sources import overview
 
 CLAIM_BUCKETS = 256
 BUCKETED = "processed_events_by_bucket"
@@ -190,6 +191,74 @@ class HotViews:
         hits = [p.select("event_id", "bucket").join(wanted, ["bucket", "event_id"], "left_semi").select("event_id") for p in parts]
         return hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
 
+    # -- the dashboard's roll-up -------------------------------------------------
+    def write_minutes(self, grain: DataFrame, run_id: str, batch_id: int) -> int | None:
+        """(Re)write what a batch adds to its newest minutes, and give the last; partitions of other batches stay as they are."""
+        seen = Observation()
+        rows = overview.minute_rows(grain).withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
+        self._overwrite_minutes(rows.observe(seen, F.max("minute").alias("newest")))
+        return seen.get["newest"]
+
+    def _overwrite_minutes(self, rows: DataFrame) -> None:
+        rows.hint("rebalance", "minute").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "minute", "run_id", "batch_id").parquet(f"{self.root}/{overview.MINUTES}")
+
+    def advance_overview(self, run_id: str | None = None, batch_id: int = 0, newest: int | None = None) -> None:
+        """Write the current table of the last commit: the one before and the batch, or else all views.
+
+        ``newest`` is the last minute that the batch wrote.
+        """
+        last, base, tables = self._commits()[3] - 1, f"{self.root}/{overview.CURRENT}", self._overview_tables()
+        newest = max([minute for _, minute in tables] + [newest or 0])
+        makers = {"source_metrics": overview.total_rows, "rejection_events": overview.rejection_rows, "service_state": overview.state_rows}
+        before = [f"{base}/at={at:012d}.{minute}" for at, minute in tables if at == last - 1]
+        if run_id is not None and before:
+            rows = self.spark.read.schema(overview.ROW).parquet(before[-1])
+            for view, made in makers.items():
+                path = f"{self.root}/{view}/run_id={run_id}/batch_id={batch_id}"
+                if self._exists(path):
+                    rows = rows.unionByName(made(self.spark.read.schema(VIEWS[view]).parquet(path)))
+        else:
+            parts = [made(self.read(view)) for view, made in makers.items()]
+            rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        overview.folded(rows).coalesce(1).write.mode("overwrite").parquet(f"{base}/at={last:012d}.{newest}")
+        for at, minute in tables:
+            if at < last - 2:  # a reader may still be at the ones before
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/at={at:012d}.{minute}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _overview_tables(self) -> list[tuple[int, int]]:
+        """Commit and newest minute of the finished current tables, a few at any time."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{overview.CURRENT}/at=*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        names = [f.getPath().getParent().getName().removeprefix("at=").split(".") for f in found]
+        return sorted((int(at), int(minute)) for at, minute in names)
+
+    def overview_rows(self, now_us: int) -> DataFrame | None:
+        """Roll-up rows for an overview at this time: two minutes and the newest current table.
+
+        None before the first, and for a time whose minutes the roll-up does not keep.
+        """
+        tables, minute = self._overview_tables(), now_us // overview.MINUTE_US
+        if not tables or minute - 1 <= tables[-1][1] - overview.KEPT_MINUTES:
+            return None
+        minutes = {(now_us - overview.MINUTE_US) // overview.MINUTE_US, minute}
+        paths = [p for m in sorted(minutes) if self._exists(p := f"{self.root}/{overview.MINUTES}/minute={m}")]
+        paths.append(f"{self.root}/{overview.CURRENT}/at={tables[-1][0]:012d}.{tables[-1][1]}")
+        return self.spark.read.schema(overview.ROW).option("recursiveFileLookup", "true").parquet(*paths)
+
+    def forget_minutes(self, tenant_ids: Sequence[str], but_run: str = "") -> None:
+        """Take the tenants out of the minutes that hold them, but for one run's; a partition left empty keeps a row of nothing."""
+        if not self._exists(f"{self.root}/{overview.MINUTES}"):
+            return
+        part = [T.StructField("minute", T.LongType()), T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())]
+        rows = self.spark.read.schema(T.StructType([*overview.ROW.fields, *part])).parquet(f"{self.root}/{overview.MINUTES}")
+        keys = ["minute", "run_id", "batch_id"]
+        theirs = F.col("tenant_id").isin(list(tenant_ids)) & (F.col("run_id") != but_run)
+        held = rows.where(theirs).select(*keys).distinct()
+        nothing = held.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in overview.ROW.fields], *keys)
+        self._overwrite_minutes(rows.where(~theirs | F.col("tenant_id").isNull()).join(held, keys, "left_semi").unionByName(nothing))
+
     # -- maintenance -----------------------------------------------------------
     def compact(self, keep: Callable[[str], Column] | None = None) -> str:
         """Fold all committed deltas into one snapshot; ``keep(view)`` filters rows on the way.
@@ -199,6 +268,7 @@ class HotViews:
         """
         run, folded = self._fold(keep)
         self.commit(run, 0, folded)
+        self.advance_overview()
         return run
 
     def _fold(self, keep: Callable[[str], Column] | None) -> tuple[str, dict[str, int]]:
@@ -216,6 +286,7 @@ class HotViews:
 
     def reset_tenants(self, tenant_ids: Sequence[str]) -> str:
         """Forget the tenants' hot rows, claims, shards and windows."""
+        self.forget_minutes(tenant_ids)
         return self.compact(self._without(tenant_ids))
 
     def as_if_reset(self, tenant_ids: Sequence[str]) -> HotViews:

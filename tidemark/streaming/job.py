@@ -99,6 +99,7 @@ def ingest_requests(
         ordered = events.repartition("tenant_id", "source_id").sortWithinPartitions(key, "pos")
         write_log(to_log_rows(ordered), log_format, log_options, log_path)
         views.commit(run_id, batch_id)
+        views.advance_overview(run_id, batch_id)
     finally:
         kept.unpersist()
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
-from tidemark.functions.measures import displayed, per_second, shard_id
-from tidemark.functions.text import display_number, display_percent, event_struct, path_segment
+from tidemark.functions.measures import displayed, log_partition, per_second, shard_id
+from tidemark.functions.text import display_number, display_percent, event_struct, partition_key, path_segment
 from tidemark.functions.timeparts import bucket_start, seconds_between
 from tidemark.operators import aggregates as agg
 from tidemark.operators import alerts, counters, evidence, quantiles, runs, state
@@ -19,19 +19,24 @@ from tidemark.operators.admission import (
 )
 from tidemark.operators.contracts import contract_violations, dead_letter_violations
 from tidemark.operators.deadletters import dead_letter_log, to_dead_letters
-from tidemark.operators.decode import classify
-from tidemark.operators.dedup import duplicates
+from tidemark.operators.decode import accepted, classify
+from tidemark.operators.dedup import duplicates, first_arrivals
 from tidemark.operators.dispositions import disposition_counts, with_lag
+from tidemark.operators.lateness import mark_late, partition_marks
 from tidemark.operators.rejections import rejection_counts, to_rejections
 from tidemark.plans import queries as q
-from tidemark.plans.apply import WRITTEN, BatchOptions, apply_batch
+from tidemark.plans.apply import LOG_COLUMNS, WRITTEN, BatchOptions, apply_batch
 from tidemark.plans.process import process_batch
+from tidemark.plans.reader import Reader
 from tidemark.plans.replay import REPLAY_TIES, as_log, hot_totals, rebuild, replay, replay_filter, replay_summary, replay_verdict
 from tidemark.plans.scope import scoped
 from tidemark.session import shared_dir
 from tidemark.sources.archive import archive_rows, log_position, read_archive, write_archive
-from tidemark.sources.events import to_log_rows
+from tidemark.sources.events import read_events_batch, read_events_stream, to_log_rows, write_log
+from tidemark.sources.log import EVENT_LOG
+from tidemark.sources.log import append as append_segments
 from tidemark.sources.views import HotViews
+from tidemark.streaming.native import stateful_lateness
 
 TENANT, SOURCE = "tenant_03", "sensor_000013"
 ADMINISTRATOR, TENANT_PRINCIPAL = Principal(ADMIN), Principal(TENANT_USER, TENANT)
@@ -203,7 +208,24 @@ def overview(spark, d):
     legacy, shards = _legacy_and_shards(spark, d)
     sources = agg.source_metrics(fx.processed(spark, d).grain)
     states = fx.processor_rows(spark, d).unionByName(fx.ingest_rows(spark, d))
-    row = q.overview(shards, legacy, sources, _rejections(spark, d), states, _last_update(states))
+    return _dashboard(q.overview(shards, legacy, sources, _rejections(spark, d), states, _last_update(states)))
+
+
+@query
+def stored_overview(spark, d):
+    """The dashboard's row read from the roll-up that two batches and an ingest run left."""
+    views, _ = _stored(spark)
+    log, states = fx.telemetry(spark, d), fx.processor_rows(spark, d).unionByName(fx.ingest_rows(spark, d))
+    apply_batch(views, log.where(fx.before_cutover()), "run", 0, _OPTIONS)
+    views.write("rejection_events", _rejections(spark, d), "ingest", 0)
+    views.write("service_state", states, "ingest", 0)
+    views.commit("ingest", 0)
+    views.advance_overview("ingest", 0)
+    apply_batch(views, log.where(~fx.before_cutover()), "run", 1, _OPTIONS)
+    return _dashboard(Reader(views).overview(ADMINISTRATOR, _last_update(states)))
+
+
+def _dashboard(row: DataFrame) -> DataFrame:
     return row.select(
         "generated_at", "events_per_second_last_minute", "error_rate_last_minute", "processed_total",
         "stored_processed_total", "accepted_total", "rejected_total", "processor_processed_total", "duplicate_total",
@@ -470,6 +492,83 @@ def archive_scan(spark, d):
         "event.event_id", "event.source_id", "event.timestamp", "archived_at")
 
 
+# -- streams over stored segments ---------------------------------------------------------
+
+
+def _segments(spark: SparkSession, d: str, log: DataFrame) -> tuple[DataFrame, str]:
+    """The log stored as segments, and a stream that reads it from its start in three or more micro-batches."""
+    root = shared_dir(spark, "tidemark-queries", uuid.uuid4().hex)
+    append_segments(fx.log_messages(log), f"{root}/log")
+    options = {"startingOffsets": "earliest", "maxRowsPerTrigger": str(log.count() // 3 + 1), "group": "query"}
+    return read_events_stream(spark, EVENT_LOG, options, f"{root}/log"), root
+
+
+def _drained(stream: DataFrame, root: str) -> DataFrame:
+    """What an append stream wrote by the time that its source has nothing more."""
+    running = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(
+        processingTime="0 seconds").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query
+def streamed_log(spark, d):
+    """Rows and offsets of each log partition, read from segments by a stream with a row limit."""
+    stream, root = _segments(spark, d, fx.telemetry(spark, d))
+    read = _drained(stream.select("partition", "offset", "log_time"), root)
+    return read.groupBy("partition").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.max("log_time").alias("last_seen_at"))
+
+
+@query
+def bounded_log(spark, d):
+    """The same log in a batch read."""
+    _, root = _segments(spark, d, fx.telemetry(spark, d))
+    read = read_events_batch(spark, EVENT_LOG, path=f"{root}/log")
+    return read.groupBy("partition").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.max("log_time").alias("last_seen_at"))
+
+
+@query
+def streamed_late_events(spark, d):
+    """Lateness as keyed state of a stream that goes on from the marks of the hours before."""
+    log = fx.telemetry(spark, d)
+    done, rest = log.where(fx.before_cutover()), log.where(~fx.before_cutover())
+    stream, root = _segments(spark, d, rest)
+    judged = stateful_lateness(accepted(classify(stream), LOG_COLUMNS), marks=partition_marks(done), block=fx.OFFSET_BLOCK)
+    before = mark_late(done, block=fx.OFFSET_BLOCK).select(*judged.columns)
+    late = first_arrivals(before.unionByName(_drained(judged, root))).where("late")
+    return late.select("event_id", "tenant_id", "source_id", "timestamp", "max_event_time")
+
+
+@query
+def keyed_partitions(spark, d):
+    """The log partition of every key."""
+    keys = fx.telemetry(spark, d).select(partition_key().alias("key")).distinct()
+    return keys.select("key", log_partition("key", fx.LOG_PARTITIONS).alias("partition"))
+
+
+@query
+def published_partitions(spark, d):
+    """Messages published as segments: each partition is one task, which numbers its rows."""
+    root = shared_dir(spark, "tidemark-queries", uuid.uuid4().hex)
+    write_log(to_log_rows(fx.telemetry(spark, d)), EVENT_LOG, {"partitions": str(fx.LOG_PARTITIONS)}, root)
+    return read_events_batch(spark, EVENT_LOG, path=root).groupBy("partition").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
+        F.count_distinct("key").alias("keys"))
+
+
+@query
+def keyed_late_events(spark, d):
+    """Lateness of archived events that go to the partitions of their keys, as a rebuild without a partition column sends them."""
+    log = as_log(replay_filter(_archive(spark, d)), fx.LOG_PARTITIONS)
+    late = process_batch(log, block=600_000_000, ties=REPLAY_TIES).late
+    return late.select("event_id", "partition", "timestamp", "max_event_time")
+
+
 # -- service state -----------------------------------------------------------------------
 
 
