@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.scans import last_at_or_before
 from tidemark.schemas import GATE, METRIC
 
 # Gates: name, target, observed column, unit, pass test (fixed values)
@@ -184,6 +187,19 @@ def _verdicts(r: Column) -> dict[str, tuple[Column, Column]]:
     }
 
 
+def dead_letter_delta(drills: DataFrame, snapshots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``drills(started_at, finished_at, ...)`` with the dead letters that came in between.
+
+    ``snapshots(sample_ts, value)`` hold running totals; counted is the difference of the newest ones at or before each
+    marker, and a total is 0 before its first snapshot.
+    """
+    before = last_at_or_before(drills, "started_at", snapshots, keys, "sample_ts", "value", "__before")
+    after = last_at_or_before(before, "finished_at", snapshots, keys, "sample_ts", "value", "__after")
+    zero = F.lit(0)
+    delta = (F.coalesce("__after", zero) - F.coalesce("__before", zero)).cast("bigint")
+    return after.withColumn("dead_letter_delta", delta).drop("__before", "__after")
+
+
 def drill_summary(files: DataFrame) -> DataFrame:
     """One row per scenario, in fixed order (``position``): verified, degraded or missing."""
     spark = files.sparkSession

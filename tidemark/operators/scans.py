@@ -96,3 +96,26 @@ def trailing_sum(
         .where(F.col(_BLOCK) == F.col("__home"))
         .drop(_BLOCK, "__at", "__home")
     )
+
+
+def last_at_or_before(
+    markers: DataFrame, at: str, samples: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, block_seconds: int = 3600,
+) -> DataFrame:
+    """As-of join: every marker with the newest sample of its key at or before it, null if there is none.
+
+    Markers and samples are one scan: time is cut into blocks, each folded to its newest sample, and a window over those
+    few rows carries it on; inside a block the newest sample so far is taken. No key is in one task.
+    """
+    keys, block = list(keys), block_seconds * 1_000_000
+    kind = samples.schema[value].dataType
+    left = markers.withColumns({"__at": F.unix_micros(at), "__value": F.lit(None).cast(kind), "__marker": F.lit(1)})
+    right = samples.select(*keys, F.unix_micros(ts).alias("__at"), F.col(value).alias("__value"), F.lit(0).alias("__marker"))
+    both = _with_block(left.unionByName(right, allowMissingColumns=True), F.col("__at"), block)
+    newest = both.groupBy(*keys, _BLOCK).agg(F.max_by("__value", F.when(F.col("__marker") == 0, F.col("__at"))).alias("__newest"))
+    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = newest.select(*keys, _BLOCK, F.last("__newest", ignorenulls=True).over(earlier).alias(_CARRIED))
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy("__at", "__marker").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        both.withColumn("__inside", F.last("__value", ignorenulls=True).over(inside)).join(carried, [*keys, _BLOCK])
+        .where("__marker = 1").select(*markers.columns, F.coalesce("__inside", _CARRIED).alias(out))
+    )

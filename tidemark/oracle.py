@@ -7,7 +7,7 @@ blocks, shards of work or partial merges.
 from __future__ import annotations
 
 from tidemark.operators import evidence
-from tidemark.workload import SOURCE, TENANT, _DRILLS
+from tidemark.workload import REPORT_SPOILS, SOURCE, TENANT, _DRILLS
 
 ORACLE: dict[str, str] = {}
 
@@ -383,3 +383,32 @@ ORACLE["keyed_late_events"] = _with(f"""SELECT event_id, p AS partition, make_ti
   SELECT *, max(ts_us) OVER (PARTITION BY p ORDER BY arr_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS max_us,
     row_number() OVER (PARTITION BY event_id ORDER BY arr_us) AS rn FROM tele JOIN {_KEYED} ON sid = source_id)
 WHERE rn = 1 AND max_us - 120000000 > ts_us""", "tele")
+_HOURS = f"(SELECT DISTINCT arr_us // 3600000000 AS h, 'run-' || strftime(make_timestamp(arr_us), '%H') AS run_id FROM tele)"
+_LETTERS = "(SELECT part % 3 AS i, arr_us // 60000000 * 60000000 AS m_us FROM judged WHERE reason IS NOT NULL)"
+ORACLE["dead_letter_deltas"] = _with(f"""SELECT run_id, 'proc-' || i AS instance_id,
+  count(*) FILTER (m_us > h * 3600000000 AND m_us <= (h + 1) * 3600000000) AS dead_letter_delta FROM {_HOURS}, {_LETTERS} GROUP BY 1, 2, h""", "judged")
+ORACLE["poison_drill"] = _with(f"""SELECT 'poison-message' AS scenario_id, CASE WHEN n > 0 THEN 'verified' ELSE 'degraded' END AS status,
+  run_id || '.json' AS artifact, 'Dead-letter delta ' || n || '.' AS result FROM (
+  SELECT run_id, h, coalesce(arg_max(total, m_us) FILTER (m_us <= (h + 1) * 3600000000), 0) - coalesce(arg_max(total, m_us) FILTER (m_us <= h * 3600000000), 0) AS n FROM {_HOURS}, (
+    SELECT m_us, max(total) AS total FROM (SELECT i, m_us, sum(count(*)) OVER (PARTITION BY i ORDER BY m_us) AS total FROM {_LETTERS} GROUP BY 1, 2) GROUP BY 1)
+  GROUP BY 1, 2) ORDER BY h DESC LIMIT 1""", "judged")
+ORACLE["deduped_within"] = _with(f"""SELECT event_id, count(DISTINCT ts_us >= {_E} AND ts_us < {_E} + 7200000000)
+  + CASE WHEN any_value(ts_us) < {_E} + 7200000000 THEN 1 ELSE 0 END AS passed FROM tele GROUP BY 1""", "tele")
+ORACLE["closed_windows"] = _with(f"""SELECT 300 AS window_size_seconds, make_timestamp(w_us) AS window_start, tenant_id, source_id, count(*) AS events_count,
+  count(*) FILTER (status = 'ok') AS ok_count, count(*) FILTER (status = 'warn') AS warn_count, count(*) FILTER (status = 'error') AS error_count,
+  {_shown("sum(value)")} AS value_sum, make_timestamp(max(ts_us)) AS max_event_at
+FROM (SELECT *, ts_us - ts_us % 300000000 AS w_us FROM tele) WHERE w_us + 300000000 <= (SELECT max(ts_us) FROM tele) - 120000000
+  AND (arr_us < {_CUT} OR w_us + 300000000 > (SELECT max(ts_us) FROM tele WHERE arr_us < {_CUT}) - 120000000) GROUP BY 2, 3, 4""", "tele")
+ORACLE["processor_stream"] = _with("""SELECT tenant_id, source_id, events_count FROM src
+UNION ALL SELECT 'dead letters', 'decode_failed', count(*) FROM tele WHERE n % 100 = 0 AND n % 13 <> 0""", "src")
+ORACLE["rebuild_outcome"] = _with("SELECT count(*) > 0 AS rebuild_restored FROM rec", "rec")
+ORACLE["stored_report"] = f"""SELECT schema_version, status, artifact_root, artifact, gap_count, 5 AS drill_count, drill_states FROM ({ORACLE["evidence_summary"]})
+UNION ALL SELECT 1, 'missing', '', NULL, 0, 0, ''"""
+ORACLE["stored_samples"] = ORACLE["run_rates"]
+_SPOILED = ", ".join(f"({i}, {repr(v) if v else 'NULL'})" for i, (_, _, found) in enumerate(REPORT_SPOILS) for v in (found or (None,)))
+ORACLE["report_violations"] = f"SELECT spoil, violation FROM (VALUES {_SPOILED}) AS t(spoil, violation) WHERE (SELECT count(*) FROM events) > 0"
+ORACLE["body_limits"] = _with("""SELECT kind || '-' || g AS request_id, CASE WHEN kind = 'sized' AND g % 2 = 1 THEN 0 ELSE count(*) END AS events,
+  CASE WHEN count(*) > 500 THEN 'validation_failed' WHEN kind = 'sized' AND g % 2 = 1 THEN 'decode_failed' END AS reason,
+  CASE WHEN count(*) > 500 OR (kind = 'sized' AND g % 2 = 1) THEN -1 END AS pos
+FROM (SELECT n // 1002 AS g, CASE WHEN n % 1002 < 500 THEN 'full' WHEN n % 1002 < 1001 THEN 'over' ELSE 'sized' END AS kind FROM tele WHERE copy_no = 0)
+GROUP BY kind, g UNION ALL SELECT DISTINCT 'none-' || n // 1002, 0, 'validation_failed', -1 FROM tele""", "tele")

@@ -5,22 +5,24 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.functions.measures import displayed, log_partition, per_second, shard_id
-from tidemark.functions.text import display_number, display_percent, event_struct, partition_key, path_segment
+from tidemark.functions.text import display_number, display_percent, encode_event, event_struct, partition_key, path_segment
 from tidemark.functions.timeparts import bucket_start, seconds_between
 from tidemark.operators import aggregates as agg
 from tidemark.operators import alerts, counters, evidence, quantiles, runs, state
 from tidemark.operators.admission import (
-    ADMIN, TENANT_USER, Principal, admit_batches, admit_single, admitted_events, authorize_ingest,
+    ADMIN, BATCH_BODY_BYTES, TENANT_USER, Principal, admit_batches, admit_single, admitted_events, authorize_ingest,
 )
-from tidemark.operators.contracts import contract_violations, dead_letter_violations
+from tidemark.operators.contracts import BENCHMARK_NUMBERS, BENCHMARK_TEXT, REPORT_TEXT, contract_violations, dead_letter_violations
+from tidemark.operators.contracts import report_violations as report_contract
 from tidemark.operators.deadletters import dead_letter_log, to_dead_letters
 from tidemark.operators.decode import accepted, classify
-from tidemark.operators.dedup import duplicates, first_arrivals
+from tidemark.operators.dedup import dedup_within, duplicates, first_arrivals
 from tidemark.operators.dispositions import disposition_counts, with_lag
 from tidemark.operators.lateness import mark_late, partition_marks
 from tidemark.operators.rejections import rejection_counts, to_rejections
@@ -28,15 +30,19 @@ from tidemark.plans import queries as q
 from tidemark.plans.apply import LOG_COLUMNS, WRITTEN, BatchOptions, apply_batch
 from tidemark.plans.process import process_batch
 from tidemark.plans.reader import Reader
-from tidemark.plans.replay import REPLAY_TIES, as_log, hot_totals, rebuild, replay, replay_filter, replay_summary, replay_verdict
+from tidemark.plans.replay import (
+    REPLAY_TIES, as_log, hot_totals, rebuild, rebuild_verdict, replay, replay_filter, replay_summary, replay_verdict,
+)
 from tidemark.plans.scope import scoped
 from tidemark.session import shared_dir
 from tidemark.sources.archive import archive_rows, log_position, read_archive, write_archive
 from tidemark.sources.events import read_events_batch, read_events_stream, to_log_rows, write_log
+from tidemark.sources.evidence import read_evidence, read_samples, write_report
 from tidemark.sources.log import EVENT_LOG
 from tidemark.sources.log import append as append_segments
 from tidemark.sources.views import HotViews
-from tidemark.streaming.native import stateful_lateness
+from tidemark.streaming.job import start_processor
+from tidemark.streaming.native import native_windows, stateful_lateness
 
 TENANT, SOURCE = "tenant_03", "sensor_000013"
 ADMINISTRATOR, TENANT_PRINCIPAL = Principal(ADMIN), Principal(TENANT_USER, TENANT)
@@ -796,3 +802,208 @@ def evidence_summary(spark, d):
         F.size(F.filter("benchmark.gates", lambda g: g["status"] == "pass")).alias("gates_passed"),
         F.array_join(F.transform("failure_drills", lambda x: x["status"]), ",").alias("drill_states"),
     )
+
+
+# -- jobs whose rows come from running them -------------------------------------------------
+
+
+def _dead_letter_totals(spark, d) -> DataFrame:
+    """Snapshots of the dead-letter log: a running total per minute and instance."""
+    failed = classify(fx.raw_messages(spark, d)).where("reason IS NOT NULL").withColumn("instance_id", fx.instance_id())
+    per_minute = failed.groupBy("instance_id", bucket_start("log_time", 60).alias("sample_ts")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("instance_id").orderBy("sample_ts")
+    return per_minute.select("instance_id", "sample_ts", F.sum("n").over(order).alias("value"))
+
+
+def _hours(spark, d) -> DataFrame:
+    """Each run with the hour that it takes."""
+    runs_ = fx.run_samples(spark, d).groupBy("run_id").agg(F.min(bucket_start("sample_ts", 3600)).alias("started_at"))
+    return runs_.withColumn("finished_at", F.col("started_at") + F.expr("INTERVAL 1 HOUR"))
+
+
+@query
+def dead_letter_deltas(spark, d):
+    """Dead letters of each instance between the start and the end of each run, from snapshots."""
+    instances = fx.telemetry(spark, d).select(fx.instance_id().alias("instance_id")).distinct()
+    each = _hours(spark, d).withColumn("instance_id", F.explode(instances.agg(F.sort_array(F.collect_list("instance_id"))).scalar()))
+    return evidence.dead_letter_delta(each, _dead_letter_totals(spark, d), ["instance_id"]).select("run_id", "instance_id", "dead_letter_delta")
+
+
+@query
+def poison_drill(spark, d):
+    """The poison drill's verdict on every run, each the only report."""
+    totals = _dead_letter_totals(spark, d).groupBy("sample_ts").agg(F.max("value").alias("value"))
+    found = evidence.dead_letter_delta(_hours(spark, d), totals)
+    last = found.agg(F.max_by("run_id", "finished_at")).scalar()
+    report = found.where(F.col("run_id") == last).select(
+        F.lit("inject-poison-message").alias("kind"), F.concat("run_id", F.lit(".json")).alias("artifact"), F.col("finished_at").alias("modified_at"),
+        F.to_json(F.struct(F.col("dead_letter_delta").cast("double"))).alias("payload"))
+    return evidence.drill_summary(report).where("scenario_id = 'poison-message'").select("scenario_id", "status", "artifact", "result")
+
+
+def _in_steps(spark: SparkSession, steps: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an append stream over stored segments writes when each step arrives after the one before is done."""
+    root = shared_dir(spark, "tidemark-queries", uuid.uuid4().hex)
+    append_segments(fx.log_messages(steps[0]), f"{root}/log")
+    messages = read_events_stream(spark, EVENT_LOG, {"startingOffsets": "earliest"}, f"{root}/log")
+    out = build(accepted(classify(messages), LOG_COLUMNS))
+    running = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(
+        processingTime="0 seconds").start()
+    try:
+        running.processAllAvailable()
+        for step in steps[1:]:
+            append_segments(fx.log_messages(step), f"{root}/log")
+            running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def _again(rows: DataFrame, minutes: int) -> DataFrame:
+    """Copies whose offsets follow all others, with event times so many minutes later."""
+    return rows.where("copy_no = 0").withColumns({
+        "offset": F.col("offset") + F.lit(6 << 59), "timestamp": F.col("timestamp") + F.make_dt_interval(mins=F.lit(minutes))})
+
+
+def _event_hours(first: int, last: int) -> Column:
+    at = F.unix_micros("timestamp") - fx.EPOCH_US
+    return (at >= first * 3_600_000_000) & (at < last * 3_600_000_000)
+
+
+@query
+def deduped_within(spark, d):
+    """Ids remembered for an hour: copies of the last hour go, copies of hours before come through again."""
+    log = fx.telemetry(spark, d)
+    inside, outside = log.where(_event_hours(11, 13)), log.where(_event_hours(0, 2))
+    late = _again(inside, 0).unionByName(_again(outside, 690))
+    kept = _in_steps(spark, [log.where(fx.before_cutover()), log.where(~fx.before_cutover()), late],
+                     lambda events: dedup_within(events, "1 hour").select("event_id"))
+    return kept.groupBy("event_id").agg(F.count(F.lit(1)).alias("passed"))
+
+
+@query
+def closed_windows(spark, d):
+    """Windows that one watermark has closed: what comes for them afterwards is dropped."""
+    log = fx.telemetry(spark, d)
+    steps = [log.where(fx.before_cutover()), log.where(~fx.before_cutover()), _again(log.where(_event_hours(1, 2)), 0)]
+    return _shown(_in_steps(spark, steps, lambda events: native_windows(events, 300)))
+
+
+@query
+def processor_stream(spark, d):
+    """The processor over segments with poison messages, stopped by a failure in its second batch and started again."""
+    log = fx.telemetry(spark, d)
+    poison = fx.log_messages(log.where("n % 100 = 0 and n % 13 != 0")).withColumns(
+        {"offset": F.col("offset") + 1, "value": F.lit('{"schema_version":1').cast("binary")})
+    messages, views = fx.log_messages(log).unionByName(poison), _stored(spark)[0]
+    append_segments(messages, f"{views.root}-log")
+    options = {"startingOffsets": "earliest", "maxRowsPerTrigger": str(messages.count() // 3 + 1), "group": "processor"}
+    commits = []
+
+    def fault(stage: str) -> None:
+        if stage == "commit":
+            commits.append(stage)
+            if len(commits) == 2:
+                raise RuntimeError("stopped before the second commit")
+
+    stream = read_events_stream(spark, EVENT_LOG, options, f"{views.root}-log")
+    for _ in range(2):
+        running = start_processor(stream, views, f"{views.root}-checkpoint", options=_OPTIONS, interval="0 seconds", fault=fault)
+        try:
+            running.processAllAvailable()
+        except StreamingQueryException:
+            pass  # the failure above; the next start repeats the batch
+        finally:
+            running.stop()
+    views.refresh()
+    sources = views.read("source_metrics").select("tenant_id", "source_id", "events_count")
+    letters = views.read("dead_letters").groupBy(F.lit("dead letters").alias("tenant_id"), F.col("reason").alias("source_id")).agg(
+        F.count(F.lit(1)).alias("events_count"))
+    return sources.unionByName(letters)
+
+
+@query
+def rebuild_outcome(spark, d):
+    """Nothing is left after the reset, everything is there after the rebuild."""
+    views, root = _stored(spark)
+    apply_batch(views, _archived(spark, d, root), "stream", 0, _OPTIONS)
+    tenants = [f"tenant_{i:02d}" for i in range(10)]
+    before = hot_totals(views).first()["source_events"]
+    views.reset_tenants(tenants)
+    after_reset = spark.createDataFrame(hot_totals(views).collect(), "processed_events long, source_events long")
+    rebuild(views, root, "2024-01-01", "2024-01-02", tenants, "rebuild", fx.LOG_PARTITIONS, block=fx.OFFSET_BLOCK)
+    again = hot_totals(views).select(F.col("source_events").alias("processed_events"), "source_events")
+    return rebuild_verdict(after_reset, again, before)
+
+
+# -- stored reports and samples ------------------------------------------------------------
+
+
+def _report(spark, d) -> DataFrame:
+    files = _drill_files(spark, d)
+    return evidence.evidence_summary(files, "artifacts", files.agg(F.max("modified_at")).scalar())
+
+
+def _report_row(row: DataFrame) -> DataFrame:
+    return row.select(
+        "schema_version", "status", "artifact_root", "benchmark.artifact", F.size("benchmark.gaps").alias("gap_count"),
+        F.size("failure_drills").alias("drill_count"), F.array_join(F.transform("failure_drills", lambda x: x["status"]), ",").alias("drill_states"))
+
+
+@query
+def stored_report(spark, d):
+    """A written report read back, and what a report that is not there reads as: lists are empty, never null."""
+    root = shared_dir(spark, "tidemark-queries", uuid.uuid4().hex)
+    write_report(_report(spark, d), f"{root}/summary")
+    return _report_row(read_evidence(spark, f"{root}/summary")).unionByName(
+        _report_row(read_evidence(spark, f"{root}/none")).withColumns({
+            "artifact_root": F.lit(""), "gap_count": F.coalesce("gap_count", F.lit(0))}))
+
+
+@query
+def stored_samples(spark, d):
+    """Run rates from a stored sample table."""
+    path = shared_dir(spark, "tidemark-queries", uuid.uuid4().hex)
+    fx.run_samples(spark, d).withColumn("labels", F.create_map(F.lit("run"), F.col("run_id"))).write.parquet(path)
+    return runs.run_rates(read_samples(spark, path).select("run_id", "sample_ts", "metric", "value"))
+
+
+# How a report is spoiled: pattern, replacement, the violations that must be found
+_TOP = r'^(\{"schema_version":1.*?)'
+REPORT_SPOILS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("$^", "", ()),
+    ('"schema_version":1', '"schema_version":2', ("schema_version: const",)),
+    *((f'{_TOP}"{n}":"[^"]*"', f'$1"{n}":7', (f"{n}: string",)) for n in REPORT_TEXT),
+    (r'"benchmark":\{.*\},"failure_drills"', '"benchmark":[],"failure_drills"', (
+        "benchmark: object", *(f"benchmark.{n}: string" for n in BENCHMARK_TEXT), *(f"benchmark.{n}: number" for n in BENCHMARK_NUMBERS),
+        "benchmark.gaps: array", "benchmark.gates: array")),
+    (r'"gaps":\[', '"gaps":[5,', ("benchmark.gaps: items",)),
+    (r'"gates":\[\{"name":"[^"]*"', '"gates":[{"name":1', ("benchmark.gates: items",)),
+    (r'"failure_drills":\[.*\]\}$', '"failure_drills":{}}', ("failure_drills: array",)),
+    ('"scenario_id":"restart-processor"', '"scenario_id":1', ("failure_drills: items",)),
+    (r"^.*$", "[1]", ("type: object",)),
+)
+
+
+@query
+def report_violations(spark, d):
+    """Every rule of the report contract, broken at least once."""
+    text = _report(spark, d).select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("text"))
+    spoils = F.array(*(F.struct(F.lit(i).alias("spoil"), F.lit(a).alias("pattern"), F.lit(b).alias("by")) for i, (a, b, _) in enumerate(REPORT_SPOILS)))
+    every = text.select("text", F.explode(spoils).alias("s")).select("s.spoil", F.regexp_replace("text", F.col("s.pattern"), F.col("s.by")).alias("value"))
+    return report_contract(every).select("spoil", F.explode_outer("violations").alias("violation"))
+
+
+@query
+def body_limits(spark, d):
+    """Requests of up to 500 events, of 501, of none, and bodies of the largest size and one byte more."""
+    rows = fx.telemetry(spark, d).where("copy_no = 0").select(
+        F.floor(F.col("n") / 1002).alias("g"), (F.col("n") % 1002).alias("at"), "n", encode_event(event_struct()).alias("text"))
+    kind = F.when(F.col("at") < 500, "full").when(F.col("at") < 1001, "over").otherwise("sized")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda p: p["text"])
+    grouped = rows.groupBy("g", kind.alias("kind")).agg(F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")).alias("body"))
+    size = F.lit(BATCH_BODY_BYTES) + F.col("g") % 2
+    padded = F.when(F.col("kind") == "sized", F.concat(F.repeat(F.lit(" "), (size - F.octet_length("body")).cast("int")), "body")).otherwise(F.col("body"))
+    requests = grouped.select(F.concat_ws("-", "kind", "g").alias("request_id"), padded.alias("body")).unionByName(
+        rows.select(F.concat(F.lit("none-"), F.col("g")).alias("request_id"), F.lit("[]").alias("body")).distinct())
+    return admit_batches(requests, ADMINISTRATOR).select("request_id", "events", "reason", "pos")
