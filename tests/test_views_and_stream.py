@@ -276,6 +276,12 @@ def test_ingest_stream(spark, tmp_path):
     rejected = views.refresh().read("rejection_events")
     got = sorted((r["id"], r["reason"], r["tenant_id"], r["payload"][:6]) for r in rejected.collect())
     assert got == [("1", "validation_failed", "harbour", '{"even'), ("2", "decode_failed", None, '{"raw"')]
+    # a process that starts later goes on from the stored totals
+    again = spark.createDataFrame([("9", f"[{payload(event_id='evt-9')}]")], "request_id string, body string")
+    ingest_requests(again, Principal(ADMIN), hot(spark, views.root), str(tmp_path / "archive"), "parquet", {}, str(tmp_path / "out"), "second", 0)
+    states = hot(spark, views.root).deltas("service_state").orderBy("updated_at").select(
+        "instance_id", F.get_json_object("payload", "$.accepted_total"), F.get_json_object("payload", "$.rejected_total"))
+    assert rows(states)[0] == ("ingest-0", "2", "2") and rows(states)[-1] == ("ingest-0", "3", "2")
 
 
 def test_rebuild_orders_a_batch_stamped_alike(spark, log, tmp_path):

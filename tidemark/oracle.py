@@ -412,3 +412,5 @@ ORACLE["body_limits"] = _with("""SELECT kind || '-' || g AS request_id, CASE WHE
   CASE WHEN count(*) > 500 OR (kind = 'sized' AND g % 2 = 1) THEN -1 END AS pos
 FROM (SELECT n // 1002 AS g, CASE WHEN n % 1002 < 500 THEN 'full' WHEN n % 1002 < 1001 THEN 'over' ELSE 'sized' END AS kind FROM tele WHERE copy_no = 0)
 GROUP BY kind, g UNION ALL SELECT DISTINCT 'none-' || n // 1002, 0, 'validation_failed', -1 FROM tele""", "tele")
+ORACLE["ingested_totals"] = _with("""SELECT CAST(sum(CASE WHEN reason IS NULL THEN events ELSE 0 END) AS BIGINT) AS accepted_total,
+  count(*) FILTER (reason IS NOT NULL) AS rejected_total FROM verdicts""", "verdicts")

@@ -69,6 +69,10 @@ class HotViews:
         self._log.pop("state", None)
         return self
 
+    def held(self, what: str) -> dict:
+        """What the writing process keeps between batches."""
+        return self._log.setdefault(what, {})
+
     def snapshot_due(self, every_seconds: float | None) -> bool:
         """Whether the writer should record its state again."""
         now = time.monotonic()

@@ -41,7 +41,7 @@ from tidemark.sources.evidence import read_evidence, read_samples, write_report
 from tidemark.sources.log import EVENT_LOG
 from tidemark.sources.log import append as append_segments
 from tidemark.sources.views import HotViews
-from tidemark.streaming.job import start_processor
+from tidemark.streaming.job import ingest_requests, start_processor
 from tidemark.streaming.native import native_windows, stateful_lateness
 
 TENANT, SOURCE = "tenant_03", "sensor_000013"
@@ -922,6 +922,17 @@ def processor_stream(spark, d):
     return sources.unionByName(letters)
 
 
+@query
+def ingested_totals(spark, d):
+    """Accepted events and rejected requests as an ingest job counts them over two batches, the second after a restart."""
+    views, root = _stored(spark)
+    requests = fx.batch_requests(spark, d)
+    for at, part in enumerate((requests.where("request_id % 2 = 0"), requests.where("request_id % 2 = 1"))):
+        ingest_requests(part, ADMINISTRATOR, HotViews(spark, views.root), root, "parquet", {}, f"{root}-log", "ingest", at)
+    states = views.read("service_state")
+    return state.ingest_state(state.live_states(states, state.INGEST, _last_update(states))).drop("last_seen_at")
+
+
 @query
 def rebuild_outcome(spark, d):
     """Nothing is left after the reset, everything is there after the rebuild."""
