@@ -43,9 +43,14 @@ GRADES = {
 }
 UNKNOWN_GRADE = 0.5
 _BINDING = {"or": 1, "and": 2, "with": 3}
-# The tag as whole words, like the automaton's, and what stands between it and its expression
+# Licence ids of the public list that have neither a digit nor a hyphen (fixed values)
+PLAIN_IDS = frozenset((
+    "mit", "isc", "zlib", "unlicense", "wtfpl", "ncsa", "beerware", "postgresql", "openssl", "ruby", "curl", "libpng", "json", "intel",
+    "vim", "icu", "imagemagick", "info-zip", "xnet", "naumen", "multics", "nokia", "sleepycat", "tcl", "python", "none", "noassertion"))
+_SUFFIX, _VERSION = re.compile(r"(-only|-or-later|\+)$"), re.compile(r"-\d+(\.\d+)*$")
+# The tag as whole words, like the automaton's, and what stands on its line before its expression
 _TAG = re.compile(r"(?<![0-9a-z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier(?![0-9a-z\x80-\xff])"
-                  r"[^0-9a-z\x80-\xff(]*")
+                  r"[^0-9a-z\x80-\xff(\n\r]*")
 _LINE = re.compile(r"[^\n\r]*")
 _TOKEN = re.compile(r"[()]|[0-9a-z][0-9a-z.+:-]*")
 _WORD_BYTES = bytes(
@@ -54,14 +59,21 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def grade(label: str) -> float:
-    return GRADES.get(label, UNKNOWN_GRADE)
+    """The grade of a label, else of its licence without ``-only``, ``-or-later`` or ``+``, else of its family without the version."""
+    plain = _SUFFIX.sub("", label)
+    return GRADES.get(label, GRADES.get(plain, GRADES.get(_VERSION.sub("", plain), UNKNOWN_GRADE)))
+
+
+def is_id(token: str) -> bool:
+    """Whether a word has the shape of a licence id: a known plain one, or letters with a digit or a hyphen."""
+    return token in PLAIN_IDS or token in GRADES or token[:1].isalpha() and any(c == "-" or c.isdigit() for c in token)
 
 
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: the leading well-formed part of a lower-case expression, in postfix order.
 
-    ``with`` binds before ``and``, ``and`` before ``or``. Reading stops where the text goes on with something else, so
-    prose after the expression is not taken for it. An unfinished operator or bracket is left out.
+    ``with`` binds before ``and``, ``and`` before ``or``. Reading stops where the text goes on with something else or with a
+    word that is no licence id, so prose after the expression is not taken for it. An unfinished operator or bracket is left out.
     """
     out: list[str] = []
     stack: list[str] = []
@@ -69,7 +81,7 @@ def postfix(expression: str) -> list[str]:
     for token in _TOKEN.findall(expression):
         if operand_next and token == "(":
             stack.append(token)
-        elif operand_next and token != ")" and token not in _BINDING:
+        elif operand_next and token != ")" and token not in _BINDING and is_id(token.rstrip(".:-")):
             out.append(token.rstrip(".:-"))
             operand_next = False
         elif not operand_next and token in _BINDING:
@@ -174,7 +186,7 @@ def licenses(docs: DataFrame) -> DataFrame:
 
     ``n_base`` counts all places of base phrases, overlapping ones too; ``first_word`` and ``last_word`` are their
     smallest and largest start (null without any); ``labels`` are the base labels and those of further notices and of
-    tagged expressions; ``score`` is the grade of all licences together (the strictest), 0 without any. A null or empty
+    tagged expressions, read on the tag's own line as far as words have the shape of licence ids; ``score`` is the grade of all licences together (the strictest), 0 without any. A null or empty
     text has no words and empty labels. Rows that repeat are scanned like any other; further columns are ignored.
     """
     return with_own_id(with_plain_id(docs, "text").mapInPandas(
