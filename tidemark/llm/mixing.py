@@ -47,15 +47,16 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST) -> DataF
 
 
 def chance(seed: str = SEED) -> Column:
-    """A number from 0 to below 1 that depends on seed and doc_id only."""
-    digest = F.md5(F.concat_ws("-", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """A number from 0 to below 1 that depends on seed and doc_id only; of a row without one, on its text."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    digest = F.md5(F.concat_ws("-", F.lit(seed), named))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
 def mixed_sizes(docs: DataFrame, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """All columns of ``docs`` with size, source_size, target and ``copies``, the number of times the mix takes the row.
 
-    Rows that repeat a doc_id share their chance; a null source is a source of its own and comes last; a null or empty
+    Rows that repeat a doc_id share their chance, as do rows without one that repeat a text; a null source is a source of its own and comes last; a null or empty
     text has size 0. A source without words has target 0 and is not taken. Columns of ``docs`` that have the names of
     the added ones are replaced.
     """
