@@ -88,6 +88,19 @@ def test_stream_starts_at_the_end_and_keeps_to_its_limit(spark, log, tmp_path):
         drained(read_events_stream(spark, EVENT_LOG, {"maxRowsPerTrigger": "5"}, path), tmp_path, "none")
 
 
+def test_few_rows_wait_for_the_delay(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    append(numbered(log, 0, 10), path)
+
+    def sizes(name, **options):
+        shown = {"startingOffsets": "earliest", "maxRowsPerTrigger": "60", "minRowsPerTrigger": "50", "group": name, **options}
+        return drained(read_events_stream(spark, EVENT_LOG, shown, path), tmp_path, name)
+
+    assert sizes("waits", maxTriggerDelay="3600") == [] and sizes("goes", maxTriggerDelay="0") == [40]
+    append(numbered(log, 10, 15), path)
+    assert sizes("waits", maxTriggerDelay="3600") == [60]
+
+
 def test_stream_without_a_limit_takes_what_is_there(spark, log, tmp_path):
     path = str(tmp_path / "log")
     append(numbered(log, 0, 10), path)

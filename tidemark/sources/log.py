@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -132,9 +133,13 @@ class LogStreamReader(DataSourceStreamReader):
 
     def __init__(self, options: dict[str, str]):
         self.options, self.limit = options, int(options.get("maxrowspertrigger", 0))
+        self.least, self.delay = int(options.get("minrowspertrigger", 0)), float(options.get("maxtriggerdelay", 0))
+        self.planned = time.monotonic()
         self.log, self.start, self.upto = Segments(options["path"]), None, None
         if self.limit and not options.get("group"):
             raise ValueError("maxRowsPerTrigger needs a group, one for each checkpoint")
+        if self.least > self.limit:
+            raise ValueError("minRowsPerTrigger needs a maxRowsPerTrigger that is no less")
         self.kept = f"{self.log.root}/_positions/{options.get('group')}.json"
 
     def _begin(self) -> None:
@@ -168,7 +173,8 @@ class LogStreamReader(DataSourceStreamReader):
         for at, p in enumerate(behind):
             reached[p], taken = self._advance(files[int(p)], self.upto.get(p, 0), max(1, left // (len(behind) - at)))
             left -= taken
-        return reached
+        waiting = self.limit - left < self.least and time.monotonic() - self.planned < self.delay
+        return self.upto if waiting else reached
 
     def _advance(self, parts: list[tuple[int, str]], start: int, rows: int) -> tuple[int, int]:
         """The offset ``rows`` rows after ``start``, and how many rows there were."""
@@ -187,7 +193,7 @@ class LogStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         self._begin()
-        self.upto = end
+        self.upto, self.planned = end, time.monotonic()
         self._keep()
         return self.log.spans(start, end, each=False)
 
@@ -250,7 +256,8 @@ class EventLog(DataSource):
     """``spark.read.format("event_log").option("path", folder)``; options as below, names in any case.
 
     startingOffsets, endingOffsets: ``earliest``, ``latest`` or JSON (a stream starts at latest, a batch at earliest);
-    maxRowsPerTrigger and group: bound a stream's micro-batches (under ``availableNow`` the limit bounds the whole run).
+    maxRowsPerTrigger and group: bound a stream's micro-batches (under ``availableNow`` the limit bounds the whole run);
+    minRowsPerTrigger and maxTriggerDelay (seconds): fewer rows wait until so long after the last batch.
     """
 
     def __init__(self, options: dict[str, str]):

@@ -222,6 +222,7 @@ class HotViews:
                 path = f"{self.root}/{view}/run_id={run_id}/batch_id={batch_id}"
                 if self._exists(path):
                     rows = rows.unionByName(made(self.spark.read.schema(VIEWS[view]).parquet(path)))
+            rows = rows.coalesce(1)  # small, and in one task nothing is shuffled
         else:
             parts = [made(self.read(view)) for view, made in makers.items()]
             rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
