@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
 import sys
@@ -75,11 +76,12 @@ def main() -> None:
     live = BatchOptions(block=fx.OFFSET_BLOCK, snapshot_seconds=0)
     times["micro_batch"] = min(round(timed(lambda: apply_messages(views, messages, "run", at, live)), 3) for at in (1, 2, 3))
     reader = Reader(views)
-    whole = sorted(timed(lambda: reader.overview(Principal(ADMIN), now).collect()) for _ in range(5))
+    noon = dt.datetime(2024, 1, 1, 12, tzinfo=dt.UTC)
+    whole = sorted(timed(lambda: reader.overview(Principal(ADMIN), noon).collect()) for _ in range(READ_RUNS))
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": Path(sf_dir).name, "log_rows": rows, "apply_rows_per_second": round(rows / times["apply_batch"]),
-        "overview_ms": round(whole[2] * 1000, 1), "micro_batch_rows": MICRO_ROWS, "overview_rates_p95_ms": round(reads[int(0.95 * (READ_RUNS - 1))] * 1000, 1),
+        "overview_ms": round(whole[READ_RUNS // 2] * 1000, 1), "overview_p95_ms": round(whole[int(0.95 * (READ_RUNS - 1))] * 1000, 1), "micro_batch_rows": MICRO_ROWS, "overview_rates_p95_ms": round(reads[int(0.95 * (READ_RUNS - 1))] * 1000, 1),
         "tenant_series_p95_ms": round(series[int(0.95 * (READ_RUNS - 1))] * 1000, 1),
     }))
 
