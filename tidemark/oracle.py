@@ -390,7 +390,7 @@ ORACLE["dead_letter_deltas"] = _with(f"""SELECT run_id, 'proc-' || i AS instance
 ORACLE["poison_drill"] = _with(f"""SELECT 'poison-message' AS scenario_id, CASE WHEN n > 0 THEN 'verified' ELSE 'degraded' END AS status,
   run_id || '.json' AS artifact, 'Dead-letter delta ' || n || '.' AS result FROM (
   SELECT run_id, h, count(*) FILTER (m_us > h * 3600000000 AND m_us <= (h + 1) * 3600000000) AS n FROM {_HOURS}, {_LETTERS} GROUP BY 1, 2)
-ORDER BY h DESC LIMIT 1""", "judged")
+ORDER BY h LIMIT 1""", "judged")
 ORACLE["deduped_within"] = _with(f"""SELECT event_id, count(DISTINCT ts_us >= {_E} AND ts_us < {_E} + 7200000000)
   + CASE WHEN any_value(ts_us) < {_E} + 7200000000 THEN 1 ELSE 0 END AS passed FROM tele GROUP BY 1""", "tele")
 ORACLE["closed_windows"] = _with(f"""SELECT 300 AS window_size_seconds, make_timestamp(w_us) AS window_start, tenant_id, source_id, count(*) AS events_count,

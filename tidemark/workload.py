@@ -831,9 +831,9 @@ def dead_letter_deltas(spark, d):
 
 @query
 def poison_drill(spark, d):
-    """The poison drill's verdict on the last run."""
+    """The poison drill's verdict on the first run."""
     found = evidence.dead_letter_delta(_hours(spark, d), _dead_letter_totals(spark, d))
-    report = found.orderBy(F.desc("finished_at")).limit(1).select(
+    report = found.orderBy("finished_at").limit(1).select(
         F.lit("inject-poison-message").alias("kind"), F.concat("run_id", F.lit(".json")).alias("artifact"), F.col("finished_at").alias("modified_at"),
         F.to_json(F.struct(F.col("dead_letter_delta").cast("double").alias("dead_letter_delta"))).alias("payload"))
     return evidence.drill_summary(report).where("scenario_id = 'poison-message'").select("scenario_id", "status", "artifact", "result")
