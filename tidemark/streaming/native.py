@@ -88,10 +88,21 @@ class LatenessProcessor(StatefulProcessor):
         pass
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_IN_MEMORY, _ROCKSDB = (f"org.apache.spark.sql.execution.streaming.state.{name}StateStoreProvider" for name in ("HDFSBacked", "RocksDB"))
+
+
 def stateful_lateness(
     stream: DataFrame, lateness_seconds: float = 120.0, marks: DataFrame | None = None, block: int = OFFSETS_PER_BLOCK,
 ) -> DataFrame:
-    """Log rows with their partition's mark and whether they are late; ``marks`` are those stored by an earlier run."""
+    """Log rows with their partition's mark and whether they are late; ``marks`` are those stored by an earlier run.
+
+    Spark's default state store cannot hold several states of a processor. A session that has it is set to RocksDB; a stream
+    goes on with the store named in its checkpoint.
+    """
+    conf = stream.sparkSession.conf
+    if conf.get(PROVIDER) == _IN_MEMORY:
+        conf.set(PROVIDER, _ROCKSDB)
     rows = stream.select(*LATENESS_COLUMNS)
     return rows.groupBy("topic", "partition").transformWithStateInPandas(
         statefulProcessor=LatenessProcessor(lateness_seconds, block), outputStructType=LATENESS_OUTPUT, outputMode="Append",
