@@ -30,6 +30,7 @@ from tidemark.functions.measures import log_partition
 
 EVENT_LOG = "event_log"
 SEGMENT_ROWS = 200_000
+GROUP_BYTES = 4 << 20  # what a writing task holds, and a reading one decodes from, beside the batch in hand
 _SCHEMA = ("key binary, value binary, topic string, partition int, offset long, timestamp timestamp, "
            "headers array<struct<key string, value binary>>")
 _NAMES = ["key", "value", "topic", "partition", "offset", "timestamp", "headers"]
@@ -208,24 +209,35 @@ class SegmentWriter(DataSourceArrowWriter):
         self.options, self.ends = options, Segments(options["path"]).ends()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        log, done, held, count, at = Segments(self.options["path"]), Written(), [], 0, None
-
-        def flush() -> None:
-            nonlocal held, count
-            if held:
-                table = pa.Table.from_batches(held)
+        log, done, at, out = Segments(self.options["path"]), Written(), None, None
+        held, size, count = [], 0, 0
+
+        def group() -> None:
+            """Write what is held as a row group of the open segment."""
+            nonlocal out, held, size
+            if not held:
+                return
+            if out is None:
                 folder = f"{log.root}/partition={at}"
                 log.fs.create_dir(folder)
                 draft = f"{folder}/_{uuid.uuid4().hex}"
-                pq.write_table(table, draft, filesystem=log.fs)
-                done.moves.append((draft, f"{folder}/{table['offset'][0].as_py():020d}.parquet"))
-            held, count = [], 0
+                done.moves.append((draft, f"{folder}/{held[0].column('offset')[0].as_py():020d}.parquet"))
+                out = pq.ParquetWriter(draft, held[0].schema, filesystem=log.fs)
+            out.write_table(pa.Table.from_batches(held))
+            held, size = [], 0
+
+        def close() -> None:
+            nonlocal out, count
+            group()
+            if out is not None:
+                out.close()
+            out, count = None, 0
 
         for batch in iterator:
             for p in pc.unique(batch.column("partition")).to_pylist():
                 rows = batch.filter(pc.equal(batch.column("partition"), p))
                 if p != at:
-                    flush()
+                    close()
                     at = p
                 if rows.column("offset").null_count:
                     first = self.ends.get(str(p), 0)
@@ -233,10 +245,13 @@ class SegmentWriter(DataSourceArrowWriter):
                     index = rows.schema.get_field_index("offset")
                     rows = rows.set_column(index, "offset", pa.array(range(first, first + len(rows)), pa.int64()))
                 held.append(rows)
+                size += rows.nbytes
                 count += len(rows)
+                if size >= GROUP_BYTES:
+                    group()
                 if count >= SEGMENT_ROWS:
-                    flush()
-        flush()
+                    close()
+        close()
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
