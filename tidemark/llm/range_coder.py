@@ -203,11 +203,11 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, live = _by_length(lengths)
     model, coder = _Model(len(blocks)), _Encoder(len(blocks), int(lengths.max(initial=0)))
-    ids = np.zeros((len(live), len(blocks)), np.int64)
+    ids = np.zeros((len(live), len(blocks)), np.uint16)
     for i, at in enumerate(order):
         ids[: lengths[at], i] = blocks[at]
     for step, n in enumerate(live):
-        model.code(coder, ids[step, :n], int(n))
+        model.code(coder, ids[step, :n].astype(np.int64), int(n))
     out = coder.finish()
     back = np.empty(len(blocks), np.int64)
     back[order] = np.arange(len(blocks))

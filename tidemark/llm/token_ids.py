@@ -38,6 +38,10 @@ BLOCK = 2048
 LEAST_BLOCK = 256
 FRAME = 1 << 21
 CACHED = 150_000  # entries of either memory, some 30 MB
+WRITE_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # beside a frame being coded
+# how the vocabulary's byte-level step shows bytes that do not print: the further letters in turn
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {byte: chr(256 + n) for n, byte in enumerate(b for b in range(256) if b not in _SHOWN)}
 _HEAD, _DOC, _BLOCK = struct.Struct("<4sIIQ"), np.dtype([("doc", "<i8"), ("has", "u1"), ("n", "<u4")]), np.dtype(
     [("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
 FILE_SCHEMA = "part int, frame int, n_ids long, data binary"
@@ -47,8 +51,9 @@ class Encoder:
     """A tokenizer whose pieces between white space are remembered, if it is one whose pieces stand alone.
 
     With the normalizer and pre-tokenizer named here no token spans white space, so a text's ids are those of its pieces,
-    one after the other. Pieces of Latin letters are further cut as the tokenizer's own pattern cuts them. Both memories are
-    bounded: full ones start anew. Any other tokenizer is given whole texts.
+    one after the other. Pieces of Latin letters are further cut as the tokenizer's own pattern cuts them; those parts need
+    none of its other steps and go to its model. Both memories are bounded: full ones start anew. Any other tokenizer is
+    given whole texts.
     """
 
     # Fixed value: the split pattern of the vocabulary file
@@ -64,6 +69,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         told = json.loads(description)
         self.alone = (
             told.get("normalizer") == self.NORMALIZER and told.get("pre_tokenizer") == self.PRE_TOKENIZER
@@ -75,6 +81,12 @@ class Encoder:
         return [np.array(e.ids, np.uint32).astype("<u2").tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        """The ids of a lower-case part of Latin letters, of a digit or of signs."""
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        ids = [token.id for token in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     def learn(self, texts: list[list[bytes]]) -> None:
         """Make sure that every piece of these texts is known."""
         new = {p for pieces in texts for p in pieces if p not in self.pieces}
@@ -84,15 +96,15 @@ class Encoder:
         plain, other = {}, []
         for piece in new:
             word = piece.decode("utf-8", "replace").lower()
-            if "<|" not in word and max(word) < "ƀ":
-                plain[piece] = self.PATTERN.findall(word)
+            if "<|" not in word and (word.isascii() or max(word) < "ƀ"):
+                plain[piece] = [word] if piece.isalpha() else self.PATTERN.findall(word)  # ASCII letters alone are one part
             else:
                 other.append(piece)
-        unknown = list({part for parts in plain.values() for part in parts if part not in self.parts})
+        unknown = {part for parts in plain.values() for part in parts if part not in self.parts}
         if len(self.parts) + len(unknown) > CACHED:
             self.parts.clear()
-            unknown = list({part for parts in plain.values() for part in parts})
-        self.parts.update(zip(unknown, self._encode(unknown), strict=True))
+            unknown = {part for parts in plain.values() for part in parts}
+        self.parts.update((part, self._part(part)) for part in unknown)
         for piece, parts in plain.items():
             self.pieces[piece] = b"".join(map(self.parts.__getitem__, parts))
         self.pieces.update(zip(other, self._encode([p.decode("utf-8", "replace") for p in other]), strict=True))
@@ -191,7 +203,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     rows = with_plain_id(docs, "text", text_key().alias("text_key"))
     order = [F.col("no_id").desc(), F.col("doc_id"), F.col("text_key")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("text_key")
-    ordered.mapInPandas(_frames(shared, end), FILE_SCHEMA).write.parquet(path)
+    conf = docs.sparkSession.conf
+    batch, before = WRITE_BATCH[0], conf.get(WRITE_BATCH[0])
+    conf.set(*WRITE_BATCH)
+    try:
+        ordered.mapInPandas(_frames(shared, end), FILE_SCHEMA).write.parquet(path)
+    finally:
+        conf.set(batch, before)
 
 
 def _documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
