@@ -6,189 +6,200 @@ next id of all blocks. A block starts from the same empty model, so it can be de
 The model of a block predicts the next id from the last two (order 2) and from the last one (order 1): hashed tables hold
 the id that followed there last and how often that was right. Which prediction holds is a three-way choice; its
 distribution mixes (adds) adaptive counts seen under the confidence of order 2 and under that of order 1.
-An id that neither predicts is coded by order 0: adaptive counts of its high and of its low byte. All of it is integer
-arithmetic, the same in both directions.
+An id that neither predicts is coded by order 0: fixed shares of 2**16 that the caller gives for all blocks, as counted by
+``shares``; without them all ids are alike. All of it is integer arithmetic, the same in both directions.
 
-The coder is a carry-less range coder: 48-bit low end, 16-bit words out, counts that add up to less than 2**16.
+The coder is a range coder that carries: 48-bit low end, 16-bit words out, a range of at least 2**32 before each id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-U64 = np.uint64
-_SLOTS = 1 << 12
-_TOP, _MASK, _BOTTOM = U64(32), U64((1 << 48) - 1), U64(1 << 16)
-_LOW = U64(0xFFFF)
-_REBUILD = 32  # steps between renewals of the order-0 ranges
-_CERTAIN = 3  # highest confidence
-_GAIN, _LOSS = np.array([1, 2, 3, 3], np.uint8), np.array([0, 0, 0, 1], np.uint8)
+_SLOTS = 1 << 10
+_WORD = 16
+_MASK, _BOTTOM = (1 << 48) - 1, 1 << 32
+_SHARES = 1 << 16
+_FIELD = 20  # bits of each of the three counts in one integer
+_COUNT = (1 << _FIELD) - 1
+_ONES = 1 | 1 << _FIELD | 1 << 2 * _FIELD
+_HALVED = _ONES * (_COUNT >> 1)
+_HALVE = 128  # steps between halvings of the counts: they stay below 2**13
+_SEEN = np.array([16, 16 << _FIELD, 16 << 2 * _FIELD], np.int64)  # added when order 2, order 1 or neither was right
+# confidence after a wrong (0 to 3) and after a right guess (4 to 7), where it stands in the tables
+_SURE = np.array([0, 0, 0, 1, 1, 2, 3, 3], np.int32) << 16
+
+
+def shares(ids: np.ndarray) -> np.ndarray:
+    """Shares of 2**16 for the ids by their counts, at least one for each that occurs."""
+    counts = np.bincount(ids, minlength=_SHARES).astype(np.int64)
+    if not len(ids):
+        return np.ones(_SHARES, np.int64)
+    out = np.maximum(counts * (_SHARES - np.count_nonzero(counts)) // len(ids), counts > 0)
+    out[counts.argmax()] += _SHARES - out.sum()
+    return out
 
 
 class _Model:
     """State of all blocks; ``code`` is called once a step with a coder that encodes or decodes."""
 
-    def __init__(self, blocks: int):
-        self.n = blocks
-        self.lane = np.arange(blocks)
-        self.guess = [np.zeros(blocks * _SLOTS, np.uint16) for _ in range(2)]
-        self.sure = [np.zeros(blocks * _SLOTS, np.uint8) for _ in range(2)]
+    def __init__(self, blocks: int, order_0: np.ndarray | None):
+        self.share = np.ones(_SHARES, np.int64) if order_0 is None else order_0.astype(np.int64)
+        if len(self.share) != _SHARES or self.share.min() < 0 or self.share.sum() != _SHARES:
+            raise ValueError("shares of ids that do not add up")
+        self.below = np.cumsum(self.share) - self.share
+        self.owner = np.repeat(np.arange(_SHARES), self.share)
+        lane = np.arange(blocks)
+        # id that followed, and above it the confidence
+        self.guess = [np.zeros(blocks * _SLOTS, np.int32) for _ in range(2)]
         # counts of the three choices by confidence of order 2, and by confidence of order 1 and agreement of both
-        self.choice = [[np.full(blocks * (_CERTAIN + 1) * n, 4, U64) for _ in range(3)] for n in (1, 2)]
-        self.slots, self.by_2, self.by_1 = (self.lane * n for n in (_SLOTS, _CERTAIN + 1, 2 * (_CERTAIN + 1)))
-        self.bytes = [np.ones((blocks, 256), np.uint32) for _ in range(2)]
-        self.ranges = [np.zeros((blocks, 257), U64) for _ in range(2)]
-        self.totals = [np.zeros(blocks, U64) for _ in range(2)]
+        self.choice = [np.full(blocks * n, 4 * _ONES, np.int64) for n in (4, 8)]
+        self.slots, self.by_2, self.by_1 = lane * _SLOTS, lane * 4, lane * 8
         self.last = np.zeros(blocks, np.int64)
         self.before = np.zeros(blocks, np.int64)
         self.step = 0
 
-    def _renew(self) -> None:
-        for counts, ranges in zip(self.bytes, self.ranges, strict=True):
-            np.cumsum(counts, axis=1, out=ranges[:, 1:])
-            if self.step % 1024 == 0 and self.step:
-                counts[:] = (counts >> 1) | 1
-                np.cumsum(counts, axis=1, out=ranges[:, 1:])
-        self.totals = [ranges[:, 256].copy() for ranges in self.ranges]
-        if self.step % 128 == 0 and self.step:
-            for tables in self.choice:
-                for table in tables:
-                    table -= table >> U64(1)
-
     def code(self, coder, ids: np.ndarray | None, live: int) -> np.ndarray:
         """One id of the first ``live`` blocks (longer blocks stand first)."""
-        if self.step % _REBUILD == 0:
-            self._renew()
+        if self.step % _HALVE == 0 and self.step:
+            for counts in self.choice:
+                counts -= (counts >> 1) & _HALVED
         self.step += 1
-        last = self.last[:live]
+        last, slots = self.last[:live], self.slots[:live]
         mark = last * 40503
-        spot = [self.slots[:live] + (mark >> 4 & (_SLOTS - 1)),
-                self.slots[:live] + (mark + self.before[:live] * 60493 >> 5 & (_SLOTS - 1))]
-        one, two = (_at(g, s).astype(np.int64) for g, s in zip(self.guess, spot, strict=True))
-        sure_1, sure_2 = (_at(c, s) for c, s in zip(self.sure, spot, strict=True))
+        spot_1 = slots + (mark >> 4 & _SLOTS - 1)
+        spot_2 = slots + (mark + self.before[:live] * 60493 >> 5 & _SLOTS - 1)
+        held_1, held_2 = _at(self.guess[0], spot_1), _at(self.guess[1], spot_2)
+        one, two, sure_1, sure_2 = held_1 & 65535, held_2 & 65535, held_1 >> 16, held_2 >> 16
         same = one == two
-        rows = self.by_2[:live] + sure_2, self.by_1[:live] + 2 * sure_1 + same
-        # 0: order 2 is right, 1: order 1 is, 2: neither
-        first, second, third = (_at(a, rows[0]) + _at(b, rows[1]) for a, b in zip(*self.choice, strict=True))
-        second *= ~same
-        either = first + second
-        ends = [first, either, either + third]
-        if ids is None:
-            value = coder.target(live, ends[2])
-            which = (value >= ends[0]).astype(np.int8) + (value >= ends[1])
-        else:
-            which = (ids != two).astype(np.int8)
-            which += which & (ids != one)
-        chosen = [np.flatnonzero(which == j) for j in range(3)]
-        start, size = either.copy(), third.copy()
-        start[chosen[0]], start[chosen[1]] = 0, first[chosen[1]]
-        size[chosen[0]], size[chosen[1]] = first[chosen[0]], second[chosen[1]]
-        coder.put(slice(0, live), start, size, ends[2])
-        for j, hit in enumerate(chosen):
-            for tables, row in zip(self.choice, rows, strict=True):
-                tables[j][row[hit]] += U64(16)
-        rest = chosen[2]
-        if ids is None:
-            found = one.copy()
-            found[chosen[0]] = two[chosen[0]]
-            found[rest] = self._single(coder, rest, None)
-        else:
-            found = ids
-            self._single(coder, rest, ids[rest])
-        for guess, sure, s, had, trust in (
-            (self.guess[0], self.sure[0], spot[0], one, sure_1), (self.guess[1], self.sure[1], spot[1], two, sure_2),
-        ):
-            guess[s] = np.where(trust > 1, had, found)
-            sure[s] = np.where(found == had, _at(_GAIN, trust), _at(_LOSS, trust))
+        row_2, row_1 = self.by_2[:live] + sure_2, self.by_1[:live] + (2 * sure_1 + same)
+        seen_2, seen_1 = _at(self.choice[0], row_2), _at(self.choice[1], row_1)
+        mix = seen_2 + seen_1
+        # ends of the ranges of: order 2 is right, order 1 is, neither
+        first = mix & _COUNT
+        either = first + (mix >> _FIELD & _COUNT) * ~same
+        found, which = coder.put(first, either, either + (mix >> 2 * _FIELD), one, two, ids, self)
+        seen = _at(_SEEN, which)
+        self.choice[0][row_2] = seen_2 + seen
+        self.choice[1][row_1] = seen_1 + seen
+        for guess, spot, had, sure in ((self.guess[0], spot_1, one, sure_1), (self.guess[1], spot_2, two, sure_2)):
+            right = found == had
+            guess[spot] = np.where(sure > 1, had, found) | _at(_SURE, sure + 4 * right)
         self.before[:live] = last
         self.last[:live] = found
         return found
 
-    def _single(self, coder, rest: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Order 0: the high and the low byte of the ids of some blocks."""
-        whole = np.zeros(len(rest), np.int64)
-        row = rest * 257
-        for part, shift in ((0, 8), (1, 0)):
-            ranges, total = self.ranges[part].ravel(), _at(self.totals[part], rest)
-            byte = _find(ranges, row, coder.target(rest, total)) if ids is None else ids >> shift & 255
-            low = _at(ranges, row + byte)
-            coder.put(rest, low, _at(ranges, row + byte + 1) - low, total)
-            self.bytes[part].ravel()[rest * 256 + byte] += 24
-            whole |= byte << shift
-        return whole
-
 
 def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     return values.take(places, mode="clip")
 
 
-def _find(ranges: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The byte whose range holds the value, by halving."""
-    at = row.copy()
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += (_at(ranges, at + step) <= wanted) * step
-    return at - row
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b, exact for a below 2**53, as a quotient is rounded by less than its distance to the next integer."""
+    return (a / b).astype(np.int64)
 
 
-class _Coder:
-    def __init__(self, blocks: int):
-        self.low = np.zeros(blocks, U64)
-        self.range = np.full(blocks, _MASK)
-
-    def put(self, at, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Narrow the ranges of the blocks ``at`` and move settled words out (or in)."""
-        unit = self.range[at] // total
-        low, span = self.low[at] + unit * start, unit * size
-        self.low[at], self.range[at] = low, span
-        index = np.arange(at.stop) if isinstance(at, slice) else at
-        while True:
-            settled = ((low ^ (low + span)) >> _TOP) == 0
-            move = np.flatnonzero(settled | (span < _BOTTOM))
-            if not len(move):
-                return
-            index, low, span = index[move], low[move], span[move]
-            span = np.where(settled[move], span, (U64(0) - low) & _LOW)
-            self.shift(index, low >> _TOP)
-            low, span = (low << U64(16)) & _MASK, span << U64(16)
-            self.low[index], self.range[index] = low, span
-
-
-class _Encoder(_Coder):
+class _Encoder:
     def __init__(self, blocks: int, longest: int):
-        super().__init__(blocks)
-        self.words = np.zeros((blocks, longest * 4 + 8), np.uint16)
-        self.used = np.zeros(blocks, np.int64)
-
-    def shift(self, index: np.ndarray, words: np.ndarray) -> None:
-        self.words[index, self.used[index]] = words
-        self.used[index] += 1
+        self.low = np.zeros(blocks, np.int64)
+        self.range = np.full(blocks, _MASK)
+        self.room = longest * 2 + 8
+        self.words = np.zeros(blocks * self.room, np.uint16)
+        self.next = np.arange(blocks) * self.room
+
+    def put(self, first, either, total, one, two, ids, model) -> tuple[np.ndarray, np.ndarray]:
+        n = len(ids)
+        low, span, at = self.low[:n], self.range[:n], self.next[:n]
+        which = (ids != two).astype(np.int8)
+        which += which & (ids != one)
+        rest = which == 2
+        unit = _quotient(span, total)
+        start = np.where(rest, either, first * which)
+        size = np.where(rest, total, np.where(which, either, first)) - start
+        inner = unit * size
+        unit *= start
+        low += unit
+        unit = (inner >> _WORD) * rest
+        low += unit * _at(model.below, ids)
+        span[:] = np.where(rest, unit * _at(model.share, ids), inner)
+        carry = np.flatnonzero(low > _MASK)
+        if len(carry):
+            low[carry] &= _MASK
+            place = at[carry]
+            while len(place):  # words of ones become zeros
+                place = place - 1
+                self.words[place] += np.uint16(1)
+                place = place[self.words[place] == 0]
+        # move one settled word out of most blocks, and a second one out of few
+        moves = span < _BOTTOM
+        self.words[at] = low >> 32
+        at += moves
+        moves = moves * _WORD
+        low <<= moves
+        low &= _MASK
+        span <<= moves
+        again = np.flatnonzero(span < _BOTTOM)
+        if len(again):
+            self.words[at[again]] = low[again] >> 32
+            at[again] += 1
+            low[again] = low[again] << _WORD & _MASK
+            span[again] <<= _WORD
+        return ids, which
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
         for shift in (32, 16, 0):
-            self.shift(every, (self.low >> U64(shift)) & _LOW)
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.words, self.used, strict=True)]
+            self.words[self.next] = self.low >> shift & 65535
+            self.next += 1
+        return [self.words[i * self.room : end].astype("<u2").tobytes() for i, end in enumerate(self.next)]
 
 
-class _Decoder(_Coder):
+class _Decoder:
     def __init__(self, payloads: list[bytes]):
-        super().__init__(len(payloads))
-        sizes = np.array([len(p) // 2 for p in payloads])
-        self.words = np.zeros(int(sizes.sum()) + 8, U64)
-        self.words[: int(sizes.sum())] = np.frombuffer(b"".join(payloads), "<u2")
-        self.next = np.cumsum(sizes) - sizes
-        self.value = np.zeros(len(payloads), U64)
+        sizes = np.array([len(p) // 2 for p in payloads], np.int64)
+        self.words = np.concatenate([np.frombuffer(b"".join(p[: len(p) // 2 * 2] for p in payloads), "<u2"), np.zeros(8, "<u2")])
+        self.ends = np.cumsum(sizes)
+        self.next = self.ends - sizes
+        self.range = np.full(len(payloads), _MASK)
+        self.value = np.zeros(len(payloads), np.int64)  # above the low end
         for _ in range(3):
-            self.value = (self.value << U64(16)) | self.words[self.next]
+            self.value = self.value << _WORD | _at(self.words, self.next)
             self.next += 1
 
-    def target(self, at, total: np.ndarray) -> np.ndarray:
-        at = slice(0, at) if isinstance(at, int) else at
-        return np.minimum((self.value[at] - self.low[at]) // (self.range[at] // total), total - U64(1))
-
-    def shift(self, index: np.ndarray, words: np.ndarray) -> None:
-        self.value[index] = ((self.value[index] << U64(16)) & _MASK) | self.words[self.next[index]]
-        self.next[index] += 1
+    def put(self, first, either, total, one, two, ids, model) -> tuple[np.ndarray, np.ndarray]:
+        n = len(first)
+        value, span, at = self.value[:n], self.range[:n], self.next[:n]
+        unit = _quotient(span, total)
+        rest = value >= unit * either
+        which = (value >= unit * first).astype(np.int8)
+        which += rest
+        start = np.where(rest, either, first * which)
+        size = np.where(rest, total, np.where(which, either, first)) - start
+        inner = unit * size
+        unit *= start
+        value -= unit
+        unit = inner >> _WORD
+        found = _at(model.owner, _quotient(value, unit))
+        unit *= rest
+        value -= unit * _at(model.below, found)
+        span[:] = np.where(rest, unit * _at(model.share, found), inner)
+        found = np.where(rest, found, np.where(which, one, two))
+        moves = span < _BOTTOM
+        word = _at(self.words, at) * moves
+        at += moves
+        moves = moves * _WORD
+        value <<= moves
+        value |= word
+        span <<= moves
+        again = np.flatnonzero(span < _BOTTOM)
+        if len(again):
+            value[again] = value[again] << _WORD | _at(self.words, at[again])
+            at[again] += 1
+            span[again] <<= _WORD
+        return found, which
+
+    def finish(self) -> None:
+        if self.value.any() or (self.next != self.ends).any():
+            raise ValueError("block of token ids that does not end where it should")
 
 
 def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,30 +209,31 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-lengths[order], -np.arange(longest), side="left")
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
+def encode(blocks: list[np.ndarray], order_0: np.ndarray | None = None) -> list[bytes]:
     """Each block's ids as bytes."""
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, live = _by_length(lengths)
-    model, coder = _Model(len(blocks)), _Encoder(len(blocks), int(lengths.max(initial=0)))
+    model, coder = _Model(len(blocks), order_0), _Encoder(len(blocks), int(lengths.max(initial=0)))
     ids = np.zeros((len(live), len(blocks)), np.uint16)
     for i, at in enumerate(order):
         ids[: lengths[at], i] = blocks[at]
-    for step, n in enumerate(live):
-        model.code(coder, ids[step, :n].astype(np.int64), int(n))
+    for step, n in enumerate(live.tolist()):
+        model.code(coder, ids[step, :n].astype(np.int64), n)
     out = coder.finish()
     back = np.empty(len(blocks), np.int64)
     back[order] = np.arange(len(blocks))
     return [out[i] for i in back]
 
 
-def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The ids of each block, from its bytes and their number."""
+def decode(payloads: list[bytes], lengths: list[int], order_0: np.ndarray | None = None) -> list[np.ndarray]:
+    """The ids of each block, from its bytes and their number; raises ValueError if they do not fit together."""
     sizes = np.array(lengths, np.int64)
     order, live = _by_length(sizes)
-    model, coder = _Model(len(payloads)), _Decoder([payloads[i] for i in order])
+    model, coder = _Model(len(payloads), order_0), _Decoder([payloads[i] for i in order])
     ids = np.zeros((len(live), len(payloads)), np.uint16)
-    for step, n in enumerate(live):
-        ids[step, :n] = model.code(coder, None, int(n))
+    for step, n in enumerate(live.tolist()):
+        ids[step, :n] = model.code(coder, None, n)
+    coder.finish()
     out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(payloads)
     for i, at in enumerate(order):
         out[at] = ids[: sizes[at], i]

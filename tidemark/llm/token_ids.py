@@ -3,7 +3,8 @@
 Documents are put in order of doc_id by a range shuffle and encoded where they land. The files are Parquet with one
 binary value a row, a *frame*:
 
-    magic "TKF1" | u32 documents | u32 blocks | u64 ids
+    magic "TKF2" | u32 documents | u32 blocks | u64 ids | u32 bytes of the next line
+    share of 2**16 of each id below 65,536 in the frame (u32, deflated): the coder's order 0
     per document: i64 doc_id, u8 1 if it has one, u32 ids
     per block:    u32 ids, u32 bytes, u32 crc32 of its ids (little-endian u32)
     the blocks' range-coded bytes, one after the other
@@ -15,7 +16,9 @@ number of all ids before a frame comes from the row counts beside the frames, ne
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -23,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from tidemark.llm import range_coder
 from tidemark.llm.common import text_key, with_own_id, with_plain_id
@@ -37,87 +42,120 @@ END = 1
 BLOCK = 2048
 LEAST_BLOCK = 256
 FRAME = 1 << 21
-CACHED = 150_000  # entries of either memory, some 30 MB
+CACHED = 400_000  # parts remembered, some 60 MB
 WRITE_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # beside a frame being coded
 # how the vocabulary's byte-level step shows bytes that do not print: the further letters in turn
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {byte: chr(256 + n) for n, byte in enumerate(b for b in range(256) if b not in _SHOWN)}
-_HEAD, _DOC, _BLOCK = struct.Struct("<4sIIQ"), np.dtype([("doc", "<i8"), ("has", "u1"), ("n", "<u4")]), np.dtype(
+_HEAD, _DOC, _BLOCK = struct.Struct("<4sIIQI"), np.dtype([("doc", "<i8"), ("has", "u1"), ("n", "<u4")]), np.dtype(
     [("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
 FILE_SCHEMA = "part int, frame int, n_ids long, data binary"
 
 
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The values from each start to its end, one after the other."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return values[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)]
+
+
 class Encoder:
-    """A tokenizer whose pieces between white space are remembered, if it is one whose pieces stand alone.
+    """A tokenizer that gets the distinct pieces between white space of many texts, if it is one whose pieces stand alone.
 
     With the normalizer and pre-tokenizer named here no token spans white space, so a text's ids are those of its pieces,
     one after the other. Pieces of Latin letters are further cut as the tokenizer's own pattern cuts them; those parts need
-    none of its other steps and go to its model. Both memories are bounded: full ones start anew. Any other tokenizer is
-    given whole texts.
+    none of its other steps and go to its model, and their ids are remembered. The memory is bounded: of its two
+    generations the older one goes when the younger is full. Any other tokenizer is given whole texts.
     """
 
     # Fixed value: the split pattern of the vocabulary file
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    # the same for letters up to U+017F, and line ends; of these letters I with a dot has a small form outside
+    _LETTERS, _DIGITS = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
+    _LINES = re.compile(rf"[{_LETTERS}]+|\n|[{_DIGITS}]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\r\x0b\x0c\x85\xa0{_LETTERS}{_DIGITS}]+")
+    _OTHER = r"[^\x{0}-\x{12F}\x{131}-\x{17F}]|<\|"
 
     NORMALIZER = {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
     PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
-        {"type": "Split", "pattern": {"Regex": PATTERN.pattern}, "behavior": "Removed", "invert": True},
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
     def __init__(self, description: str):
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
         told = json.loads(description)
         self.alone = (
             told.get("normalizer") == self.NORMALIZER and told.get("pre_tokenizer") == self.PRE_TOKENIZER
             and all("<|" in t["content"] and len(t["content"].split()) == 1 for t in told.get("added_tokens") or []))
-        self.pieces: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # a part's last id is told by its suffix, if every byte has ids with and without
+        vocabulary, suffix = self.tokenizer.get_vocab(with_added_tokens=False), told["model"].get("end_of_word_suffix")
+        shown = [*map(chr, _SHOWN), *_BYTE_LEVEL.values()]
+        self.alone = self.alone and bool(suffix) and all(c in vocabulary and c + suffix in vocabulary for c in shown)
+        self.last = np.zeros(1 << 16, bool)
+        if self.alone:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the memory anew: a part's number, and by numbers where its ids start and end. The line end has none."""
+        self.number = {"\n": 0}
+        self.ends, self.kept = [np.zeros(2, np.int64)], [np.empty(0, "<u2")]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).astype("<u2").tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        """The ids of a lower-case part of Latin letters, of a digit or of signs."""
-        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        ids = [token.id for token in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}H", *ids)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make sure that every piece of these texts is known."""
-        new = {p for pieces in texts for p in pieces if p not in self.pieces}
-        if len(self.pieces) + len(new) > CACHED:
-            self.pieces.clear()
-            new = {p for pieces in texts for p in pieces}
-        plain, other = {}, []
-        for piece in new:
-            word = piece.decode("utf-8", "replace").lower()
-            if "<|" not in word and (word.isascii() or max(word) < "ƀ"):
-                plain[piece] = [word] if piece.isalpha() else self.PATTERN.findall(word)  # ASCII letters alone are one part
-            else:
-                other.append(piece)
-        unknown = {part for parts in plain.values() for part in parts if part not in self.parts}
-        if len(self.parts) + len(unknown) > CACHED:
-            self.parts.clear()
-            unknown = {part for parts in plain.values() for part in parts}
-        self.parts.update((part, self._part(part)) for part in unknown)
-        for piece, parts in plain.items():
-            self.pieces[piece] = b"".join(map(self.parts.__getitem__, parts))
-        self.pieces.update(zip(other, self._encode([p.decode("utf-8", "replace") for p in other]), strict=True))
+    def _learn(self, parts: list[str]) -> None:
+        """Number new lower-case parts of Latin letters, digits or signs, and keep their ids."""
+        for at in range(0, len(parts), 1024):
+            shown = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                     for p in parts[at : at + 1024]]
+            ids = np.array(self.model.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u2")
+            self.ends.append(np.flatnonzero(self.last[ids]) + (1 + self.ends[-1][-1]))
+            self.kept.append(ids)
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these distinct pieces has, and the ids of all."""
+        other = pc.match_substring_regex(pieces, self._OTHER)
+        plain = pieces.filter(pc.invert(other)).to_numpy(zero_copy_only=False).tolist()
+        found = self._LINES.findall("\n".join([*plain, ""]).lower())
+        if len(self.number) > CACHED:
+            self._forget()
+        self._learn(list({part for part in found if part not in self.number}))
+        self.ends, self.kept = [np.concatenate(self.ends)], [np.concatenate(self.kept)]
+        numbers = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        coded = _spans(self.kept[0], self.ends[0][numbers], self.ends[0][numbers + 1])
+        ends = np.cumsum(self.ends[0][numbers + 1] - self.ends[0][numbers])[numbers == 0]  # each piece ends with a line end
+        rest = self._encode(pieces.filter(other).to_numpy(zero_copy_only=False).tolist())
+        sizes, other = np.empty(len(pieces), np.int64), other.to_numpy(zero_copy_only=False)
+        sizes[~other] = np.diff(ends, prepend=0)
+        sizes[other] = [len(ids) // 2 for ids in rest]
+        if not rest:
+            return sizes, coded
+        ids, mine = np.empty(int(sizes.sum()), "<u2"), np.repeat(other, sizes)
+        ids[~mine], ids[mine] = coded, np.frombuffer(b"".join(rest), "<u2")
+        return sizes, ids
 
     def ids(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """The ids of each text (null: none) and the end id."""
-        last = np.array([end], "<u2").tobytes()
+        last = np.array([end], "<u2")
         raw = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
         if not self.alone:
-            return [np.frombuffer(ids + last, "<u2") for ids in self._encode([t.decode("utf-8") for t in raw])]
-        pieces = [t.split() for t in raw]
-        self.learn(pieces)
-        return [np.frombuffer(b"".join(map(self.pieces.__getitem__, p)) + last, "<u2") for p in pieces]
+            return [np.append(np.frombuffer(ids, "<u2"), last) for ids in self._encode([t.decode("utf-8") for t in raw])]
+        pieces = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).cast(pa.large_string()))
+        distinct = pieces.flatten().dictionary_encode()
+        sizes, ids = self._pieces(distinct.dictionary)
+        which = distinct.indices.to_numpy()
+        ends = np.cumsum(sizes)
+        ids = _spans(ids, (ends - sizes)[which], ends[which])
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy())])]
+        return [np.append(ids[a:b], last) for a, b in itertools.pairwise(ends.tolist())]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -141,26 +179,31 @@ def pack(docs: list[tuple[int, bool, np.ndarray]]) -> bytes:
     ids = np.concatenate([d[2] for d in docs])
     size = int(np.clip(len(ids) // 1024, LEAST_BLOCK, BLOCK))  # many blocks side by side are coded faster
     blocks = [ids[at : at + size] for at in range(0, len(ids), size)]
-    coded = range_coder.encode(blocks)
+    order_0 = range_coder.shares(ids)
+    coded, table = range_coder.encode(blocks, order_0), zlib.compress(order_0.astype("<u4").tobytes(), 1)
     index = np.array([(d, has, len(i)) for d, has, i in docs], _DOC)
     sizes = np.array([(len(b), len(c), crc_of(b)) for b, c in zip(blocks, coded, strict=True)], _BLOCK)
-    return b"".join([_HEAD.pack(b"TKF1", len(docs), len(blocks), len(ids)), index.tobytes(), sizes.tobytes(), *coded])
+    return b"".join([_HEAD.pack(b"TKF2", len(docs), len(blocks), len(ids), len(table)), table, index.tobytes(), sizes.tobytes(), *coded])
 
 
 def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(documents, ids) of a frame; raises ValueError if it is damaged."""
     if len(frame) < _HEAD.size:
         raise ValueError("not a frame of token ids")
-    magic, n_docs, n_blocks, n_ids = _HEAD.unpack_from(frame)
-    if magic != b"TKF1":
+    magic, n_docs, n_blocks, n_ids, n_table = _HEAD.unpack_from(frame)
+    if magic != b"TKF2":
         raise ValueError("not a frame of token ids")
-    at = _HEAD.size
+    at = _HEAD.size + n_table
+    try:
+        order_0 = np.frombuffer(zlib.decompress(frame[_HEAD.size : at]), "<u4")
+    except zlib.error as error:
+        raise ValueError("frame of token ids with a damaged table") from error
     docs = np.frombuffer(frame, _DOC, n_docs, at)
     blocks = np.frombuffer(frame, _BLOCK, n_blocks, at + docs.nbytes)
     starts = at + docs.nbytes + blocks.nbytes + np.concatenate([[0], np.cumsum(blocks["bytes"], dtype=np.int64)])
     if starts[-1] != len(frame) or docs["n"].sum() != n_ids or blocks["n"].sum() != n_ids:
         raise ValueError("frame of token ids with a wrong length")
-    parts = range_coder.decode([frame[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], blocks["n"].tolist())
+    parts = range_coder.decode([frame[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], blocks["n"].tolist(), order_0)
     for part, crc in zip(parts, blocks["crc"], strict=True):
         if crc_of(part) != crc:
             raise ValueError("block of token ids with a wrong checksum")
@@ -174,15 +217,13 @@ def _frames(shared, end: int):
         def flush():
             return pd.DataFrame({"part": [part], "frame": [number], "n_ids": [count], "data": [pack(held)]})
 
-        for frame in frames:
-            for at in range(0, len(frame), 200):
-                rows = frame.iloc[at : at + 200]
-                for doc, none, ids in zip(rows["doc_id"], rows["no_id"], encoder.ids(list(rows["text"]), end), strict=True):
-                    if held and count + len(ids) > FRAME:
-                        yield flush()
-                        held, count, number = [], 0, number + 1
-                    held.append((doc, not none, ids))
-                    count += len(ids)
+        for rows in frames:
+            for doc, none, ids in zip(rows["doc_id"], rows["no_id"], encoder.ids(list(rows["text"]), end), strict=True):
+                if held and count + len(ids) > FRAME:
+                    yield flush()
+                    held, count, number = [], 0, number + 1
+                held.append((doc, not none, ids))
+                count += len(ids)
         if held:
             yield flush()
 
