@@ -234,7 +234,8 @@ def decode(payloads: list[bytes], lengths: list[int], order_0: np.ndarray | None
     for step, n in enumerate(live.tolist()):
         ids[step, :n] = model.code(coder, None, n)
     coder.finish()
+    ids = np.ascontiguousarray(ids.T)
     out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(payloads)
     for i, at in enumerate(order):
-        out[at] = ids[: sizes[at], i]
+        out[at] = ids[i, : sizes[at]]
     return out

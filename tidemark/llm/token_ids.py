@@ -44,9 +44,9 @@ LEAST_BLOCK = 256
 FRAME = 1 << 21
 CACHED = 400_000  # parts remembered, some 60 MB
 WRITE_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # beside a frame being coded
-# how the vocabulary's byte-level step shows bytes that do not print: the further letters in turn
+# how the vocabulary's byte-level step shows bytes that do not print: the further letters in turn; a space is in no part
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_LEVEL = {byte: chr(256 + n) for n, byte in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BYTE_LEVEL = {byte: chr(256 + n) for n, byte in enumerate(b for b in range(256) if b not in _SHOWN) if byte != 32}
 _HEAD, _DOC, _BLOCK = struct.Struct("<4sIIQI"), np.dtype([("doc", "<i8"), ("has", "u1"), ("n", "<u4")]), np.dtype(
     [("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
 FILE_SCHEMA = "part int, frame int, n_ids long, data binary"
@@ -111,10 +111,12 @@ class Encoder:
 
     def _learn(self, parts: list[str]) -> None:
         """Number new lower-case parts of Latin letters, digits or signs, and keep their ids."""
+        parts.sort(key=str.isascii)
         for at in range(0, len(parts), 1024):
-            shown = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_LEVEL)
-                     for p in parts[at : at + 1024]]
-            ids = np.array(self.model.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u2")
+            shown = " ".join(parts[at : at + 1024])
+            if not (shown.isascii() and shown.isprintable()):
+                shown = shown.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u2")
             self.ends.append(np.flatnonzero(self.last[ids]) + (1 + self.ends[-1][-1]))
             self.kept.append(ids)
         self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
@@ -126,9 +128,12 @@ class Encoder:
         found = self._LINES.findall("\n".join([*plain, ""]).lower())
         if len(self.number) > CACHED:
             self._forget()
-        self._learn(list({part for part in found if part not in self.number}))
+        numbers = np.fromiter(map(self.number.get, found, itertools.repeat(-1)), np.int64, len(found))
+        missing = np.flatnonzero(numbers < 0)
+        unknown = [found[i] for i in missing.tolist()]
+        self._learn(list(set(unknown)))
+        numbers[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
         self.ends, self.kept = [np.concatenate(self.ends)], [np.concatenate(self.kept)]
-        numbers = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
         coded = _spans(self.kept[0], self.ends[0][numbers], self.ends[0][numbers + 1])
         ends = np.cumsum(self.ends[0][numbers + 1] - self.ends[0][numbers])[numbers == 0]  # each piece ends with a line end
         rest = self._encode(pieces.filter(other).to_numpy(zero_copy_only=False).tolist())
