@@ -82,9 +82,10 @@ class _Model:
         seen = _at(_SEEN, which)
         self.choice[0][row_2] = seen_2 + seen
         self.choice[1][row_1] = seen_1 + seen
+        short = found.astype(np.int32)
         for guess, spot, had, sure in ((self.guess[0], spot_1, one, sure_1), (self.guess[1], spot_2, two, sure_2)):
-            right = found == had
-            guess[spot] = np.where(sure > 1, had, found) | _at(_SURE, sure + 4 * right)
+            sure_now = _at(_SURE, sure + 4 * (short == had))
+            guess[spot] = np.where(sure > 1, had, short) | sure_now
         self.before[:live] = last
         self.last[:live] = found
         return found
@@ -96,7 +97,7 @@ def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a // b, exact for a below 2**53, as a quotient is rounded by less than its distance to the next integer."""
-    return (a / b).astype(np.int64)
+    return (a.astype(np.float64) / b.astype(np.float64)).astype(np.int64)
 
 
 class _Encoder:
@@ -110,8 +111,9 @@ class _Encoder:
     def put(self, first, either, total, one, two, ids, model) -> tuple[np.ndarray, np.ndarray]:
         n = len(ids)
         low, span, at = self.low[:n], self.range[:n], self.next[:n]
-        which = (ids != two).astype(np.int8)
-        which += which & (ids != one)
+        short = ids.astype(np.int32)
+        which = (short != two).astype(np.int8)
+        which += which & (short != one)
         rest = which == 2
         unit = _quotient(span, total)
         start = np.where(rest, either, first * which)
@@ -214,9 +216,10 @@ def encode(blocks: list[np.ndarray], order_0: np.ndarray | None = None) -> list[
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, live = _by_length(lengths)
     model, coder = _Model(len(blocks), order_0), _Encoder(len(blocks), int(lengths.max(initial=0)))
-    ids = np.zeros((len(live), len(blocks)), np.uint16)
+    ids = np.zeros((len(blocks), len(live)), np.uint16)
     for i, at in enumerate(order):
-        ids[: lengths[at], i] = blocks[at]
+        ids[i, : lengths[at]] = blocks[at]
+    ids = np.ascontiguousarray(ids.T)
     for step, n in enumerate(live.tolist()):
         model.code(coder, ids[step, :n].astype(np.int64), n)
     out = coder.finish()

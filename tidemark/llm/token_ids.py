@@ -175,8 +175,10 @@ def _encoder(description: str) -> Encoder:
     return _encoders[key]
 
 
-def crc_of(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def crcs_of(ids: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """The crc32 of the first so many ids, of the next so many, and so on."""
+    data = memoryview(ids.astype("<u4").view(np.uint8))
+    return [zlib.crc32(data[a:b]) for a, b in itertools.pairwise([0, *(np.cumsum(sizes, dtype=np.int64) * 4).tolist()])]
 
 
 def pack(docs: list[tuple[int, bool, np.ndarray]]) -> bytes:
@@ -187,7 +189,8 @@ def pack(docs: list[tuple[int, bool, np.ndarray]]) -> bytes:
     order_0 = range_coder.shares(ids)
     coded, table = range_coder.encode(blocks, order_0), zlib.compress(order_0.astype("<u4").tobytes(), 1)
     index = np.array([(d, has, len(i)) for d, has, i in docs], _DOC)
-    sizes = np.array([(len(b), len(c), crc_of(b)) for b, c in zip(blocks, coded, strict=True)], _BLOCK)
+    crcs = crcs_of(ids, [len(b) for b in blocks])
+    sizes = np.array([(len(b), len(c), crc) for b, c, crc in zip(blocks, coded, crcs, strict=True)], _BLOCK)
     return b"".join([_HEAD.pack(b"TKF2", len(docs), len(blocks), len(ids), len(table)), table, index.tobytes(), sizes.tobytes(), *coded])
 
 
@@ -209,10 +212,10 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     if starts[-1] != len(frame) or docs["n"].sum() != n_ids or blocks["n"].sum() != n_ids:
         raise ValueError("frame of token ids with a wrong length")
     parts = range_coder.decode([frame[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], blocks["n"].tolist(), order_0)
-    for part, crc in zip(parts, blocks["crc"], strict=True):
-        if crc_of(part) != crc:
-            raise ValueError("block of token ids with a wrong checksum")
-    return docs, np.concatenate(parts) if parts else np.empty(0, np.uint16)
+    ids = np.concatenate(parts) if parts else np.empty(0, np.uint16)
+    if crcs_of(ids, blocks["n"]) != blocks["crc"].tolist():
+        raise ValueError("block of token ids with a wrong checksum")
+    return docs, ids
 
 
 def _frames(shared, end: int):
@@ -258,26 +261,33 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         conf.set(batch, before)
 
 
-def _documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _documents(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """The documents of each frame, all their ids and where each one's end."""
     for frame in frames:
         for part, number, data in zip(frame["part"], frame["frame"], frame["data"], strict=True):
             docs, ids = unpack(data)
             ends = np.cumsum(docs["n"], dtype=np.int64)
             yield pd.DataFrame({
                 "part": part, "frame": number, "place": np.arange(len(docs)), "doc_id": docs["doc"], "no_id": docs["has"] == 0,
-                "before": ends - docs["n"], "ids": [ids[e - n : e].astype(np.int32) for e, n in zip(ends, docs["n"], strict=True)],
-            })
+                "before": ends - docs["n"],
+            }), ids, ends
+
+
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for docs, ids, ends in _documents(frames):
+        yield docs.assign(ids=[ids[a:b].astype(np.int32) for a, b in zip(docs["before"], ends, strict=True)])
 
 
 def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in _documents(frames):
-        yield frame.assign(n_tokens=[len(i) for i in frame["ids"]], ids_crc32=[crc_of(i) for i in frame["ids"]]).drop(columns="ids")
+    for docs, ids, ends in _documents(frames):
+        n = ends - docs["before"].to_numpy()
+        yield docs.assign(n_tokens=n, ids_crc32=crcs_of(ids, n))
 
 
 def read(spark, path: str) -> DataFrame:
     """(part, frame, place, doc_id, ids): the documents of the files, in the order of the first three."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(path).mapInPandas(
-        _documents, "part int, frame int, place int, doc_id long, no_id boolean, before long, ids array<int>")
+        _texts, "part int, frame int, place int, doc_id long, no_id boolean, before long, ids array<int>")
     return with_own_id(rows).drop("before")
 
 
