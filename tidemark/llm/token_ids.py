@@ -3,7 +3,7 @@
 Documents are put in order of doc_id by a range shuffle and encoded where they land. The files are Parquet with one
 binary value a row, a *frame*:
 
-    magic "TKF2" | u32 documents | u32 blocks | u64 ids | u32 bytes of the next line
+    magic "TKF3" | u32 documents | u32 blocks | u64 ids | u32 bytes of the next line
     share of 2**16 of each id below 65,536 in the frame (u32, deflated): the coder's order 0
     per document: i64 doc_id, u8 1 if it has one, u32 ids
     per block:    u32 ids, u32 bytes, u32 crc32 of its ids (little-endian u32)
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import operator
 import re
 import struct
 import uuid
@@ -32,7 +33,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from tidemark.llm import range_coder
 from tidemark.llm.common import text_key, with_own_id, with_plain_id
@@ -42,13 +42,16 @@ END = 1
 BLOCK = 2048
 LEAST_BLOCK = 256
 FRAME = 1 << 21
-CACHED = 400_000  # parts remembered, some 60 MB
+CACHED = 500_000  # parts remembered, some 20 MB
+GROUP = 48 << 20  # bytes of pieces whose distinct ones are tokenized together
+SLICE = 1 << 17  # pieces cut at a time
 WRITE_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # beside a frame being coded
 # how the vocabulary's byte-level step shows bytes that do not print: the further letters in turn; a space is in no part
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {byte: chr(256 + n) for n, byte in enumerate(b for b in range(256) if b not in _SHOWN) if byte != 32}
 _HEAD, _DOC, _BLOCK = struct.Struct("<4sIIQI"), np.dtype([("doc", "<i8"), ("has", "u1"), ("n", "<u4")]), np.dtype(
     [("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
+_ID = operator.attrgetter("id")
 FILE_SCHEMA = "part int, frame int, n_ids long, data binary"
 
 
@@ -62,10 +65,12 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 class Encoder:
     """A tokenizer that gets the distinct pieces between white space of many texts, if it is one whose pieces stand alone.
 
+    ``split`` cuts a batch of texts, ``coded`` gives the ids of several such batches.
+
     With the normalizer and pre-tokenizer named here no token spans white space, so a text's ids are those of its pieces,
     one after the other. Pieces of Latin letters are further cut as the tokenizer's own pattern cuts them; those parts need
-    none of its other steps and go to its model, and their ids are remembered. The memory is bounded: of its two
-    generations the older one goes when the younger is full. Any other tokenizer is given whole texts.
+    none of its other steps and go to its model, and their ids are remembered. The memory is bounded: when it is full, only
+    the parts that were used last stay. Any other tokenizer is given whole texts.
     """
 
     # Fixed value: the split pattern of the vocabulary file
@@ -85,57 +90,74 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        self.model = self.tokenizer.model
         told = json.loads(description)
         self.alone = (
             told.get("normalizer") == self.NORMALIZER and told.get("pre_tokenizer") == self.PRE_TOKENIZER
             and all("<|" in t["content"] and len(t["content"].split()) == 1 for t in told.get("added_tokens") or []))
-        # a part's last id is told by its suffix, if every byte has ids with and without
+        # no byte is left out, if every one has ids with and without the suffix of a part's end
         vocabulary, suffix = self.tokenizer.get_vocab(with_added_tokens=False), told["model"].get("end_of_word_suffix")
         shown = [*map(chr, _SHOWN), *_BYTE_LEVEL.values()]
         self.alone = self.alone and bool(suffix) and all(c in vocabulary and c + suffix in vocabulary for c in shown)
-        self.last = np.zeros(1 << 16, bool)
-        if self.alone:
-            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        """Start the memory anew: a part's number, and by numbers where its ids start and end. The line end has none."""
-        self.number = {"\n": 0}
-        self.ends, self.kept = [np.zeros(2, np.int64)], [np.empty(0, "<u2")]
+        self._keep(np.empty(0, np.int64))
+
+    def _keep(self, used: np.ndarray) -> None:
+        """Start the memory anew with the parts of these numbers; none: with the line end, which has no ids."""
+        if not len(used):
+            # a part's number is its place; by numbers, where its ids start and end
+            self.known, self.ends, self.kept = pa.array(["\n"], pa.large_string()), np.zeros(2, np.int64), np.empty(0, "<u2")
+        else:
+            starts, ends = self.ends[used], self.ends[used + 1]
+            self.known, self.kept = self.known.take(pa.array(used)), _spans(self.kept, starts, ends)
+            self.ends = np.concatenate([[0], np.cumsum(ends - starts)])
+        self.used = used
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).astype("<u2").tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """Number new lower-case parts of Latin letters, digits or signs, and keep their ids."""
-        parts.sort(key=str.isascii)
+        """Number new lower-case parts of Latin letters, digits or signs, those in ASCII first, and keep their ids."""
+        ids, sizes = [], []
         for at in range(0, len(parts), 1024):
             shown = " ".join(parts[at : at + 1024])
             if not (shown.isascii() and shown.isprintable()):
                 shown = shown.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u2")
-            self.ends.append(np.flatnonzero(self.last[ids]) + (1 + self.ends[-1][-1]))
-            self.kept.append(ids)
-        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+            for part in shown.split(" "):
+                tokens = self.model.tokenize(part)
+                sizes.append(len(tokens))
+                ids.extend(map(_ID, tokens))
+        self.ends = np.concatenate([self.ends, np.cumsum(sizes) + self.ends[-1]])
+        self.kept = np.concatenate([self.kept, np.array(ids, "<u2")])
+        self.known = pa.concat_arrays([self.known, pa.array(parts, pa.large_string())])
+
+    def _numbers(self, found: pa.ChunkedArray) -> np.ndarray:
+        """The numbers of these parts, new ones learnt."""
+        if len(self.known) > CACHED:
+            self._keep(self.used if len(self.used) <= CACHED else self.used[:0])
+        numbers = pc.fill_null(pc.index_in(found, value_set=self.known), -1).to_numpy()
+        unknown = numbers < 0
+        if unknown.any():
+            numbers, missing, count = numbers.copy(), found.filter(pa.array(unknown)), len(self.known)
+            self._learn(sorted(missing.unique().to_numpy(zero_copy_only=False).tolist(), key=str.isascii, reverse=True))
+            numbers[unknown] = pc.index_in(missing, value_set=self.known.slice(count)).to_numpy() + count
+        self.used = np.flatnonzero(np.bincount(numbers, minlength=1))
+        return numbers
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of these distinct pieces has, and the ids of all."""
+        if not self.alone:
+            rest = self._encode(pieces.to_pylist())
+            return np.array([len(ids) // 2 for ids in rest], np.int64), np.frombuffer(b"".join(rest), "<u2")
         other = pc.match_substring_regex(pieces, self._OTHER)
-        plain = pieces.filter(pc.invert(other)).to_numpy(zero_copy_only=False).tolist()
-        found = self._LINES.findall("\n".join([*plain, ""]).lower())
-        if len(self.number) > CACHED:
-            self._forget()
-        numbers = np.fromiter(map(self.number.get, found, itertools.repeat(-1)), np.int64, len(found))
-        missing = np.flatnonzero(numbers < 0)
-        unknown = [found[i] for i in missing.tolist()]
-        self._learn(list(set(unknown)))
-        numbers[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
-        self.ends, self.kept = [np.concatenate(self.ends)], [np.concatenate(self.kept)]
-        coded = _spans(self.kept[0], self.ends[0][numbers], self.ends[0][numbers + 1])
-        ends = np.cumsum(self.ends[0][numbers + 1] - self.ends[0][numbers])[numbers == 0]  # each piece ends with a line end
+        plain, found = pieces.filter(pc.invert(other)), [self.known[:0]]
+        for at in range(0, len(plain), SLICE):
+            lines = "\n".join([*plain[at : at + SLICE].to_numpy(zero_copy_only=False).tolist(), ""]).lower()
+            found.append(pa.array(self._LINES.findall(lines), pa.large_string()))
+        numbers = self._numbers(pa.chunked_array(found))
+        starts, ends = self.ends[numbers], self.ends[numbers + 1]
+        coded = _spans(self.kept, starts, ends)
+        ends = np.cumsum(ends - starts)[numbers == 0]  # each piece ends with a line end
         rest = self._encode(pieces.filter(other).to_numpy(zero_copy_only=False).tolist())
         sizes, other = np.empty(len(pieces), np.int64), other.to_numpy(zero_copy_only=False)
         sizes[~other] = np.diff(ends, prepend=0)
@@ -146,21 +168,33 @@ class Encoder:
         ids[~mine], ids[mine] = coded, np.frombuffer(b"".join(rest), "<u2")
         return sizes, ids
 
-    def ids(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
-        """The ids of each text (null: none) and the end id."""
-        last = np.array([end], "<u2")
+    def split(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of the texts (null: none), and how many each text has."""
         raw = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
+        whole = pa.array(raw, pa.large_binary()).cast(pa.large_string())
         if not self.alone:
-            return [np.append(np.frombuffer(ids, "<u2"), last) for ids in self._encode([t.decode("utf-8") for t in raw])]
-        pieces = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).cast(pa.large_string()))
-        distinct = pieces.flatten().dictionary_encode()
-        sizes, ids = self._pieces(distinct.dictionary)
-        which = distinct.indices.to_numpy()
-        ends = np.cumsum(sizes)
-        ids = _spans(ids, (ends - sizes)[which], ends[which])
-        ends = np.concatenate([[0], np.cumsum(sizes[which])])
-        ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy())])]
-        return [np.append(ids[a:b], last) for a, b in itertools.pairwise(ends.tolist())]
+            return whole, np.ones(len(whole), np.int64)
+        pieces = pc.ascii_split_whitespace(whole)
+        return pieces.flatten(), pc.list_value_length(pieces).to_numpy()
+
+    def coded(self, batches: list[tuple[pa.Array, np.ndarray]], end: int = END) -> Iterator[list[np.ndarray]]:
+        """For each of these batches, the ids of each text and the end id."""
+        pieces = pa.chunked_array([p for p, _ in batches]).dictionary_encode()
+        sizes, ids = self._pieces(pieces.chunk(0).dictionary)
+        # the end id is one more piece
+        offsets = np.concatenate([[0], np.cumsum(sizes), [len(ids) + 1]]) * 2
+        ids = pa.Array.from_buffers(
+            pa.large_binary(), len(sizes) + 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.append(ids, np.array([end], "<u2")))])
+        for chunk, (_, counts) in zip(pieces.chunks, batches, strict=True):
+            stops = np.cumsum(counts)
+            taken = ids.take(pa.array(np.insert(chunk.indices.to_numpy(), stops, len(sizes))))
+            ends, data = np.frombuffer(taken.buffers()[1], np.int64), np.frombuffer(taken.buffers()[2], "<u2")
+            ends = ends[np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])] // 2
+            yield [data[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+    def ids(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
+        """The ids of each text (null: none) and the end id."""
+        return next(self.coded([self.split(texts)], end))
 
 
 _encoders: dict[int, Encoder] = {}
@@ -191,7 +225,7 @@ def pack(docs: list[tuple[int, bool, np.ndarray]]) -> bytes:
     index = np.array([(d, has, len(i)) for d, has, i in docs], _DOC)
     crcs = crcs_of(ids, [len(b) for b in blocks])
     sizes = np.array([(len(b), len(c), crc) for b, c, crc in zip(blocks, coded, crcs, strict=True)], _BLOCK)
-    return b"".join([_HEAD.pack(b"TKF2", len(docs), len(blocks), len(ids), len(table)), table, index.tobytes(), sizes.tobytes(), *coded])
+    return b"".join([_HEAD.pack(b"TKF3", len(docs), len(blocks), len(ids), len(table)), table, index.tobytes(), sizes.tobytes(), *coded])
 
 
 def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +233,7 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(frame) < _HEAD.size:
         raise ValueError("not a frame of token ids")
     magic, n_docs, n_blocks, n_ids, n_table = _HEAD.unpack_from(frame)
-    if magic != b"TKF2":
+    if magic != b"TKF3":
         raise ValueError("not a frame of token ids")
     at = _HEAD.size + n_table
     try:
@@ -218,6 +252,20 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, ids
 
 
+def _encoded(frames: Iterator[pd.DataFrame], encoder: Encoder, end: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """The keys of each batch and the ids of its texts. Several batches are tokenized together, of which only pieces are held."""
+    keys, batches, size = [], [], 0
+    for rows in frames:
+        keys.append(rows[["doc_id", "no_id"]])
+        batches.append(encoder.split(list(rows["text"])))
+        size += batches[-1][0].nbytes
+        if size >= GROUP:
+            yield from zip(keys, encoder.coded(batches, end), strict=True)
+            keys, batches, size = [], [], 0
+    if batches:
+        yield from zip(keys, encoder.coded(batches, end), strict=True)
+
+
 def _frames(shared, end: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, held, count, number = _encoder(shared.value), TaskContext.get().partitionId(), [], 0, 0
@@ -225,8 +273,8 @@ def _frames(shared, end: int):
         def flush():
             return pd.DataFrame({"part": [part], "frame": [number], "n_ids": [count], "data": [pack(held)]})
 
-        for rows in frames:
-            for doc, none, ids in zip(rows["doc_id"], rows["no_id"], encoder.ids(list(rows["text"]), end), strict=True):
+        for keys, coded in _encoded(frames, encoder, end):
+            for doc, none, ids in zip(keys["doc_id"], keys["no_id"], coded, strict=True):
                 if held and count + len(ids) > FRAME:
                     yield flush()
                     held, count, number = [], 0, number + 1
