@@ -9,7 +9,8 @@ distribution mixes (adds) adaptive counts seen under the confidence of order 2 a
 steps has shown is entered into the tables at its end, and into the distributions at the end of a longer span, so that
 either is done for many ids at once.
 An id that neither predicts is coded by order 0: fixed shares of 2**16 that the caller gives for all blocks, as counted by
-``shares``; without them all ids are alike. All of it is integer arithmetic, the same in both directions.
+``shares``; without them all ids are alike. All of it is integer arithmetic
+but for quotients in doubles, the same in both directions.
 
 The coder is a range coder that carries: 48-bit low end, 16-bit words out, a range of at least 2**32 before each id. As the
 encoder knows the ids of a run, it looks up all their ranges first and then only narrows.
