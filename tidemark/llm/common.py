@@ -20,6 +20,9 @@ CACHED_WORDS = 1 << 18  # some 35 MB
 KEPT_POWERS = 1 << 20
 # Arrow batches of whole texts are bounded by their bytes, not only by Spark's 10,000 rows
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+FRAME_ROWS = 1 << 16
+# on a folder of this machine Hadoop starts a process for each file it makes, checksum files included; other stores ignore this
+_NO_CHECKSUM_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -48,7 +51,7 @@ def pin(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, "tidemark-llm", uuid.uuid4().hex)
-    df.write.parquet(path)
+    df.write.options(**_NO_CHECKSUM_FILES).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
@@ -130,6 +133,22 @@ def stacked(parts: Iterable[dict[str, np.ndarray]], names: list[str]) -> pd.Data
     return pd.DataFrame({n: np.concatenate([p[n] for p in parts]) if parts else [] for n in names})
 
 
+def stacks(parts: Iterable[dict[str, np.ndarray]], names: list[str], rows: int = FRAME_ROWS) -> Iterator[pd.DataFrame]:
+    """The same in frames of at most ``rows`` rows, made as the parts come."""
+    held, n = [], 0
+    for part in parts:
+        at, size = 0, len(part[names[0]])
+        while at < size:
+            end = min(size, at + rows - n)
+            held.append({name: part[name][at:end] for name in names})
+            at, n = end, n + end - at
+            if n == rows:
+                yield stacked(held, names)
+                held, n = [], 0
+    if held:
+        yield stacked(held, names)
+
+
 def text_key(text: str = "text") -> F.Column:
     """Tells rows that repeat a doc_id with another text apart."""
     return F.xxhash64(F.col(text))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import (
-    U64, Runs, WordHashes, chunks, mixed, pin, signed, stacked, text_key, with_own_id, with_plain_id, words_of,
+    U64, Runs, WordHashes, chunks, mixed, pin, signed, stacks, text_key, with_own_id, with_plain_id, words_of,
 )
 
 WINDOW = 50
@@ -50,33 +50,34 @@ def reference_blocks(hashes: np.ndarray, window: int = WINDOW, seed: int = SEED)
 
 
 def _blocks(window: int, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         hashes = WordHashes()
-        for frame in chunks(frames, 500):
-            out = []
+        for frame in frames:
             for doc, key, text in zip(frame["doc_id"], frame["text_key"], frame["text"], strict=True):
-                found = reference_blocks(hashes.of(words_of(text)), window, seed)
-                n = len(found["seed"])
-                if n:
-                    out.append({"doc_id": np.full(n, doc), "text_key": np.full(n, key)} | found)
-            yield stacked(out, ["doc_id", "text_key", "seed", "block", "first", "last"])
+                blocks = reference_blocks(hashes.of(words_of(text)), window, seed)
+                n = len(blocks["seed"])
+                yield {"doc_id": np.full(n, doc), "text_key": np.full(n, key)} | blocks
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return stacks(found(frames), ["doc_id", "text_key", "seed", "block", "first", "last"])
 
     return run
 
 
 def _windows(window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         hashes = WordHashes()
-        for frame in chunks(frames, 200):
-            out = []
+        for frame in frames:
             for doc, key, text, blocks in zip(frame["doc_id"], frame["text_key"], frame["text"], frame["blocks"], strict=True):
                 runs = Runs(hashes.of(words_of(text)))
                 for block in blocks:
                     at = np.arange(block["first"], block["last"] + 1)
                     n = len(at)
-                    out.append({"doc_id": np.full(n, doc), "text_key": np.full(n, key), "seed": np.full(n, block["seed"]),
-                                "words": signed(runs.between(at, at + window)), "first": at, "last": at})
-            yield stacked(out, ["doc_id", "text_key", "seed", "words", "first", "last"])
+                    yield {"doc_id": np.full(n, doc), "text_key": np.full(n, key), "seed": np.full(n, block["seed"]),
+                           "words": signed(runs.between(at, at + window)), "first": at, "last": at}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return stacks(found(frames), ["doc_id", "text_key", "seed", "words", "first", "last"])
 
     return run
 
@@ -85,18 +86,25 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """(doc_id, text_key, first, last): every window from start ``first`` to start ``last`` is in an earlier document.
 
     A row without a doc_id has no place in the order of documents: it takes no part.
+
+    Groups that are joined on their own key are grouped by its complement, so that the join deals both sides anew and
+    Spark can split hot seeds; they need no table between.
     """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text", text_key().alias("text_key"))
     blocks = pin(texts.select("doc_id", "text_key", "text").mapInPandas(_blocks(window, seed), _BLOCK))
-    index = pin(
-        blocks.groupBy("seed")
+    flipped = F.bitwise_not("seed").alias("flipped")
+    index = (
+        blocks.groupBy(flipped)
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.min("block").alias("low"), F.max("block").alias("high"))
-        .where("n > 1").select("seed", "owner", (F.col("low") != F.col("high")).alias("varies"))
+        .where("n > 1").select(F.bitwise_not("flipped").alias("seed"), "owner", (F.col("low") != F.col("high")).alias("varies"))
     )
     shared = pin(blocks.join(index, "seed"))
     whole = shared.where("not varies and doc_id > owner")
     mixed_blocks = shared.where("varies").drop("owner", "varies")
-    owners = pin(mixed_blocks.groupBy("seed", "block").agg(F.min("doc_id").alias("owner")))
+    owners = (
+        mixed_blocks.groupBy(flipped, "block").agg(F.min("doc_id").alias("owner"))
+        .select(F.bitwise_not("flipped").alias("seed"), "block", "owner")
+    )
     owned = pin(mixed_blocks.join(owners, ["seed", "block"]))
     looked_up = (
         owned.where("doc_id = owner").groupBy("doc_id", "text_key")
@@ -106,8 +114,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         texts.join(looked_up, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "blocks")
         .mapInPandas(_windows(window), "doc_id long, text_key long, seed long, words long, first int, last int")
     )
-    earliest = pin(windows.groupBy("seed", "words").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("end"))
-                   .where("owner < end").drop("end"))
+    earliest = (
+        windows.groupBy(flipped, "words").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("end"))
+        .where("owner < end").select(F.bitwise_not("flipped").alias("seed"), "words", "owner")
+    )
     found = windows.join(earliest, ["seed", "words"]).where("doc_id > owner")
     parts = ["doc_id", "text_key", "first", "last"]
     return whole.select(parts).unionAll(owned.where("doc_id > owner").select(parts)).unionAll(found.select(parts))
